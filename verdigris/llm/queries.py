@@ -1,8 +1,10 @@
 """The registered queries of this package, and the DuckDB SQL of those that SQL can express."""
 
+from .bpe import op2_bpe
 from .quality import op9_quality_rules
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
 
