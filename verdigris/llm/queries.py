@@ -1,9 +1,13 @@
 """The registered queries of this package, and the DuckDB SQL of those that SQL can express."""
 
 from .bpe import op2_bpe
+from .packing import op1_packing
 from .quality import op9_quality_rules
+from .simhash import op7_simhash
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op7_simhash": op7_simhash,
     "op2_bpe": op2_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
