@@ -139,7 +139,7 @@ class Automaton:
                     key = last << 32 | label
                     ok = table.get(key)
                     if ok is None:
-                        if len(table) > 2_000_000:
+                        if len(table) > 400_000:
                             table.clear()
                         ok = table[key] = self.arc(last, label)
                     if not ok:
@@ -157,7 +157,7 @@ class Automaton:
         """arc() of many pairs, through the transition table."""
         pairs, where = np.unique(last << 32 | label, return_inverse=True)
         ok, table = np.ones(len(pairs), bool), self.table
-        if len(table) > 2_000_000:
+        if len(table) > 400_000:
             table.clear()
         for i, key in enumerate(pairs.tolist()):
             if key >= 0:
@@ -294,7 +294,7 @@ class Chunks(dict):
     White space always separates words and never composes, so chunks are encoded independently.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 250_000):
         super().__init__()
         self.by, self.most = automaton(path), most
 
