@@ -4,8 +4,10 @@ from .bpe import op2_bpe
 from .packing import op1_packing
 from .quality import op9_quality_rules
 from .simhash import op7_simhash
+from .substring import op5_substring_dedup
 
 QUERIES = {
+    "op5_substring_dedup": op5_substring_dedup,
     "op1_packing": op1_packing,
     "op7_simhash": op7_simhash,
     "op2_bpe": op2_bpe,

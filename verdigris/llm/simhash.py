@@ -9,8 +9,8 @@ level at once.
 To share the walk among tasks without sending node pairs around: of k+1 blocks of the bits, one is
 equal in any two fingerprints that differ in k or fewer. So the trie is walked once for each
 block, with that block's bits on top, where no errors are spent; those levels are then a
-partition key. The same argument holds for the remaining bits below, so the key also has one of
-k+1 sub-blocks, and a crowded block is split exactly, not cut off. A task emits for each set of fingerprints
+partition key. The same argument holds for the remaining bits below, so with very many fingerprints the key
+also has one of k+1 sub-blocks: crowded blocks are split exactly, not cut off. A task emits for each set of fingerprints
 that it finds linked only the links of a spanning forest, at most one for each fingerprint
 that it reads, and components.py joins the forests.
 
@@ -31,6 +31,8 @@ from .common import WordHashes, bounded_batches, materialize, mix, rolling
 from .components import components
 
 BITS = 64
+#: Fingerprints that may share one block on average before the key takes a sub-block too.
+CROWDED = 2000
 
 
 def majority(h: np.ndarray) -> int:
@@ -77,11 +79,18 @@ def blocks(bits: list[int], n: int) -> list[list[int]]:
     return [bits[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def keys(fp: str, k: int) -> Column:
-    """Partition keys of a fingerprint: (k+1)^2 longs, of which two fingerprints within k bits share one."""
+def keys(fp: str, k: int, twice: bool) -> Column:
+    """Partition keys of a fingerprint: longs of which two fingerprints within k bits share at least one.
+
+    k+1 blocks; or twice, with k+1 sub-blocks of the rest for each, when there are so many
+    fingerprints that a block alone would be shared by thousands. Both find the same pairs.
+    """
     out, every = [], list(range(BITS))
     for i, top in enumerate(blocks(every, k + 1)):
         rest = [b for b in every if b not in set(top)]
+        if not twice:
+            out.append(F.xxhash64(F.lit(i), F.col(fp).bitwiseAND(F.lit(signed(sum(1 << b for b in top))))))
+            continue
         for j, below in enumerate(blocks(rest, k + 1)):
             mask = signed(sum(1 << b for b in [*top, *below]))
             out.append(F.xxhash64(F.lit(i * (k + 1) + j), F.col(fp).bitwiseAND(F.lit(mask))))
@@ -168,7 +177,8 @@ def links(points: DataFrame, k: int, guards: list[str] = (), within: int = 0, ro
     """
     bounded_batches(points.sparkSession)
     guards = list(guards)
-    wide = points.select("node", "fp", *guards, F.explode(keys("fp", k)).alias("key"))
+    twice = points.count() > CROWDED << (BITS // (k + 1))
+    wide = points.select("node", "fp", *guards, F.explode(keys("fp", k, twice)).alias("key"))
     spark = points.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -218,26 +228,29 @@ def near_duplicates(docs: DataFrame, k: int = 2, n: int = 3, doc_id: str = "doc_
     return clusters(materialize(fingerprints(docs, doc_id, text, n), "fingerprints"), k)
 
 
-SKETCH_TABLES, SKETCH_SHINGLE, SKETCH_K = 4, 5, 3
+WORD_TABLES, SHINGLE_TABLES, SKETCH_SHINGLE, SKETCH_K = 6, 4, 5, 4
 #: Bits of 256 in which documents of similarity 0.8 differ on average: 256/pi * arccos(2 * 0.8 / 1.8) = 38.8, and one standard deviation more.
 SKETCH_WITHIN = 44
 
+WORD_COLUMNS = [f"w{t}" for t in range(WORD_TABLES)]
+SHINGLE_COLUMNS = [f"s{t}" for t in range(SHINGLE_TABLES)]
+
 
 def sketch(data: bytes | None, hashes: WordHashes) -> list[int]:
-    """Four 64-bit SimHashes of the distinct words, then four of the distinct five-word shingles."""
+    """WORD_TABLES 64-bit SimHashes of the distinct words, then SHINGLE_TABLES of the distinct five-word shingles."""
     h = hashes.of((data or b"").lower().split())
     with np.errstate(over="ignore"):
         shingles = rolling(h, SKETCH_SHINGLE) if len(h) > SKETCH_SHINGLE else rolling(h, len(h)) if len(h) else h
         out = []
-        for x in (np.unique(h), np.unique(shingles)):
-            for t in range(SKETCH_TABLES):
+        for x, tables in ((np.unique(h), WORD_TABLES), (np.unique(shingles), SHINGLE_TABLES)):
+            for t in range(tables):
                 out.append(signed(majority(mix(x + np.uint64(t + 1) * np.uint64(0xD1B54A32D192ED03)))))
     return out
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     bounded_batches(docs.sparkSession)
-    names = [f"w{t}" for t in range(SKETCH_TABLES)] + [f"s{t}" for t in range(SKETCH_TABLES)]
+    names = WORD_COLUMNS + SHINGLE_COLUMNS
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ["doc_id", *names]])
 
     def run(batches):
@@ -254,13 +267,12 @@ def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """(doc_id, component_id): documents alike in five-word shingles at 0.8 or more, as a near-dedup stage takes them.
 
     SimHash of five-word shingles is too far apart at 0.8 (about 10 of 64 bits) for any trie budget
-    that scales. So pairs are found by the trie join over four independent SimHashes of
-    their words, at 3 bits in any of the four, and linked if the 256 bits of their
+    that scales. So pairs are found by the trie join over independent SimHashes of
+    their words, at SKETCH_K bits in any of them, and linked if the 256 bits of their
     shingle SimHash are within SKETCH_WITHIN.
     """
     marked = materialize(sketches(docs, doc_id, text), "sketches")
-    guards = [f"s{t}" for t in range(SKETCH_TABLES)]
-    words = [f"w{t}" for t in range(SKETCH_TABLES)]
+    words, guards = WORD_COLUMNS, SHINGLE_COLUMNS
     points = materialize(marked.groupBy(*words, *guards).agg(F.min("doc_id").alias("node")), "points")
     found = None
     for w in words:
