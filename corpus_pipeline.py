@@ -1,8 +1,56 @@
-"""The corpus pipeline: quality rules, SimHash near-dedup, substring dedup, packing."""
+"""The corpus pipeline: quality rules, SimHash near-dedup, substring dedup, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all that the stage before has kept, and returns a
+DataFrame; all but the last have the columns of `documents`. run() writes each stage's result as
+Parquet in the shared folder and reads it again for the next.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verdigris.llm import common, packing, quality, simhash, substring
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    return quality.judge(docs).where("kept").select(COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that are alike in five-word shingles, the one with the smallest id; documents without an id stay."""
+    groups = simhash.near_texts(docs).where("doc_id = component_id").select("doc_id").distinct()
+    # a row that occurs twice shares its id: one of them stays
+    with_id = docs.where("doc_id is not null").join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return with_id.unionByName(docs.where("doc_id is null")).select(COLUMNS)
+
+
+def drop_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 20 and more words that occur earlier; those that nothing is left of go."""
+    kept = substring.repeats(docs).where("n_words > n_removed or n_words = 0")
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their ids, each at its place in a sequence."""
+    import public_tokenizers
+
+    return packing.assign(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("quality_rules", keep_quality),
+    ("simhash_near_dedup", drop_near_copies),
+    ("substring_dedup", drop_substrings),
+    ("packing", pack),
+]
+#: SimHash sketches and the tokenizer's merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(COLUMNS)
+    for name, stage in STAGES:
+        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
