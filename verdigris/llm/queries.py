@@ -1,12 +1,16 @@
 """The registered queries of this package, and the DuckDB SQL of those that SQL can express."""
 
 from .bpe import op2_bpe
+from .chat import OP6_SQL, op6_chat
 from .packing import op1_packing
 from .quality import op9_quality_rules
 from .simhash import op7_simhash
 from .substring import op5_substring_dedup
+from .urls import OP8_SQL, op8_url_filter
 
 QUERIES = {
+    "op6_chat": op6_chat,
+    "op8_url_filter": op8_url_filter,
     "op5_substring_dedup": op5_substring_dedup,
     "op1_packing": op1_packing,
     "op7_simhash": op7_simhash,
@@ -14,4 +18,4 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_chat": OP6_SQL, "op8_url_filter": OP8_SQL}
