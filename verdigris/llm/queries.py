@@ -2,13 +2,17 @@
 
 from .bpe import op2_bpe
 from .chat import OP6_SQL, op6_chat
+from .lm import OP3_SQL, op3_lm_scoring
 from .packing import op1_packing
 from .quality import op9_quality_rules
 from .simhash import op7_simhash
 from .substring import op5_substring_dedup
 from .urls import OP8_SQL, op8_url_filter
+from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op3_lm_scoring": op3_lm_scoring,
+    "op4_warc": op4_warc,
     "op6_chat": op6_chat,
     "op8_url_filter": op8_url_filter,
     "op5_substring_dedup": op5_substring_dedup,
@@ -18,4 +22,4 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLES: dict[str, str] = {"op6_chat": OP6_SQL, "op8_url_filter": OP8_SQL}
+ORACLES: dict[str, str] = {"op3_lm_scoring": OP3_SQL, "op4_warc": OP4_SQL, "op6_chat": OP6_SQL, "op8_url_filter": OP8_SQL}

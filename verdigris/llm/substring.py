@@ -40,8 +40,8 @@ BLOCK_BYTES, BUCKET_ROWS = 4 << 20, 2_000_000
 SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
-def blocks(docs: DataFrame, text: str, order: str, n_bytes: int) -> DataFrame:
-    """One row for each block: block long (ascending with `order`), and each column of docs as a list."""
+def blocks(docs: DataFrame, text: str, order: str | None, n_bytes: int) -> DataFrame:
+    """One row for each block, written: block long (ascending with `order`, if any), and each column of docs as a list."""
     schema = T.StructType(
         [T.StructField("block", T.LongType())] + [T.StructField(f.name, T.ArrayType(f.dataType)) for f in docs.schema.fields]
     )
@@ -71,8 +71,7 @@ def blocks(docs: DataFrame, text: str, order: str, n_bytes: int) -> DataFrame:
         if held:
             yield pack(pa.Table.from_batches(held))
 
-    parts = parts_for(n_bytes)
-    ordered = docs.repartitionByRange(parts, order).sortWithinPartitions(order)
+    ordered = docs if order is None else docs.repartitionByRange(parts_for(n_bytes), order).sortWithinPartitions(order)
     return materialize(ordered.mapInArrow(run, schema), "blocks")
 
 
