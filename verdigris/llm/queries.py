@@ -6,11 +6,13 @@ from .lm import OP3_SQL, op3_lm_scoring
 from .packing import op1_packing
 from .quality import op9_quality_rules
 from .simhash import op7_simhash
+from .spotsigs import op10_spotsigs
 from .substring import op5_substring_dedup
 from .urls import OP8_SQL, op8_url_filter
 from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op10_spotsigs": op10_spotsigs,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_warc": op4_warc,
     "op6_chat": op6_chat,
