@@ -248,6 +248,15 @@ class Automaton:
         return " ".join([self.labels[i] for i in ids if i in self.labels])
 
 
+@lru_cache(maxsize=2)
+def labels_of(path: str) -> list[str | None]:
+    """Label by id: all that decoding needs of the automaton."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    found = {i: label for label, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
+    return [found.get(i) for i in range(max(found) + 1)]
+
+
 @lru_cache(maxsize=2)
 def automaton(path: str) -> Automaton:
     """Compiled once in each Python worker."""
@@ -374,16 +383,13 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text")
     schema = T.StructType([encoded.schema[c] for c in keep] + [T.StructField(text, T.StringType())])
 
     def run(batches):
-        labels = automaton(path).labels
-        known = [labels.get(i) for i in range(max(labels) + 1)]
-        whole = None not in known
+        known = labels_of(path)
         for batch in batches:
             column = batch.column(ids)
             values, ends = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy().cumsum()
             out, start = [], 0
             for end in ends:
-                piece = values[start:end].tolist()
-                out.append(" ".join([known[i] for i in piece] if whole else [labels[i] for i in piece if i in labels]))
+                out.append(" ".join([known[i] for i in values[start:end].tolist() if 0 <= i < len(known) and known[i] is not None]))
                 start = end
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(out, pa.string())], names=[*keep, text])
 

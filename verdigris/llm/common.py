@@ -13,7 +13,7 @@ from ..session import importable_by_workers
 #: What separates words, as a class for Java and DuckDB patterns; bytes.split() uses the same six bytes.
 NON_WORD = r"[\x20\x09-\x0D]+"
 #: Rows reach Python in Arrow batches of about this size, however long the texts are.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 #: MB of text that one task should see where an operator chooses the number of its partitions.
 TASK_MB = 24
 
