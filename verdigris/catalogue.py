@@ -1,4 +1,6 @@
 """All registered queries of the evaluation operators, with their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import grades, runs, texts
+
+QUERIES = runs.QUERIES | texts.QUERIES | grades.QUERIES
+ORACLES = runs.ORACLES | texts.ORACLES | grades.ORACLES

@@ -1,0 +1,125 @@
+"""Aggregates of scores, judges and costs."""
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def metric_report(scores: DataFrame) -> DataFrame:
+    """One row for each metric: rows and statuses, and the mean of numeric values that are scored. JSON strings, booleans and null don't count."""
+    number = F.when((F.col("status") == "scored") & F.col("value_json").rlike(r"^-?[0-9]"), F.col("value_json").try_cast("double"))
+    return scores.groupBy("metric_id").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.count(number).alias("scored"),
+        F.avg(number).alias("mean"),
+        *[F.count_if(F.col("status") == s).alias(s) for s in ("not_observable", "not_applicable", "failed")],
+    )
+
+
+def case_counters(cases: DataFrame, *keys: str) -> DataFrame:
+    return cases.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("status") == "DONE").alias("done"),
+        F.count_if(~F.col("status").isin("DONE", "READY_FOR_GRADING")).alias("system_failures"),
+    )
+
+
+def rate(condition: Column, among: Column | None = None) -> Column:
+    """Share of rows that meet a condition, null without rows."""
+    if among is None:
+        return F.avg(condition.cast("double"))
+    return F.try_divide(F.count_if(condition & among), F.nullif(F.count_if(among), F.lit(0)))
+
+
+def kappa(pairs: DataFrame, expected: str, found: str, *keys: str, least_n: int = 30, least_kappa: float = 0.8) -> DataFrame:
+    """Cohen's kappa for each group, and whether the judge is eligible. Only the table of label pairs, small by nature, meets."""
+    cells = pairs.groupBy(*keys, F.col(expected).alias("_e"), F.col(found).alias("_f")).agg(F.count(F.lit(1)).alias("_n"))
+    total = cells.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum(F.when(F.col("_e") == F.col("_f"), F.col("_n")).otherwise(0)).alias("_same"))
+    rows = cells.groupBy(*keys, F.col("_e").alias("_label")).agg(F.sum("_n").alias("_r"))
+    columns = cells.groupBy(*keys, F.col("_f").alias("_label")).agg(F.sum("_n").alias("_c"))
+    chance = rows.join(columns, [*keys, "_label"]).groupBy(*keys).agg(F.sum(F.col("_r") * F.col("_c")).alias("_rc"))
+    joined = total.join(chance, list(keys), "left") if keys else total.crossJoin(chance)  # two single rows
+    agreement, by_chance = F.col("_same") / F.col("n"), F.coalesce("_rc", F.lit(0)) / (F.col("n") * F.col("n"))
+    k = F.when(by_chance == 1, 1.0).otherwise((agreement - by_chance) / (1 - by_chance))
+    out = joined.select(*keys, "n", agreement.alias("agreement"), by_chance.alias("expected_agreement"), k.alias("kappa"))
+    return out.withColumn("eligible", (F.col("n") >= least_n) & (F.col("kappa") >= least_kappa))
+
+
+def confidence_number(x: Column) -> Column:
+    """The integer before a percent sign, or 0."""
+    return F.coalesce(F.trim(F.get(F.split(x, "%"), F.lit(0))).try_cast("int"), F.lit(0))
+
+
+def calibration(rows: DataFrame, model: str, is_correct: str, confidence: str) -> DataFrame:
+    """Accuracy and expected calibration error in percent for each model, in five bins of confidence. Negative confidences fall in the last bin."""
+    conf = confidence_number(F.col(confidence))
+    bucket = F.when(conf < 0, 4).otherwise(F.least(F.floor(conf / 20), F.lit(4)))
+    answer = F.lower(F.col(is_correct))
+    bins = rows.groupBy(F.col(model), bucket.alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(answer == "yes").alias("_yes"),
+        F.count_if(answer == "no").alias("_no"),
+        F.sum(conf).alias("_conf"),
+    )
+    gap = F.abs(F.col("_yes") / F.col("_n") - F.col("_conf") / F.col("_n") / 100) * F.col("_n")
+    return bins.groupBy(model).agg(
+        F.sum("_n").alias("total"),
+        F.sum("_yes").alias("correct"),
+        F.sum("_no").alias("wrong"),
+        (F.sum("_n") - F.sum("_yes") - F.sum("_no")).alias("none"),
+        F.round(F.sum("_yes") / F.sum("_n") * 100, 4).alias("accuracy_pct"),
+        F.round(F.sum(gap) / F.sum("_n") * 100, 4).alias("calibration_error_pct"),
+    )
+
+
+def repeats(rows: DataFrame, question: str = "question_id") -> DataFrame:
+    """Average, best of n, mean cost and mean time of repeated answers."""
+    return rows.groupBy(question).agg(
+        F.avg("score").alias("average"),
+        F.max("score").alias("best_of_n"),
+        F.round(F.avg("cost"), 6).alias("mean_cost"),
+        F.round(F.avg("seconds"), 3).alias("mean_seconds"),
+    )
+
+
+def majority_vote(rows: DataFrame, question: str, answer: str) -> DataFrame:
+    """The most frequent answer of each question; of equally frequent ones the smallest, so runs agree."""
+    counts = rows.groupBy(question, answer).agg(F.count(F.lit(1)).alias("votes"))
+    best = counts.groupBy(question).agg(F.max("votes").alias("votes"), F.min_by(F.col(answer), F.struct(-F.col("votes"), F.col(answer))).alias("majority"))
+    return best
+
+
+def api_cost(input_tokens: Column, output_tokens: Column, input_rate: Column, output_rate: Column, exchange: float) -> Column:
+    """Cost of a call by rates for a million tokens."""
+    return F.round((input_tokens * input_rate * exchange + output_tokens * output_rate * exchange) / 1e6, 6)
+
+
+def wide_repeats(rows: DataFrame, question: str, repeat: str, n: int, values: list[str]) -> DataFrame:
+    """One row for each question, with <value>_<repeat> columns for repeats 0 to n-1."""
+    return rows.groupBy(question).agg(*[F.max(F.when(F.col(repeat) == r, F.col(v))).alias(f"{v}_{r}") for r in range(n) for v in values])
+
+
+def bootstrap_mean(rows: DataFrame, value: str, *keys: str, samples: int = 1000, seed: int = 7) -> DataFrame:
+    """95 % interval of the mean, by a Poisson bootstrap: each row's weight in each sample follows from a hash, so nothing is collected or shuffled but sums.
+
+    Sample sums are aggregated before the shuffle: keys x samples rows for each task.
+    """
+    u = lambda s: (F.pmod(F.xxhash64(F.col("_id"), s, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    weight = F.lit(0)
+    total = 0.0
+    term = 0.36787944117144233
+    steps = []
+    for k in range(8):  # Poisson(1): up to 8 copies hold all but 1e-6 of the mass
+        total += term
+        steps.append(total)
+        term /= k + 1
+    weight = sum((F.when(F.col("_u") > s, 1).otherwise(0) for s in steps), F.lit(0))
+    spread = (
+        rows.where(F.col(value).isNotNull())
+        .select(*keys, F.col(value).cast("double").alias("_v"), F.xxhash64(*rows.columns).alias("_id"))
+        .withColumn("_s", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+        .withColumn("_u", u(F.col("_s")))
+        .withColumn("_w", weight)
+    )
+    means = spread.groupBy(*keys, "_s").agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
+    edge = lambda p: F.percentile("_m", F.lit(p))
+    return means.groupBy(*keys).agg(F.avg("_m").alias("mean"), edge(0.025).alias("low"), edge(0.975).alias("high"))
