@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ARROW_BYTES, WordHashes, bounded_batches, discard, materialize, mix, rolling, setting, text_bytes
-from .substring import Words, batch_of, blocks
+from .substring import Words, as_bytes, batch_of, blocks
 
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
 #: About how many distinct n-grams one bucket gets.
@@ -75,7 +75,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
         names, kinds = ["bucket", "block", "keys", "counts"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         with np.errstate(over="ignore"):
             for batch in batches:
-                for block, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for block, texts in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                     _, _, keys, counts = distinct(Words(texts, cache))
                     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
                     ends = np.searchsorted(bucket, np.arange((1 << bits) + 1))
@@ -108,7 +108,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
         cache, back = WordHashes(), math.log(alpha)
         with np.errstate(over="ignore"):
             for batch in batches:
-                for ids, texts, told in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for ids, texts, told in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                     words = Words(texts, cache)
                     ends, where, keys, _ = distinct(words)
                     told = sorted(told or [], key=lambda x: x["bucket"])

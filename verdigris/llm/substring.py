@@ -25,6 +25,8 @@ Rows with equal doc_id are ordered as they come; null ids come first. An empty t
 empty result. Extra columns are carried along; those named like an output are replaced.
 """
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -75,17 +77,21 @@ def blocks(docs: DataFrame, text: str, order: str | None, n_bytes: int) -> DataF
     return materialize(ordered.mapInArrow(run, schema), "blocks")
 
 
+def as_bytes(column: pa.Array) -> list[list[bytes | None]]:
+    """Lists of texts as bytes."""
+    return column.cast(pa.list_(pa.binary())).to_pylist()
+
+
 class Words:
-    """The words of one block: hashes in two ways, and where each document starts."""
+    """The words of one block: their hashes, and where each document starts."""
 
-    def __init__(self, texts: list, first: WordHashes, second: WordHashes | None = None):
-        self.split = [(x.encode() if isinstance(x, str) else x or b"").split() for x in texts]
+    def __init__(self, texts: list[bytes | None], hashes: WordHashes):
+        self.split = [(x or b"").split() for x in texts]
         self.counts = np.fromiter(map(len, self.split), np.int64, len(self.split))
         self.starts = np.cumsum(self.counts) - self.counts
-        flat = [w for x in self.split for w in x]
+        flat = list(chain.from_iterable(self.split))
         self.n = len(flat)
-        self.h = first.of(flat)
-        self.h2 = second.of(flat) if second is not None else None
+        self.h = hashes.of(flat)
         self.inside = np.arange(self.n) - np.repeat(self.starts, self.counts)  # position in its document
         self.left = np.repeat(self.counts, self.counts) - self.inside  # words from here to its end
 
@@ -95,12 +101,32 @@ class Words:
 
 
 def groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """order (stable: equal values by position) and the start of each group of equal values in it."""
-    order = np.argsort(h, kind="stable")
+    """An order that brings equal values together, and the start of each group in it. Within a group the order is open."""
+    order = np.argsort(h)
     s = h[order]
     return order, np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
 
 
+def pair_groups(h: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """groups() of pairs of values: by the first alone, unless the second tells apart what the first has as equal."""
+    order, first = groups(h)
+    m = more[order]
+    inside = np.ones(len(order), bool)
+    inside[first] = False
+    if len(order) and (m[1:] != m[:-1])[inside[1:]].any():
+        order = np.lexsort((more, h))
+        s, m = h[order], more[order]
+        first = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (m[1:] != m[:-1])]))
+    return order, first
+
+
+def all_but_least(place: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Members (as indices) of the groups, without the one of the least place in each."""
+    p = place[order]
+    least = np.minimum.reduceat(p, first) if len(p) else p
+    return order[p != np.repeat(least, np.diff(np.append(first, len(p))))]
+
+
 def three(x: np.ndarray) -> np.ndarray:
     """Numbers below 2^24 as three bytes each."""
     return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
@@ -142,37 +168,38 @@ def batch_of(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def anchors(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rolling hashes of all n-word windows: their starts, hashes, and order and group starts by hash."""
+def anchors(words: Words, n: int):
+    """The distinct hashes of all n-word windows: the windows' starts, their order and group starts by hash; and for
+    each group its hash, its first start, whether it holds a reference block, and its size."""
     at = words.windows(n)
     h = mix(rolling(words.h, n)[at]) if len(at) else np.empty(0, np.uint64)
     order, first = groups(h)
-    return at, h, order, first
+    sorted_at = at[order]
+    rep = np.minimum.reduceat(sorted_at, first) if len(at) else at
+    reference = np.maximum.reduceat((words.inside[sorted_at] % n == 0), first) if len(at) else np.empty(0, bool)
+    return sorted_at, first, h[order[first]], rep, reference, np.diff(np.append(first, len(at)))
 
 
 def hit_windows(words: Words, answered: np.ndarray, n: int) -> np.ndarray:
     """Starts of the windows of 2n words over a hit: an anchor that is answered, or repeats here with a reference block."""
-    at, h, order, first = anchors(words, n)
-    if not len(at):
-        return np.empty(0, np.int64)
-    size = np.diff(np.append(first, len(order)))
-    reference = np.add.reduceat((words.inside[at] % n == 0)[order].astype(np.int64), first) > 0
-    rep = at[order[first]]
-    hit = (reference & (size > 1)) | np.isin(rep, answered)
+    sorted_at, _, _, rep, reference, size = anchors(words, n)
+    if not len(rep):
+        return rep
+    told = np.zeros(words.n, bool)
+    told[answered] = True
+    hit = (reference & (size > 1)) | told[rep]
     marked = np.zeros(words.n + 1, np.int64)
-    marked[at[order[np.repeat(hit, size)]] + 1] = 1
+    marked[sorted_at[np.repeat(hit, size)] + 1] = 1
     total = np.cumsum(marked)
     starts = words.windows(2 * n)
     return starts[total[starts + n + 1] > total[starts]]
 
 
-def window_groups(words: Words, starts: np.ndarray, n: int):
-    """Two hashes of the n-word windows at starts, and their order and groups: within a group, by place."""
-    h = mix(rolling(words.h, n)[starts]) if len(starts) else np.empty(0, np.uint64)
-    h2 = mix(rolling(words.h2, n, SECOND)[starts]) if len(starts) else np.empty(0, np.uint64)
-    order = np.lexsort((h2, h))
-    same = (h[order][1:] == h[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-    return h, h2, order, np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.empty(0, np.int64)
+def window_hashes(words: Words, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the n-word windows at starts, from word values mixed in two ways and two multipliers."""
+    if not len(starts):
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    return mix(rolling(words.h, n)[starts]), mix(rolling(mix(words.h + SECOND), n, SECOND)[starts])
 
 
 def answered(table: DataFrame) -> DataFrame:
@@ -214,14 +241,10 @@ def repeats(docs: DataFrame, text: str = "text", order: str = "doc_id", window:
         hashes = WordHashes()
         with np.errstate(over="ignore"):
             for batch in batches:
-                for block, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    words = Words(texts, hashes)
-                    at, h, order_, first = anchors(words, n)
-                    if len(at):
-                        reference = np.add.reduceat((words.inside[at] % n == 0)[order_].astype(np.int64), first) > 0
-                        rep = order_[first]
-                        for row in sent(block, h[rep], at[rep] * 2 + reference, bits):
-                            yield batch_of([row], names, kinds)
+                for block, texts in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+                    _, _, h, rep, reference, _ = anchors(Words(texts, hashes), n)
+                    for row in sent(block, h, rep * 2 + reference, bits):
+                        yield batch_of([row], names, kinds)
 
     def find_hits(batches):
         for rows in bucket_rows(batches):
@@ -231,7 +254,7 @@ def repeats(docs: DataFrame, text: str = "text", order: str = "doc_id", window:
             key, mark = np.concatenate(keys), np.concatenate(marks)
             order_, first = groups(key)
             size = np.diff(np.append(first, len(key)))
-            hit = (size > 1) & (np.add.reduceat(mark[order_] & 1, first) > 0)
+            hit = (size > 1) & (np.maximum.reduceat(mark[order_] & 1, first) > 0)
             chosen = np.sort(order_[np.repeat(hit, size)])
             yield from replies(rows, owner[chosen], mark[chosen] >> 1)
 
@@ -242,17 +265,18 @@ def repeats(docs: DataFrame, text: str = "text", order: str = "doc_id", window:
                 yield batch_of([(row[1], places(place[ends[i] : ends[i + 1]]))], ["block", "places"], [pa.int64(), pa.binary()])
 
     def send_windows(batches):
-        first_h, second_h = WordHashes(), WordHashes(seed=1)
+        hashes = WordHashes()
         with np.errstate(over="ignore"):
             for batch in batches:
-                for block, texts, told in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    words = Words(texts, first_h, second_h)
+                for block, texts, told in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                    words = Words(texts, hashes)
                     known = np.concatenate([read_places(x) for x in told]) if told else np.empty(0, np.int64)
                     starts = hit_windows(words, known, n)
                     if len(starts):
-                        h, h2, order_, first = window_groups(words, starts, window)
+                        h, h2 = window_hashes(words, starts, window)
+                        order_, first = pair_groups(h, h2)
                         rep = order_[first]
-                        for row in sent(block, h[rep], starts[rep], bits, h2[rep]):
+                        for row in sent(block, h[rep], np.minimum.reduceat(starts[order_], first), bits, h2[rep]):
                             yield batch_of([row], names, kinds)
 
     def find_later(batches):
@@ -263,10 +287,8 @@ def repeats(docs: DataFrame, text: str = "text", order: str = "doc_id", window:
             key = np.concatenate(keys)
             more = np.concatenate([np.frombuffer(r[3], "<u8") for r in rows])
             place = np.concatenate([read_places(r[4]) for r in rows])
-            order_ = np.lexsort((place, owner, more, key))
-            k, m = key[order_], more[order_]
-            later = np.concatenate([[False], (k[1:] == k[:-1]) & (m[1:] == m[:-1])])
-            chosen = np.sort(order_[later])
+            order_, first = pair_groups(key.astype(np.uint64) << np.uint64(32) | more >> np.uint64(32), more)
+            chosen = np.sort(all_but_least(owner << 40 | place, order_, first))
             yield from replies(rows, owner[chosen], place[chosen])
 
     columns = docs.columns
@@ -279,25 +301,23 @@ def repeats(docs: DataFrame, text: str = "text", order: str = "doc_id", window:
     text_at = columns.index(text)
 
     def remove(batches):
-        first_h, second_h = WordHashes(), WordHashes(seed=1)
+        hashes = WordHashes()
         with np.errstate(over="ignore"):
             for batch in batches:
                 for i in range(batch.num_rows):
                     lists = [batch.column(j + 1).slice(i, 1).flatten() for j in range(len(columns))]
                     told = batch.column(len(columns) + 1)[i].as_py()
-                    texts = lists[text_at].to_pylist()
-                    words = Words(texts, first_h, second_h)
+                    texts = lists[text_at].cast(pa.binary()).to_pylist()
+                    words = Words(texts, hashes)
                     drop = np.zeros(words.n + 1, np.int64)
                     starts = words.windows(window)
                     if len(starts):
-                        _, _, order_, first = window_groups(words, starts, window)
-                        later = np.ones(len(order_), bool)
-                        later[first] = False
-                        where = starts[order_[later]]
+                        where = starts[all_but_least(starts, *pair_groups(*window_hashes(words, starts, window)))]
                         if told:
                             where = np.union1d(where, np.concatenate([read_places(x) for x in told]))
-                        np.add.at(drop, where, 1)
-                        np.add.at(drop, where + window, -1)
+                        where = np.unique(where)
+                        drop[where] += 1
+                        drop[where + window] -= 1
                     gone = np.cumsum(drop[:-1]) > 0
                     kept, removed, spans = [], [], []
                     for t, x, start, count in zip(texts, words.split, words.starts.tolist(), words.counts.tolist(), strict=True):
