@@ -44,7 +44,8 @@ def json_object(x: Column) -> Column:
 def binary_score(x: Column) -> Column:
     """1 or 0: a JSON score of 0.5 or more, else the first `score =`, else the last lone 0 or 1, else 0."""
     x = F.trim(x)
-    stated = F.try_variant_get(F.try_parse_json(x), "$.score", "double")
+    whole = F.when(x.rlike(r"(?s)^\{.*\}$"), x)  # the parser would take an object with more behind it
+    stated = F.try_variant_get(F.try_parse_json(whole), "$.score", "double")
     named = _first(x, r"(?i)score\s*=\s*([01](?:\.0)?)").try_cast("double")
     lone = F.regexp_extract_all(x, F.lit(r"\b([01])\b"), F.lit(1))
     last = F.element_at(F.when(F.size(lone) > 0, lone), -1).try_cast("int")
@@ -62,9 +63,9 @@ def inference_parts(x: Column) -> Column:
     """struct(explanation, answer, confidence) of an answer in the asked-for form; ** around the names is allowed."""
     name = lambda n: rf"\**{n}\**\s*[:：]\**\s*"
     return F.struct(
-        F.trim(_first(x, rf"(?s){name('Explanation')}(.*?)(?=\**Exact Answer|\z)")).alias("explanation"),
-        F.trim(_first(x, rf"(?s){name('Exact Answer')}(.*?)(?=\**Confidence|\z)")).alias("answer"),
-        F.trim(_first(x, rf"{name('Confidence')}([^\n]*)")).alias("confidence"),
+        js_trim(_first(x, rf"(?s){name('Explanation')}(.*?)(?=\**Exact Answer|\z)")).alias("explanation"),
+        js_trim(_first(x, rf"(?s){name('Exact Answer')}(.*?)(?=\**Confidence|\z)")).alias("answer"),
+        js_trim(_first(x, rf"{name('Confidence')}([^\n]*)")).alias("confidence"),
     )
 
 

@@ -73,7 +73,7 @@ def grade(cases: DataFrame, gold: DataFrame, judge: grading.Judge, style: str =
 def report(scores: DataFrame, cases: DataFrame, keys: tuple[str, ...] = ("task_id", "metric_id"), order: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(metrics, case counters) of a run; of scores written more than once the latest count."""
     now = ledger.latest(scores, list(keys), list(order)) if order else scores
-    return metrics.metric_report(now), metrics.case_counters(cases.withColumnRenamed("state", "status"))
+    return metrics.metric_report(now), metrics.case_counters(cases.select(F.col("state").alias("status")))
 
 
 def resume(cases: DataFrame) -> DataFrame:
