@@ -20,11 +20,9 @@ def claims(submissions: DataFrame, key: str, answer: str, citations: str | None
     enough is major, and so is any of 80 characters.
     """
     raw = F.regexp_extract_all(answer, F.lit(CLAIM), F.lit(1))
-    pieces = submissions.select(key, *([citations] if citations else []), F.posexplode(raw).alias("_i", "_raw"))
-    text = js_trim(F.col("_raw"))
-    kept = pieces.withColumn("text", text).where(F.length("text") >= LEAST_CLAIM_CHARS)
-    gathered = kept.groupBy(key).agg(F.min("_i").alias("_first"))
-    out = kept.join(gathered, key)
+    pieces = F.transform(raw, lambda m, i: F.struct(i.cast("long").alias("piece"), js_trim(m).alias("text")))
+    kept = F.filter(pieces, lambda p: F.length(p["text"]) >= LEAST_CLAIM_CHARS)
+    out = submissions.select(key, *([citations] if citations else []), F.posexplode(kept).alias("_n", "_c")).select("*", "_c.*")
     marks = F.regexp_extract_all("text", F.lit(r"(?:\[([0-9]+)\]|【[0-9]+】)"), F.lit(0))
     number = F.transform(marks, lambda m: F.regexp_replace(m, r"[^0-9]", "").try_cast("int"))
     if citations:
@@ -33,9 +31,9 @@ def claims(submissions: DataFrame, key: str, answer: str, citations: str | None
         ids = F.array_distinct(number)
     return out.select(
         key,
-        F.col("_i").cast("long").alias("piece"),
+        "piece",
         "text",
-        F.when((F.length("text") >= MAJOR_CHARS) | (F.col("_i") == F.col("_first")), "major").otherwise("minor").alias("importance"),
+        F.when((F.length("text") >= MAJOR_CHARS) | (F.col("_n") == 0), "major").otherwise("minor").alias("importance"),
         F.when(verifiable(F.col("text")), "externally_verifiable").otherwise("non_verifiable").alias("verifiability"),
         ids.alias("citation_ids"),
     )
