@@ -93,6 +93,42 @@ def test_trie_walk_finds_all_pairs(spark, k, twice, monkeypatch):
     assert walked == set(expected)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_trie_walk_with_guards_links_what_all_pairs_link(seed):
+    """Equal and near points of one key, in a few parts at a time: the forest has the classes of brute force, and only links that hold."""
+    rng = np.random.default_rng(seed)
+    n, k, within = 200, seed % 5, 1 + seed % 2
+    fp = rng.integers(0, 1 << 63, 4, dtype=np.uint64)[rng.integers(0, 4, n)]
+    for _ in range(seed):
+        fp = fp ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)) * rng.integers(0, 2, n).astype(np.uint64)
+    guard, key = rng.integers(0, 1 << 8, n).astype(np.uint64), rng.integers(0, 3, n)
+    order = np.lexsort((fp, key))
+    fp, guard, key, node = fp[order], guard[order], key[order], rng.permutation(n)
+    found = simhash.Forest(node)
+    for a, b in simhash.walk(key, fp, k, at_once=20, label=found.label):
+        near = np.bitwise_count(guard[a] ^ guard[b]) <= within
+        found.add(a[near], b[near])
+    expected = [
+        (int(node[i]), int(node[j])) for i in range(n) for j in range(i)
+        if key[i] == key[j] and int(fp[i] ^ fp[j]).bit_count() <= k and int(guard[i] ^ guard[j]).bit_count() <= within
+    ]
+    edges = list(zip(*(x.to_pylist() for x in found.edges().columns), strict=True))
+    assert classes(range(n), edges) == classes(range(n), expected)
+    assert set(map(frozenset, edges)) <= set(map(frozenset, expected))
+
+
+def test_a_large_group_of_near_copies_is_not_paired():
+    """5,000 points that are all linked: some compared pairs for each, not thousands."""
+    rng = np.random.default_rng(0)
+    flips = [np.uint64(1) << rng.integers(0, 64, 5000).astype(np.uint64) for _ in range(2)]
+    fp = np.sort(np.uint64(12345) ^ flips[0] ^ flips[1])
+    found, pairs = simhash.Forest(np.arange(5000)), 0
+    for a, b in simhash.walk(np.zeros(5000, np.int64), fp, 4, label=found.label):
+        pairs += len(a)
+        found.add(a, b)
+    assert len(found.kept) == 4999 and pairs < 50 * 5000
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(3, 3)]
     frame = spark.createDataFrame(edges, "u long, v long")

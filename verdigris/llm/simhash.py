@@ -97,11 +97,34 @@ def keys(fp: str, k: int, twice: bool) -> Column:
     return F.array(*out)
 
 
-def walk(key: np.ndarray, fp: np.ndarray, k: int, at_once: int = 1 << 20):
+def pairs_of(run: np.ndarray, label=None):
+    """Yield all pairs of the positions in run; with label only those apart, each from the side outside the largest set."""
+    if label is None:
+        for i, x in enumerate(run.tolist()):
+            yield np.full(len(run) - i - 1, x), run[i + 1 :]
+        return
+    sets, where, sizes = np.unique(label(run), return_inverse=True, return_counts=True)
+    for x in run[where != sizes.argmax()].tolist() if len(sets) > 1 else ():
+        y = run[label(run) != label(x)]
+        yield np.full(len(y), x), y
+
+
+def walk(key: np.ndarray, fp: np.ndarray, k: int, at_once: int = 1 << 18, label=None):
     """Yield positions (a, b) of the pairs with equal keys and fingerprints within k bits; (key, fp) must be sorted.
 
     A frontier of over at_once node pairs is walked on in parts, so memory stays bounded in crowded keys.
+    label(positions) names the sets that the caller has linked so far: then a pair of nodes that lie in one set
+    is dropped whole, since its pairs can link nothing more. Neighbours in the order, and each key's
+    first, are yielded before the walk, so a large group of near copies is one set by then and not paired.
     """
+    if label is not None and len(key):
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        at = np.arange(len(key))
+        for before in (np.repeat(first, np.diff(np.append(first, len(key)))), at - 1, at - 2, at - 4, at - 8):
+            b = at[(before >= 0) & (before < at)]
+            a = before[b]
+            near = (key[a] == key[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= k)
+            yield a[near], b[near]
     ones = np.zeros((BITS, len(fp) + 1), np.int32)
     for bit in range(BITS):
         np.cumsum((fp >> np.uint64(bit)) & np.uint64(1), out=ones[bit, 1:])
@@ -115,14 +138,18 @@ def walk(key: np.ndarray, fp: np.ndarray, k: int, at_once: int = 1 << 20):
             for i in range(0, len(pairs[0]), at_once):
                 open_pairs.append((bit, tuple(x[i : i + at_once] for x in pairs)))
             continue
+        if label is not None and len(pairs[0]):
+            now = label(slice(None))
+            change = np.concatenate([[0], np.cumsum(now[1:] != now[:-1])])
+            a0, a1, b0, b1, _ = pairs
+            one_set = (change[a0] == change[a1 - 1]) & (change[b0] == change[b1 - 1]) & (now[a0] == now[b0])
+            pairs = tuple(x[~one_set] for x in pairs)
         a0, a1, b0, b1, errors = pairs
         if not len(a0):
             continue
-        if bit < 0:  # equal fingerprints under one key: distinct fingerprints have none, but guarded points may
+        if bit < 0:  # runs of equal fingerprints: distinct fingerprints have none, but guarded points may
             for x0, x1, y0, y1 in zip(a0, a1, b0, b1, strict=True):
-                for x in range(x0, x1):
-                    y = np.arange(max(y0, x + 1), y1)
-                    yield np.full(len(y), x), y
+                yield from pairs_of(np.arange(x0, x1) if x0 == y0 else np.concatenate([np.arange(x0, x1), np.arange(y0, y1)]), label)
             continue
         one = ones[bit]
         am, bm = a1 - (one[a1] - one[a0]), b1 - (one[b1] - one[b0])
@@ -156,15 +183,19 @@ class Forest:
         for x, y in np.unique(np.stack([x[apart], y[apart]]), axis=1).T.tolist():
             r, s = x, y
             while up[r] != r:
-                r = up[r]
+                up[r] = r = up[up[r]]
             while up[s] != s:
-                s = up[s]
+                up[s] = s = up[up[s]]
             if r != s:
                 up[max(r, s)] = min(r, s)
                 self.kept.append((x, y))
         while not np.array_equal(self.parent, flat := self.parent[self.parent]):
             self.parent = flat
 
+    def label(self, positions) -> np.ndarray:
+        """The sets of positions, by their roots."""
+        return self.parent[self.at[positions]]
+
     def edges(self) -> pa.RecordBatch:
         kept = np.array(self.kept, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(self.ids[kept[:, 0]]), pa.array(self.ids[kept[:, 1]])], names=["u", "v"])
@@ -188,7 +219,7 @@ def links(points: DataFrame, k: int, guards: list[str] = (), within: int = 0, ro
         key, fp, node = key[order], fp[order].view(np.uint64), node[order]
         found = Forest(node)
         sides = [table.column(g).to_numpy()[order].view(np.uint64) for g in guards]
-        for a, b in walk(key, fp, k):
+        for a, b in walk(key, fp, k, label=found.label):
             if guards:
                 apart = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in sides)
                 a, b = a[apart <= within], b[apart <= within]
