@@ -321,3 +321,18 @@ def test_pipeline(spark, table_dir):
     assert passage in texts[23] and passage not in texts[24] and texts[3] == clean[3]
     assert {r.doc_id for r in kept[3].collect()} == set(texts)
     assert corpus_pipeline.run(spark, sf_dir).count() == kept[3].count()
+
+
+def test_many_buckets_in_one_partition(spark, make, monkeypatch):
+    """Buckets beyond the largest number of partitions share partitions, with the same result."""
+    rng = random.Random(4)
+    shared = words(rng, 40, 5000)
+    docs = [(i, f"{words(rng, 30, 5000)} {shared if i % 3 == 0 else ''}") for i in range(40)]
+    monkeypatch.setattr(substring, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(lm, "BUCKET_ROWS", 20)
+    whole = {r.doc_id: r.n_removed for r in substring.repeats(make(docs)).collect()}
+    scored = {r.doc_id: round(r.logprob, 6) for r in lm.scores(make(docs)).collect()}
+    monkeypatch.setattr(common, "MOST_PARTS", 3)
+    assert {r.doc_id: r.n_removed for r in substring.repeats(make(docs)).collect()} == whole
+    assert {r.doc_id: round(r.logprob, 6) for r in lm.scores(make(docs)).collect()} == scored
+    assert {i: whole[i] for i, _ in docs} == {i: brute_substrings(docs)[i][1] for i, _ in docs}

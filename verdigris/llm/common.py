@@ -16,6 +16,9 @@ NON_WORD = r"[\x20\x09-\x0D]+"
 ARROW_BYTES = 4 << 20
 #: MB of text that one task should see where an operator chooses the number of its partitions.
 TASK_MB = 24
+#: Partitions of one shuffle at most: the driver keeps a record of each. From about 400 GB on, tasks take more than TASK_MB,
+#: which they stream through in sorted order.
+MOST_PARTS = 1 << 14
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,8 +82,13 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
 
 
 def parts_for(n_bytes: int, mb: float = TASK_MB, least: int = 1) -> int:
-    """Partitions of about mb MB each."""
-    return max(least, -(-n_bytes // int(mb * (1 << 20))))
+    """Partitions of about mb MB each, and MOST_PARTS at most."""
+    return min(MOST_PARTS, max(least, -(-n_bytes // int(mb * (1 << 20)))))
+
+
+def dealt_by_bucket(df: DataFrame, bits: int) -> DataFrame:
+    """df dealt by its column bucket (1 << bits of them), the rows of each bucket together. A partition of several buckets streams through them."""
+    return df.repartition(min(MOST_PARTS, 1 << bits), "bucket").sortWithinPartitions("bucket")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_BYTES, WordHashes, bounded_batches, discard, materialize, mix, rolling, setting, text_bytes
+from .common import ARROW_BYTES, WordHashes, bounded_batches, dealt_by_bucket, discard, materialize, mix, rolling, setting, text_bytes
 from .substring import Words, as_bytes, batch_of, blocks
 
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
@@ -135,7 +135,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
 
     with setting(spark, spark__sql__execution__arrow__maxBytesPerBatch=str(ARROW_BYTES), spark__sql__execution__arrow__maxRecordsPerBatch="64"):
         exploded = cut.select("block", "text").mapInArrow(send, "bucket int, block long, keys binary, counts binary")
-        tables = exploded.repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
+        tables = dealt_by_bucket(exploded, bits)
         totals = materialize(tables.mapInArrow(count, "block long, bucket int, totals binary"), "totals")
         by_block = totals.groupBy("block").agg(F.collect_list(F.struct("bucket", "totals")).alias("told"))
         joined = cut.join(by_block, "block", "left").select("doc_id", "text", "told")

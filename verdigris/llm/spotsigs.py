@@ -30,8 +30,6 @@ from .common import WordHashes, bounded_batches, materialize, mix, parts_for, te
 from .components import components
 
 CHAIN, HASHED, FEW = 2, 4, 8
-#: Ranges of doc_id at most: their bounds and last ids are all that reaches the driver. A larger range streams through its task.
-MOST_RANGES = 10_000
 #: Common words of English, French, German and Spanish.
 ANCHORS = frozenset(
     """the of and to in a is that it for on was be with as by this at are an from or not but have has
@@ -108,7 +106,7 @@ def with_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ids = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"))
-    parts = min(MOST_RANGES, parts_for(text_bytes(docs), mb=16))
+    parts = parts_for(text_bytes(docs), mb=16)  # bounded: the ranges' bounds and last ids are all that reaches the driver
     steps = [i / parts for i in range(1, parts)]
     bounds = np.array(sorted(set(ids.agg(F.percentile_approx("i", steps, 10_000).alias("b")).first()["b"] or [])) if steps else [], np.int64)
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ARROW_BYTES, WordHashes, bounded_batches, discard, materialize, mix, parts_for, rolling, setting, text_bytes
+from .common import ARROW_BYTES, WordHashes, bounded_batches, dealt_by_bucket, discard, materialize, mix, parts_for, rolling, setting, text_bytes
 
 WINDOW = 20
 #: Text of one block of documents, and about how many hashes one bucket gets.
@@ -235,7 +235,6 @@ def repeats(docs: DataFrame, text: str = "text", order: str = "doc_id", window:
     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     names = ["bucket", "block", "keys", "more", "places"]
     answer = "block long, places binary"
-    to_buckets = lambda df: df.repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
 
     def send_anchors(batches):
         hashes = WordHashes()
@@ -335,9 +334,9 @@ def repeats(docs: DataFrame, text: str = "text", order: str = "doc_id", window:
                     yield pa.RecordBatch.from_arrays([*lists, *extra], names=[*columns, "n_words", "n_removed", "removed_spans"])
 
     with setting(spark, spark__sql__execution__arrow__maxBytesPerBatch=str(ARROW_BYTES), spark__sql__execution__arrow__maxRecordsPerBatch="64"):
-        hits = materialize(to_buckets(cut.select("block", text).mapInArrow(send_anchors, SENT)).mapInArrow(find_hits, answer), "hits")
+        hits = materialize(dealt_by_bucket(cut.select("block", text).mapInArrow(send_anchors, SENT), bits).mapInArrow(find_hits, answer), "hits")
         told = cut.select("block", text).join(answered(hits), "block", "left").select("block", text, "_answers")
-        later = materialize(to_buckets(told.mapInArrow(send_windows, SENT)).mapInArrow(find_later, answer), "later")
+        later = materialize(dealt_by_bucket(told.mapInArrow(send_windows, SENT), bits).mapInArrow(find_later, answer), "later")
         told = cut.join(answered(later), "block", "left").select("block", *columns, "_answers")
         out = materialize(told.mapInArrow(remove, out_schema), "kept")
     for table in (hits, later, cut):
