@@ -150,6 +150,51 @@ def test_near_texts(spark, make):
     assert all(got[i] == i for i in range(30))
 
 
+def five_words(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def alike_exactly(a, b):
+    a, b = five_words(a), five_words(b)
+    return not (a or b) or 5 * len(a & b) >= 4 * len(a | b)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_near_texts_equals_brute_force(spark, make, seed):
+    """One replaced block, an appended tail and scattered edits, at similarities around 0.8 from 0.70 to 0.95."""
+    rng = random.Random(seed)
+    docs = []
+    for i in range(150):
+        base, n = words(rng, 200, 100000).split(), 200
+        docs.append(" ".join(base))
+        aim = rng.uniform(0.70, 0.95)
+        if i % 3 == 0:  # (196 - n) / (196 + n) shingles stay
+            m = round(196 * (1 - aim) / (1 + aim)) - 4
+            docs.append(" ".join([*base[:50], *words(rng, m, 100000).split(), *base[50 + m :]]))
+        elif i % 3 == 1:
+            docs.append(" ".join([*base, *words(rng, round(196 / aim) - 196, 100000).split()]))
+        else:
+            copy = list(base)
+            for _ in range(round(196 * (1 - aim) / (1 + aim) / 5)):
+                copy[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
+            docs.append(" ".join(copy))
+    got = {r.doc_id: r.component_id for r in simhash.near_texts(make(list(enumerate(docs)))).collect()}
+    linked = [(i, j) for i in range(len(docs)) for j in range(i) if alike_exactly(docs[i], docs[j])]
+    assert 50 < len(linked) < 140
+    assert got == classes(range(len(docs)), linked)
+
+
+def test_near_texts_in_one_key(spark, make):
+    """A chain of texts, each alike its neighbours only: links between later texts are not lost with a failed first one."""
+    rng = random.Random(5)
+    stream = words(rng, 800, 100000).split()
+    docs = [" ".join(stream[i : i + 200]) for i in range(0, 600, 10)] + ["", " ", "few words", "Few  words"]
+    got = {r.doc_id: r.component_id for r in simhash.near_texts(make(list(enumerate(docs)))).collect()}
+    linked = [(i, j) for i in range(len(docs)) for j in range(i) if alike_exactly(docs[i], docs[j])]
+    assert got == classes(range(len(docs)), linked)
+
+
 def brute_substrings(docs, n=20):
     seen, out = set(), {}
     for i, t in sorted(docs, key=lambda x: x[0]):

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, bounded_batches, materialize, mix, rolling
+from .common import ROLL, WordHashes, bounded_batches, discard, materialize, mix, rolling
 from .components import components
 
 BITS = 64
@@ -262,55 +262,145 @@ def near_duplicates(docs: DataFrame, k: int = 2, n: int = 3, doc_id: str = "doc_
 WORD_TABLES, SHINGLE_TABLES, SKETCH_SHINGLE, SKETCH_K = 6, 4, 5, 4
 #: Bits of 256 in which documents of similarity 0.8 differ on average: 256/pi * arccos(2 * 0.8 / 1.8) = 38.8, and one standard deviation more.
 SKETCH_WITHIN = 44
+#: Min-hash keys of a text, and the minima that make one: two texts of similarity j share a key with 1 - (1 - j**4)**16, 0.9998 at 0.8.
+BANDS, BAND_MINIMA = 16, 4
 
 WORD_COLUMNS = [f"w{t}" for t in range(WORD_TABLES)]
 SHINGLE_COLUMNS = [f"s{t}" for t in range(SHINGLE_TABLES)]
+#: 128 bits that name a set of shingles: texts with equal sets are one point.
+SET_COLUMNS = ["id0", "id1"]
+STEP = np.uint64(0xD1B54A32D192ED03)
 
 
-def sketch(data: bytes | None, hashes: WordHashes) -> list[int]:
-    """WORD_TABLES 64-bit SimHashes of the distinct words, then SHINGLE_TABLES of the distinct five-word shingles."""
+def shingle_set(data: bytes | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct words, distinct five-word shingles) as sorted hashes; fewer words make one shingle, none make none."""
     h = hashes.of((data or b"").lower().split())
     with np.errstate(over="ignore"):
         shingles = rolling(h, SKETCH_SHINGLE) if len(h) > SKETCH_SHINGLE else rolling(h, len(h)) if len(h) else h
-        out = []
-        for x, tables in ((np.unique(h), WORD_TABLES), (np.unique(shingles), SHINGLE_TABLES)):
+    return np.unique(h), np.unique(shingles)
+
+
+def sketch(words: np.ndarray, shingles: np.ndarray) -> list[int]:
+    """The name of the set of shingles, then WORD_TABLES 64-bit SimHashes of the words and SHINGLE_TABLES of the shingles."""
+    with np.errstate(over="ignore"):
+        out = [signed(int(mix(mix(shingles + STEP * np.uint64(101 + i)) ^ ROLL).sum(dtype=np.uint64))) for i in range(2)]
+        for x, tables in ((words, WORD_TABLES), (shingles, SHINGLE_TABLES)):
             for t in range(tables):
-                out.append(signed(majority(mix(x + np.uint64(t + 1) * np.uint64(0xD1B54A32D192ED03)))))
+                out.append(signed(majority(mix(x + np.uint64(t + 1) * STEP))))
     return out
 
 
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS keys, each of BAND_MINIMA min-hashes of the shingles; no shingles, no keys."""
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    with np.errstate(over="ignore"):
+        least = np.array([mix(shingles ^ mix(np.array([i + 1], np.uint64) * STEP)).min() for i in range(BANDS * BAND_MINIMA)])
+        keys = np.arange(BANDS, dtype=np.uint64)
+        for column in least.reshape(BANDS, BAND_MINIMA).T:
+            keys = mix(keys * ROLL + column)
+    return keys.view(np.int64)
+
+
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, doc_id, id0, id1, SimHashes, keys, shingles) of each row of docs; row is a key that holds once the result is written."""
     bounded_batches(docs.sparkSession)
-    names = WORD_COLUMNS + SHINGLE_COLUMNS
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ["doc_id", *names]])
+    names = SET_COLUMNS + WORD_COLUMNS + SHINGLE_COLUMNS
+    longs = [T.StructField(c, T.LongType()) for c in ["row", "doc_id", *names]]
+    schema = T.StructType([*longs, T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())])
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            rows = [sketch(x.as_py(), hashes) for x in batch.column(1)]
+            rows, keys, sets = [], [], []
+            for x in batch.column(2):
+                words, shingles = shingle_set(x.as_py(), hashes)
+                rows.append(sketch(words, shingles))
+                keys.append(band_keys(shingles))
+                sets.append(shingles.tobytes())
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], names=["doc_id", *names])
+            arrays = [batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns], pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    row = (F.monotonically_increasing_id() if "row" not in docs.columns else F.col("row")).alias("row")
+    return docs.select(row, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary")).mapInArrow(run, schema)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary")).mapInArrow(run, schema)
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of 0.8 or more, in whole numbers."""
+    small, large = sorted((len(a), len(b)))
+    return 5 * small >= 4 * large and 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (small + large)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets (node, shingles) are alike."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = ([np.frombuffer(x.as_py(), np.uint64) for x in batch.column(c)] for c in (2, 3))
+            good = pa.array([alike(x, y) for x, y in zip(a, b, strict=True)], pa.bool_())
+            yield batch.select(["u", "v"]).filter(good)
+
+    one, other = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in "uv")
+    return pairs.join(one, "u").join(other, "v").select("u", "v", "_u", "_v").mapInArrow(run, "u long, v long")
+
+
+def sketch_links(points: DataFrame) -> DataFrame:
+    """(u, v): pairs that the trie join finds over the SimHashes of words, near in those of shingles too. A forest: it leaves out pairs."""
+    found = None
+    for w in WORD_COLUMNS:
+        one = links(points.select("node", F.col(w).alias("fp"), *SHINGLE_COLUMNS), SKETCH_K, SHINGLE_COLUMNS, SKETCH_WITHIN)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def similar_groups(marked: DataFrame) -> DataFrame:
+    """(row, component) for rows of sketches(): the components of all pairs of sets found with a similarity of 0.8 or more.
+
+    Two rounds. The first checks the forest of the trie join, and each min-hash key's rows against the
+    key's first and last: that costs about the number of keys, and makes one component of most groups of near copies. The
+    second checks all other pairs under a key that the first has not put in one component. So a pair that
+    shares a key is left out only where it could link nothing more, and every link is checked exactly.
+    """
+    named = materialize(marked.groupBy(*SET_COLUMNS).agg(F.min("row").alias("node")), "sets")
+    points = marked.join(named.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    sets = points.select("node", "shingles")
+    dealt = points.select("node", F.explode("keys").alias("key"))
+    ends = dealt.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    held = materialize(dealt.join(ends, "key"), "held")
+    star = held.where("node > lo").select(F.col("node").alias("u"), F.col("lo").alias("v")).unionByName(held.where("node < hi").select(F.col("hi").alias("u"), F.col("node").alias("v")))
+    sketched = sketch_links(points.drop("keys", "shingles"))
+    ordered = sketched.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    tried = materialize(star.unionByName(ordered).distinct(), "tried")
+    first = materialize(verified(tried, sets), "links")
+    group = components(first)
+    apart = held.select("key", "node").join(group, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    left = materialize(apart.join(mixed, "key", "left_semi"), "apart")
+    a = left.select("key", F.col("node").alias("u"), F.col("component").alias("cu"))
+    b = left.select("key", F.col("node").alias("v"), F.col("component").alias("cv"))
+    rest = a.join(b, "key").where("u > v and cu != cv").select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
+    second = materialize(verified(rest, sets), "links")
+    whole = named.join(components(first.unionByName(second)), "node", "left").select(*SET_COLUMNS, F.coalesce("component", "node").alias("component"))
+    out = materialize(marked.select("row", *SET_COLUMNS).join(whole, SET_COLUMNS).select("row", "component"), "groups")
+    for used in (named, held, tried, first, left, second):
+        discard(used)
+    return out
 
 
 def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id): documents alike in five-word shingles at 0.8 or more, as a near-dedup stage takes them.
 
     SimHash of five-word shingles is too far apart at 0.8 (about 10 of 64 bits) for any trie budget
-    that scales. So pairs are found by the trie join over independent SimHashes of
-    their words, at SKETCH_K bits in any of them, and linked if the 256 bits of their
-    shingle SimHash are within SKETCH_WITHIN.
+    that scales. So candidates are found by the trie join over independent SimHashes of
+    their words, at SKETCH_K bits in any of them, and by min-hashes of their shingles; and linked if
+    the exact Jaccard similarity of their sets of shingles is 0.8 or more.
     """
     marked = materialize(sketches(docs, doc_id, text), "sketches")
-    words, guards = WORD_COLUMNS, SHINGLE_COLUMNS
-    points = materialize(marked.groupBy(*words, *guards).agg(F.min("doc_id").alias("node")), "points")
-    found = None
-    for w in words:
-        one = links(points.where("node is not null").select("node", F.col(w).alias("fp"), *guards), SKETCH_K, guards, SKETCH_WITHIN)
-        found = one if found is None else found.unionByName(one)
-    named = points.join(components(found), "node", "left").select(*words, *guards, F.coalesce("component", "node").alias("component_id"))
-    return marked.join(named, [*words, *guards]).select("doc_id", "component_id")
+    rows = materialize(marked.select("row", "doc_id").join(similar_groups(marked), "row"), "named")
+    discard(marked)
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "component").select("doc_id", "component_id")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
