@@ -19,11 +19,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that are alike in five-word shingles, the one with the smallest id; documents without an id stay."""
-    groups = simhash.near_texts(docs).where("doc_id = component_id").select("doc_id").distinct()
-    # a row that occurs twice shares its id: one of them stays
-    with_id = docs.where("doc_id is not null").join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.where("doc_id is null")).select(COLUMNS)
+    """Of each group of rows that are alike in five-word shingles, the one with the smallest id; null ids come last, and ids name no group."""
+    numbered = common.materialize(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    return numbered.join(simhash.survivors(numbered, COLUMNS), "row", "left_semi").select(COLUMNS)
 
 
 def drop_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,6 +195,17 @@ def test_near_texts_in_one_key(spark, make):
     assert got == classes(range(len(docs)), linked)
 
 
+def test_near_copies_are_dropped_by_row(spark, make):
+    """Rows that share an id but no text both stay, a copy goes whatever its id, and null ids are treated alike."""
+    rng = random.Random(9)
+    a, b, c, d = (words(rng, 100, 100000) for _ in range(4))
+    docs = [(1, a), (2, a + " tail"), (2, b), (3, c), (3, c), (None, c), (None, d), (None, d), (4, b)]
+    for parts in (1, 3):
+        kept = corpus_pipeline.drop_near_copies(spark, make(docs, parts), "")
+        assert kept.columns == corpus_pipeline.COLUMNS
+        assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", a), ("2", b), ("3", c), ("None", d)])
+
+
 def brute_substrings(docs, n=20):
     seen, out = set(), {}
     for i, t in sorted(docs, key=lambda x: x[0]):

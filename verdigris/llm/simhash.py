@@ -302,7 +302,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """(row, doc_id, id0, id1, SimHashes, keys, shingles) of each row of docs; row is a key that holds once the result is written."""
     bounded_batches(docs.sparkSession)
     names = SET_COLUMNS + WORD_COLUMNS + SHINGLE_COLUMNS
@@ -322,8 +322,8 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             arrays = [batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns], pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    row = (F.monotonically_increasing_id() if "row" not in docs.columns else F.col("row")).alias("row")
-    return docs.select(row, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary")).mapInArrow(run, schema)
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    return docs.select(number.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -396,13 +396,27 @@ def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     their words, at SKETCH_K bits in any of them, and by min-hashes of their shingles; and linked if
     the exact Jaccard similarity of their sets of shingles is 0.8 or more.
     """
-    marked = materialize(sketches(docs, doc_id, text), "sketches")
-    rows = materialize(marked.select("row", "doc_id").join(similar_groups(marked), "row"), "named")
-    discard(marked)
+    rows = near_rows(sketches(docs, doc_id, text))
     least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "component").select("doc_id", "component_id")
 
 
+def near_rows(sketched: DataFrame) -> DataFrame:
+    """(row, doc_id, component) for each row of sketches()."""
+    marked = materialize(sketched, "sketches")
+    rows = materialize(marked.select("row", "doc_id").join(similar_groups(marked), "row"), "named")
+    discard(marked)
+    return rows
+
+
+def survivors(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """(row): of each group of docs (row, columns...) that are alike the one with the least id, null ids last; of equal ids the least hash of columns."""
+    groups = near_rows(sketches(docs, row="row")).select("row", "component")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64(*columns).alias("hash"), "row")
+    first = docs.select("row", order.alias("order")).join(groups, "row").groupBy("component").agg(F.min("order").alias("order"))
+    return first.select("order.row")
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
