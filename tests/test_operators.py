@@ -107,6 +107,14 @@ def test_short_fact(spark):
         grading.strict(grading.short_fact(rows, grading.fixture_judge)).collect()
 
 
+def test_grade_composes_answers(spark):
+    """Full-width answers, ligatures and decomposed letters match exactly and never reach the judge."""
+    cases = spark.createDataFrame([("a", "READY_FOR_GRADING", "最终答案： Ｐａｒｉｓ　２０２４。"), ("b", "READY_FOR_GRADING", "最终答案: ﬁve cafe\u0301"), ("c", "READY_FOR_GRADING", "最终答案: Ｒｏｍｅ")], "task_id string, state string, answer string")
+    gold = spark.createDataFrame([("a", "paris2024"), ("b", "FIVE CAFÉ"), ("c", "paris")], "task_id string, reference_answer string")
+    got = {r.task_id: (r.exact, r.value_json) for r in workflow.grade(cases, gold, grading.fixture_judge).collect()}
+    assert got == {"a": (True, "1"), "b": (True, "1"), "c": (False, "0")}
+
+
 def test_long_form(spark):
     rows = spark.createDataFrame([("a", 7.5, 0.8), ("b", 1.0, None)], "task_id string, quality double, fact_ratio double")
     got = sorted((r.task_id, r.metric_id, r.value, r.status) for r in grading.long_form_scores(rows).where("value is not null or status = 'not_observable'").na.fill(-1.0).collect())

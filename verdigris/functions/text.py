@@ -39,8 +39,8 @@ def js_trim(x: Column) -> Column:
     return F.regexp_replace(x, rf"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
-def normalize_answer(x: Column, compose=lambda c: c) -> Column:
-    """No white space, one closing mark dropped, lower case. compose: e.g. nfkc, for texts that aren't known to be composed."""
+def normalize_answer(x: Column, compose=nfkc) -> Column:
+    """NFKC, no white space, one closing mark dropped, lower case. Workers need this package (session.importable_by_workers)."""
     bare = F.regexp_replace(compose(x), rf"[{SPACE}]+", "")
     return F.lower(F.regexp_replace(bare, r"[，。；;,.]$", ""))
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import verdicts as v
+from ..session import importable_by_workers
 
 Judge = Callable[[DataFrame], DataFrame]
 
 
-def exact_match(answer: Column, reference: Column, last: bool, compose=lambda c: c) -> tuple[Column, Column]:
+def exact_match(answer: Column, reference: Column, last: bool, compose=t.nfkc) -> tuple[Column, Column]:
     """(candidate, whether it equals the reference). last: the last marked answer, and an empty one counts; else the first, and it doesn't."""
     candidate = t.last_marked_answer(answer) if last else t.first_marked_answer(answer)
     same = t.normalize_answer(candidate, compose) == t.normalize_answer(reference, compose)
@@ -20,13 +21,14 @@ def exact_match(answer: Column, reference: Column, last: bool, compose=lambda c:
     return candidate, F.coalesce(same, F.lit(False))
 
 
-def short_fact(rows: DataFrame, judge: Judge, style: str = "chinese", compose=lambda c: c) -> DataFrame:
+def short_fact(rows: DataFrame, judge: Judge, style: str = "chinese", compose=t.nfkc) -> DataFrame:
     """Verdicts for rows (task_id, final_answer, reference_answer, ...): exact, extracted_answer, conclusion, rationale, error.
 
     Rows that match exactly never reach the judge: they are split off by a filter, since a UDF behind a
     condition would run for all. judge gets the others and adds `judge_text`. A row that
     cannot be graded has `error` set instead of stopping the run; strict() turns that into a failure.
     """
+    importable_by_workers(rows.sparkSession)
     last = style == "chinese"
     candidate, same = exact_match(F.col("final_answer"), F.col("reference_answer"), last, compose)
     missing = F.col("reference_answer").isNull() if last else (F.coalesce("reference_answer", F.lit("")) == "")
