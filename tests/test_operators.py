@@ -115,6 +115,24 @@ def test_grade_composes_answers(spark):
     assert got == {"a": (True, "1"), "b": (True, "1"), "c": (False, "0")}
 
 
+def test_dispatch_keeps_rows_without_a_grader(spark):
+    rows = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", None)], "task_id string, benchmark_id string")
+    graded = grading.dispatch(rows, {"a": lambda d: d.withColumn("score", F.lit(1.0)).withColumn("error", F.lit(None).cast("string"))})
+    none = "no grader for benchmark"
+    assert sorted((r.task_id, r.score, r.error) for r in graded.collect()) == [("1", 1.0, None), ("2", None, none), ("3", None, none)]
+
+
+def test_selection_without_limit(spark):
+    """All tasks in the order of the limited selection, and no window or limit in the plan."""
+    tasks = spark.range(3000).select(F.col("id").cast("string").alias("task_id"), F.lit("s").alias("split"))
+    found = workflow.select_tasks(tasks, config.Selection(split="s", seed="x", limit=None))
+    plan = found._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Limit" not in plan
+    expected = selection.select_seeded(tasks, "x", 3000)
+    pairs = lambda d: sorted((r.ordinal, r.task_id) for r in d.collect())
+    assert pairs(found) == pairs(expected)
+
+
 def test_long_form(spark):
     rows = spark.createDataFrame([("a", 7.5, 0.8), ("b", 1.0, None)], "task_id string, quality double, fact_ratio double")
     got = sorted((r.task_id, r.metric_id, r.value, r.status) for r in grading.long_form_scores(rows).where("value is not null or status = 'not_observable'").na.fill(-1.0).collect())

@@ -75,9 +75,9 @@ def long_form_scores(verdicts: DataFrame, key: str = "task_id") -> DataFrame:
 
 
 def dispatch(rows: DataFrame, graders: dict[str, Callable[[DataFrame], DataFrame]], benchmark: str = "benchmark_id") -> DataFrame:
-    """Each benchmark's rows through its grader, together again."""
-    parts = [grade(rows.where(F.col(benchmark) == name)) for name, grade in graders.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+    """Each benchmark's rows through its grader, together again; rows that no grader is for, nulls included, have `error` set."""
+    listed = F.coalesce(F.col(benchmark).isin(list(graders)), F.lit(False))
+    out = rows.where(~listed).withColumn("error", F.lit("no grader for benchmark"))
+    for name, grade in graders.items():
+        out = out.unionByName(grade(rows.where(F.col(benchmark) == name)), allowMissingColumns=True)
     return out

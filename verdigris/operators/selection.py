@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..llm.common import materialize
+
 
 def track_for(family: Column) -> Column:
     return F.when(family == "report_research", "long_form").otherwise("short_fact")
@@ -14,8 +16,27 @@ def seeded_order(seed: str, task_id: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), task_id.cast("string")), 256)
 
 
-def select_seeded(tasks: DataFrame, seed: str, limit: int, key: str = "task_id") -> DataFrame:
-    """The first `limit` tasks in seeded order, numbered from 0. A top-k: each task keeps its own k, then k rows meet."""
+def numbered(tasks: DataFrame, by: list[str]) -> DataFrame:
+    """All tasks with their ordinal in the order of `by`, from 0: ranges of the order are numbered apart and moved by the rows before them.
+
+    The ranges are written, since counts and rows must come from the same ranges.
+    """
+    dealt = tasks.repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = materialize(dealt.select("*", F.monotonically_increasing_id().alias("_at")).withColumn("_range", F.shiftrightunsigned("_at", 33)), "ranges")
+    counts = sorted(ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each range
+    before, total = [], 0
+    for r in counts:
+        before.append((r["_range"], total))
+        total += r.n
+    offsets = tasks.sparkSession.createDataFrame(before, "_range long, _before long")
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(offsets), "_range").withColumn("ordinal", place).drop("_at", "_range", "_before")
+
+
+def select_seeded(tasks: DataFrame, seed: str, limit: int | None, key: str = "task_id") -> DataFrame:
+    """The first `limit` tasks in seeded order, numbered from 0. A top-k: each task keeps its own k, then k rows meet. None: all, in ranges."""
+    if limit is None:
+        return numbered(tasks.withColumn("_order", seeded_order(seed, F.col(key))), ["_order", key]).drop("_order")
     chosen = tasks.withColumn("_order", seeded_order(seed, F.col(key))).orderBy("_order", key).limit(limit)
     ordinal = F.row_number().over(Window.orderBy("_order", key)) - 1  # over the chosen rows only
     return chosen.withColumn("ordinal", ordinal.cast("long")).drop("_order")

@@ -23,7 +23,7 @@ def select_tasks(tasks: DataFrame, chosen) -> DataFrame:
     mine = tasks.where(F.col("split") == chosen.split)
     if chosen.ids:
         return selection.select_ids(mine, list(chosen.ids))
-    return selection.select_seeded(mine, chosen.seed, chosen.limit if chosen.limit is not None else 1 << 30)
+    return selection.select_seeded(mine, chosen.seed, chosen.limit)
 
 
 def fixture_run(requests: DataFrame) -> DataFrame:
