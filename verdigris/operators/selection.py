@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..llm.common import materialize
+from ..storage import materialize
 
 
 def track_for(family: Column) -> Column:
