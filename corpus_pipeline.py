@@ -8,7 +8,8 @@ Parquet in the shared folder and reads it again for the next.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import common, packing, quality, simhash, substring
+from verdigris.llm import packing, quality, simhash, substring
+from verdigris.storage import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,7 +21,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of rows that are alike in five-word shingles, the one with the smallest id; null ids come last, and ids name no group."""
-    numbered = common.materialize(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    numbered = materialize(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
     return numbered.join(simhash.survivors(numbered, COLUMNS), "row", "left_semi").select(COLUMNS)
 
 
@@ -50,5 +51,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(COLUMNS)
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

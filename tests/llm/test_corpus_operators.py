@@ -12,6 +12,7 @@ import xxhash
 
 import corpus_pipeline
 from verdigris.llm import chat, common, components, lm, queries, simhash, spotsigs, substring, urls, warc
+from verdigris.storage import materialize
 from verdigris.tables import NAMES
 
 
@@ -368,7 +369,7 @@ def test_pipeline(spark, table_dir):
     sf_dir = table_dir(docs)
     docs_now, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in corpus_pipeline.STAGES:
-        docs_now = common.materialize(stage(spark, docs_now, sf_dir), "test-stage")
+        docs_now = materialize(stage(spark, docs_now, sf_dir), "test-stage")
         kept.append(docs_now)
     assert all(k.columns == corpus_pipeline.COLUMNS for k in kept[:-1])
     assert {r.doc_id for r in kept[0].collect()} == {i for i, _ in docs} - {21}

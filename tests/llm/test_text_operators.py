@@ -35,10 +35,17 @@ def test_automaton_equals_library():
     expected = [x.ids for x in library().encode_batch(some, add_special_tokens=False)]
     found = [np.frombuffer(x, "<u4").tolist() for x in bpe.Chunks(PATH).of([x.encode() for x in some])]
     assert found == expected
-    auto = bpe.automaton(PATH)
-    assert [auto.decode(x) for x in expected] == [library().decode(x, skip_special_tokens=False) for x in expected]
-    one_by_one = [auto.encode_word(w.encode()) for w in ("hashing", "thattion", "aaaaa")]
-    assert one_by_one == [library().encode(w, add_special_tokens=False).ids for w in ("hashing", "thattion", "aaaaa")]
+    decoded = bpe.automaton(PATH).decode(bpe.lists([np.array(x, "<u4").tobytes() for x in expected])).to_pylist()
+    assert decoded == [library().decode(x, skip_special_tokens=False) for x in expected]
+
+
+def test_long_words_and_full_caches():
+    rng = random.Random(7)
+    words = ["".join(rng.choice(x) for _ in range(rng.choice([49, 50, 400, 3000]))) for x in ("ab", "inger", "abcdefghijklmnopqrstuvwxyz", "éüß", "漢字кири") for _ in range(8)]
+    some = [f"{a} {b} the the {a[:9]}" for a, b in zip(words, words[1:], strict=False)] * 2
+    expected = [library().encode(x, add_special_tokens=False).ids for x in some]
+    table = bpe.Chunks(PATH, most=2000)  # much less than a text's chunks take
+    assert [np.frombuffer(table.of([x.encode()])[0], "<u4").tolist() for x in some] == expected
 
 
 def test_bpe_query(spark, table_dir, edges):

@@ -4,15 +4,26 @@
 state with an arc for every base symbol. The gadget of merge (u, v), in rank order, splits the
 state behind u: the new state lacks the arc v, and wherever an arc u leaves, an arc uv is added
 that ends where v ended. What stays readable after all gadgets are exactly the label sequences
-that greedy merging produces, and exactly one of them spells a given word. Split states are
-kept as (label, rank) branches, so that a cut made by a gadget holds for that branch from that
-rank on, for what inherits the branch later, and for labels that begin with the cut label and
-were born later; `arc` reads this off the cuts, and the transition table remembers it.
+that greedy merging produces, and exactly one of them spells a given word.
+
+The automaton is deterministic over labels, with one state behind each label. Its transition table would have a
+row for each state, so it is kept as what the gadgets leave of it, in arrays that are filled once:
+
+  cuts     (u, v) -> rank of the gadget that cut the arc v behind u
+  behind   for each label the branches that the state behind it inherits (itself, and down its right-hand
+           parts), each up to the rank at which it was born
+  begins   for each label the labels it begins with (itself, and down its left-hand parts), each
+           from the rank on at which it was longer
+
+A transition (last, label) is missing if a cut between the two lists was made in that time: a table lookup
+for each pair, taken for whole arrays of transitions at once.
 
 Encoding splits text as the tokenizer file says (NFC, white space, lower case, its word
-pattern), then walks each word's bytes through the transition tables: the byte trie gives the
-arcs that fit, the longest whose transition exists is taken, a dead end goes back one arc.
-Decoding emits the arcs' labels, joined by one space when the file names no decoder.
+pattern), then walks each word's bytes: the byte trie gives the labels that fit, the longest whose
+transition exists is taken, and a dead end goes back one arc. That is linear: since one valid path at most spells a given prefix,
+a position is entered once at most, so each label that fits somewhere is tried once at most. Words of more than
+LONG bytes go forward instead, position by position: of the labels that end at one, the only one whose transition from the
+state at its start exists. Decoding emits the arcs' labels, joined by one space when the file names no decoder.
 
 Both directions are one pass without a shuffle. Null text is treated as empty; empty text has no
 ids and decodes to empty text; an id without a label is skipped, as the library does. Repeated
@@ -26,6 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +46,12 @@ from pyspark.sql import types as T
 from .common import bounded_batches
 
 #: White space in Unicode's sense, as the tokenizer's pattern engine takes \s.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ROOT = -1
+#: Bytes of a word beyond which it is encoded alone.
+LONG = 48
+#: Bytes of memory that the known chunks of one Python worker may take.
+CHUNK_BYTES = 32 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -45,6 +61,20 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def ragged(lists: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of (label, rank) as flat arrays: where each list starts (and the last ends), labels, ranks."""
+    ends = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum([len(x) for x in lists], out=ends[1:])
+    flat = np.array([y for x in lists for y in x], np.int64).reshape(-1, 2)
+    return ends, flat[:, 0].copy(), flat[:, 1].copy()
+
+
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of counts its index, repeated so often, and the number of the repetition."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 class Automaton:
     """The compiled automaton of one tokenizer file (word-level BPE with an end-of-word mark)."""
 
@@ -52,137 +82,104 @@ class Automaton:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.labels: dict[int, str] = {i: label for label, i in model["vocab"].items()}
         self.special: dict[str, int] = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.labels |= {i: label for label, i in self.special.items()}
+        labels = {i: label for label, i in model["vocab"].items()} | {i: label for label, i in self.special.items()}
+        self.labels = pa.array([labels.get(i) for i in range(max(labels) + 1)], pa.string())
         self.end = model["end_of_word_suffix"]
         self._read_pattern(spec)
         self._build_gadgets(model)
         self._build_trie(model["vocab"])
-        self.table: dict[int, bool] = {}
 
     def _read_pattern(self, spec: dict) -> None:
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         pattern = split["pattern"]["Regex"].replace(r"[^\s", f"[^{SPACE}")
-        self.words = regex.compile(pattern).findall
         self.words_or_blank = regex.compile(f"{pattern}| ").findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.any_special = [x.encode() for x in self.special]
 
     def _build_gadgets(self, model: dict) -> None:
-        """cuts[u]: the arcs cut from the branch u, with the rank of the gadget that cut each.
-
-        after[t]: the branches that the state behind label t inherits, each up to a rank.
-        begins[t]: the labels that t begins with, each with the rank from which it is longer.
-        """
-        ids, always = model["vocab"], 1 << 60
-        self.cuts: dict[int, dict[int, int]] = {}
-        self.after = {i: [(i, always)] for i in ids.values()}
-        self.begins = {i: {i: always} for i in ids.values()}
-        made: set[int] = set()
+        """A gadget cuts one arc, and its label is born: behind it stands what stood behind its right part, and it begins as its left part."""
+        ids, always = model["vocab"], 1 << 40
+        size = max(ids.values()) + 1
+        left, right, born, cuts = [ROOT] * size, [ROOT] * size, [always] * size, {}
         for rank, (a, b) in enumerate(model["merges"]):
             u, v, uv = ids[a], ids[b], ids[a + b]
-            self.cuts.setdefault(u, {})[v] = rank
-            if uv not in made:  # uv ends where v ended, and is readable where u was
-                made.add(uv)
-                (_, _), *older = self.after[v]
-                self.after[uv] = [(uv, always), (v, rank), *older]
-                (_, _), *shorter = self.begins[u].items()
-                self.begins[uv] = {uv: always, u: rank, **dict(shorter)}
-        self.after = {t: [(self.cuts[u], most) for u, most in x if u in self.cuts] for t, x in self.after.items()}
+            cuts[u << 32 | v] = rank
+            if born[uv] == always:  # a label is born once; later gadgets that spell it only cut
+                left[uv], right[uv], born[uv] = u, v, rank
+        cutting, cuttable = {x >> 32 for x in cuts}, {x & 0xFFFFFFFF for x in cuts}
+
+        def down(label: int, part: list[int], wanted: set[int]) -> list[tuple[int, int]]:
+            found, time = [], always
+            while label != ROOT:
+                if label in wanted:
+                    found.append((label, time))
+                label, time = part[label], born[label]
+            return found
+
+        self.behind = ragged([down(t, right, cutting) for t in range(size)])
+        self.begins = ragged([down(t, left, cuttable) for t in range(size)])
+        self.cuts = Lookup(cuts)
 
     def _build_trie(self, vocab: dict[str, int]) -> None:
-        """goto[node << 8 | byte], and the label that ends at a node: inside a word, and at its end."""
-        alphabet, self.goto, self.inside, self.final = byte_alphabet(), {}, {}, {}
+        """steps: (node << 8 | byte) -> node; starts: the nodes at the end of one and two bytes; labels_at: the label that ends at a node, inside a word and at its end."""
+        alphabet, goto, ending = byte_alphabet(), {}, ({}, {})
         nodes = 1
         for label, i in vocab.items():
             ends = label.endswith(self.end)
             node = 0
             for c in label[: -len(self.end)] if ends else label:
                 at = node << 8 | alphabet[c]
-                node = self.goto.get(at)
+                node = goto.get(at)
                 if node is None:
-                    self.goto[at] = node = nodes
+                    goto[at] = node = nodes
                     nodes += 1
-            (self.final if ends else self.inside)[node] = i
-        self.steps = Lookup(self.goto)
-        self.labels_at = np.full((2, nodes), -1, np.int64)  # inside a word, at its end
-        for row, found in enumerate((self.inside, self.final)):
+            ending[ends][node] = i
+        self.steps = Lookup(goto)
+        first = self.steps(np.arange(256))
+        self.starts = (first, self.steps(np.repeat(first, 256) << 8 | np.tile(np.arange(256), 256)))  # by one byte, and by two
+        self.labels_at = np.full((2, nodes), -1, np.int32)
+        for row, found in enumerate(ending):
             self.labels_at[row, list(found)] = list(found.values())
 
-    def arc(self, last: int, label: int) -> bool:
-        """Whether the state behind `last` has an arc `label`."""
-        begins = self.begins[label]
-        for cuts, before in self.after[last]:
-            for c in cuts.keys() & begins.keys():
-                if cuts[c] < before and cuts[c] <= begins[c]:
-                    return False
-        return True
-
-    def encode_word(self, word: bytes) -> list[int]:
-        """The only accepted path that spells the word."""
-        goto, inside, final, table = self.goto, self.inside, self.final, self.table
-        n, at, last, path, options = len(word), 0, ROOT, [], None
-        while at < n:
-            if options is None:
-                options, node = [], 0
-                for i in range(at, n):
-                    node = goto.get(node << 8 | word[i])
-                    if node is None:
-                        break
-                    label = inside.get(node) if i + 1 < n else final.get(node)
-                    if label is not None:
-                        options.append((label, i + 1))
-            while options:
-                label, to = options.pop()
-                if last != ROOT:
-                    key = last << 32 | label
-                    ok = table.get(key)
-                    if ok is None:
-                        if len(table) > 400_000:
-                            table.clear()
-                        ok = table[key] = self.arc(last, label)
-                    if not ok:
-                        continue
-                path.append((last, at, options))
-                last, at, options = label, to, None
-                break
-            else:
-                if not path:
-                    return []  # no base symbol for a byte: the vocabulary has all of them
-                last, at, options = path.pop()
-        return [x[0] for x in path[1:]] + [last]
-
     def arcs(self, last: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """arc() of many pairs, through the transition table."""
-        pairs, where = np.unique(last << 32 | label, return_inverse=True)
-        ok, table = np.ones(len(pairs), bool), self.table
-        if len(table) > 400_000:
-            table.clear()
-        for i, key in enumerate(pairs.tolist()):
-            if key >= 0:
-                found = table.get(key)
-                if found is None:
-                    found = table[key] = self.arc(key >> 32, key & 0xFFFFFFFF)
-                ok[i] = found
-        return ok[where]
-
-    def encode_words(self, words: list[bytes], at_once: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in order, and how many each word has."""
-        found = [self._walk(words[i : i + at_once]) for i in range(0, len(words), at_once)]
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-
-    def _walk(self, words: list[bytes], longest: int = 48) -> tuple[np.ndarray, np.ndarray]:
-        """encode_word() for many words: all take their next arc, or step back, at the same time. Very long words go one by one."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends, data = np.cumsum(sizes), np.frombuffer(b"".join(words), np.uint8)
-        path = np.full((min(longest, int(sizes.max())), len(words)), -1, np.int32)  # labels
+        """Whether the state behind each `last` (or the start, ROOT) has the arc `label`."""
+        (b0, behind, until), (g0, begins, since) = self.behind, self.begins
+        ok = np.ones(len(last), bool)
+        rows = np.flatnonzero(last != ROOT)
+        last, label = last[rows], label[rows]
+        n, m = b0[last + 1] - b0[last], g0[label + 1] - g0[label]
+        owner, nth = spread(n * m)
+        x, y = b0[last][owner] + nth // m[owner], g0[label][owner] + nth % m[owner]
+        rank = self.cuts(behind[x] << 32 | begins[y])
+        ok[rows[owner[(rank >= 0) & (rank < until[x]) & (rank <= since[y])]]] = False
+        return ok
+
+    def encode_words(self, data: np.ndarray, sizes: np.ndarray, at_once: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in order, and how many each word has. data: the words' bytes, one after another."""
+        ends, counts, found = np.cumsum(sizes), np.zeros(len(sizes), np.int64), []
+        for i in range(0, len(sizes), at_once):
+            some = slice(i, i + at_once)
+            long = np.flatnonzero(sizes[some] > LONG)
+            ids, counts[some] = self._walk(data, ends[some], sizes[some])
+            if len(long):
+                alone = [self._forward(data[ends[i + j] - sizes[i + j] : ends[i + j]]) for j in long.tolist()]
+                counts[i + long] = [len(x) for x in alone]
+                whole, is_long = np.empty(counts[some].sum(), np.int64), np.zeros(len(sizes[some]), bool)
+                is_long[long] = True
+                where = np.repeat(is_long, counts[some])
+                whole[~where], whole[where] = ids, np.concatenate(alone)
+                ids = whole
+            found.append(ids)
+        return np.concatenate(found) if found else np.empty(0, np.int64), counts
+
+    def _walk(self, data: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The paths of all words of up to LONG bytes: all take their next arc, or step back, at the same time."""
+        path = np.full((min(LONG, int(sizes.max())), len(sizes)), -1, np.int32)  # labels
         size = np.zeros(path.shape, np.int8)  # their bytes
-        steps = np.zeros(len(words), np.int64)
-        who = np.flatnonzero((sizes > 0) & (sizes <= longest))
-        at, most = (ends - sizes)[who], np.full(len(who), longest, np.int64)
+        steps = np.zeros(len(sizes), np.int64)
+        who = np.flatnonzero((sizes > 0) & (sizes <= LONG))
+        at, most = (ends - sizes)[who], np.full(len(who), LONG, np.int64)
         while len(who):
             last = np.where(steps[who] > 0, path[steps[who] - 1, who], ROOT).astype(np.int64)
             label, taken = self._next(data, at, ends[who], last, most)
@@ -191,7 +188,7 @@ class Automaton:
             path[steps[w], w], size[steps[w], w] = label[go], taken[go]
             steps[w] += 1
             at[go] += taken[go]
-            most[go] = longest
+            most[go] = LONG
             back = who[~go]
             steps[back] -= 1
             at[~go] -= size[steps[back], back]
@@ -200,61 +197,86 @@ class Automaton:
             left = at < ends[who]
             who, at, most = who[left], at[left], most[left]
         flat = path.T
-        ids, counts = flat[flat >= 0].astype(np.int64), steps
-        for i in np.flatnonzero(sizes > longest).tolist():
-            one = self.encode_word(words[i])
-            before = int(counts[:i].sum())
-            ids, counts[i] = np.concatenate([ids[:before], one, ids[before:]]), len(one)
-        return ids, counts
+        return flat[flat >= 0].astype(np.int64), steps
 
     def _next(self, data, at, stop, last, most) -> tuple[np.ndarray, np.ndarray]:
         """For each word the longest label of up to `most` bytes that fits at `at` and whose arc leaves `last`, and its bytes; or -1."""
-        found, rows, node, d = [], np.flatnonzero(most > 0), 0, 0
+        label, taken = np.full(len(at), -1, np.int64), np.zeros(len(at), np.int64)
+        fits = list(self._labels(data, at, stop, most))
+        for d in range(len(fits), 0, -1):
+            rows, new = fits[d - 1]
+            open_ = label[rows] < 0
+            rows, new = rows[open_], new[open_]
+            ok = self.arcs(last[rows], new)
+            label[rows[ok]], taken[rows[ok]] = new[ok], d
+        return label, taken
+
+    def _labels(self, data, at, stop, most):
+        """By their bytes 1, 2, ...: which of the places `at` a label of so many bytes fits, and the label."""
+        rows, node, d = np.flatnonzero(most > 0), 0, 0
         while len(rows):
             pos = at[rows] + d
-            node = self.steps(node << 8 | data[pos])
+            node = self.steps(node << 8 | data[pos]) if d > 1 else self.starts[1][data[pos - 1].astype(np.int64) << 8 | data[pos]] if d else self.starts[0][data[pos]]
             alive = node >= 0
             rows, node, pos = rows[alive], node[alive], pos[alive]
             d += 1
-            label = np.full(len(at), -1, np.int64)
             at_end = pos + 1 >= stop[rows]
-            label[rows] = self.labels_at[at_end.astype(np.int64), node]
-            found.append(label)
+            label = self.labels_at[at_end.astype(np.int64), node]
+            yield rows[label >= 0], label[label >= 0].astype(np.int64)
             more = ~at_end & (most[rows] > d)
             rows, node = rows[more], node[more]
-        label, taken, rows = np.full(len(at), -1, np.int64), np.zeros(len(at), np.int64), np.arange(len(at))
-        for d in range(len(found), 0, -1):
-            new = found[d - 1][rows]
-            fits = np.flatnonzero(new >= 0)
-            ok = self.arcs(last[rows[fits]], new[fits])
-            hit = rows[fits[ok]]
-            label[hit], taken[hit] = new[fits[ok]], d
-            rows = np.delete(rows, fits[ok])
-        return label, taken
-
-    def encode_piece(self, piece: str) -> list[int]:
-        """Ids of a text, through the tokenizer's normal form and word pattern."""
-        out: list[int] = []
-        for i, part in enumerate(self.cut(piece) if self.cut else [piece]):
-            if i % 2:
-                out.append(self.special[part])
-                continue
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for word in self.words(part):
-                out += self.encode_word(word.encode())
-        return out
-
-    def decode(self, ids) -> str:
-        return " ".join([self.labels[i] for i in ids if i in self.labels])
 
-
-@lru_cache(maxsize=2)
-def labels_of(path: str) -> list[str | None]:
-    """Label by id: all that decoding needs of the automaton."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    found = {i: label for label, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
-    return [found.get(i) for i in range(max(found) + 1)]
+    def _forward(self, word: np.ndarray) -> np.ndarray:
+        """The path of one long word: all labels that fit anywhere, all transitions between neighbours among them, then one pass over the positions."""
+        n = len(word)
+        found = [(rows, new, np.full(len(rows), d + 1)) for d, (rows, new) in enumerate(self._labels(word, np.arange(n), np.full(n, n), np.full(n, n)))]
+        start, label, size = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(start, kind="stable")
+        start, label, stop = start[order], label[order], (start + size)[order]
+        first, last = np.searchsorted(start, stop, "left"), np.searchsorted(start, stop, "right")
+        before, nth = spread(last - first)  # a label and one that starts where it stops
+        after = first[before] + nth
+        ok = self.arcs(label[before], label[after])
+        order = np.argsort(stop[before[ok]], kind="stable")
+        came = np.full(len(label), -2)  # by which label a valid path came to this one
+        came[start == 0] = -1
+        for a, b in zip(before[ok][order].tolist(), after[ok][order].tolist(), strict=True):
+            if came[a] != -2:
+                came[b] = a
+        path, i = [], next(iter(np.flatnonzero((stop == n) & (came != -2)).tolist()), -1)
+        while i >= 0:
+            path.append(int(label[i]))
+            i = came[i]
+        return np.array(path[::-1], np.int64)
+
+    def encode_text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text, and how many of them stand before each of its blanks and in all."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")  # a final sigma is no case of its own here
+        parts = self.words_or_blank(text.lower())
+        place = {x: i for i, x in enumerate(dict.fromkeys(parts))}
+        which = np.fromiter(map(place.__getitem__, parts), np.int64, len(parts))
+        place.setdefault(" ", len(place))
+        blank = which == place[" "]
+        once = [b"" if x == " " else x.encode() for x in place]  # each word is encoded once
+        ids, counts = self.encode_words(np.frombuffer(b"".join(once), np.uint8), np.fromiter(map(len, once), np.int64, len(once)))
+        owner, nth = spread(counts[which])
+        ends = np.concatenate([[0], np.cumsum(counts[which])])
+        return ids[(np.cumsum(counts) - counts)[which][owner] + nth], np.append(ends[:-1][blank], ends[-1])
+
+    def encode_piece(self, piece: str) -> np.ndarray:
+        """Ids of a text that may have special labels in it."""
+        parts = self.cut(piece) if self.cut else [piece]
+        return np.concatenate([np.array([self.special[x]]) if i % 2 else self.encode_text(x)[0] for i, x in enumerate(parts)])
+
+    def decode(self, ids: pa.ListArray) -> pa.StringArray:
+        """The labels of each list, joined by one space."""
+        ends, ids = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy(zero_copy_only=False)
+        there = (ids >= 0) & (ids < len(self.labels))
+        there[there] = self.labels.is_valid().to_numpy(zero_copy_only=False)[ids[there]]
+        ends = np.concatenate([[0], np.cumsum(there)])[ends]
+        texts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.labels.take(pa.array(ids[there])))
+        return pc.binary_join(texts, " ")
 
 
 @lru_cache(maxsize=2)
@@ -300,52 +322,49 @@ class Lookup:
 class Chunks(dict):
     """Packed little-endian 32-bit ids by chunk (what stands between ASCII white space), for the chunks that come again.
 
-    White space always separates words and never composes, so chunks are encoded independently.
+    White space always separates words and never composes, so chunks are encoded independently. When
+    they take too much memory, only those of the texts at hand stay: the common ones are among them.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    ENTRY = 200  # bytes that an entry takes besides its ids and the chunk
+
+    def __init__(self, path: str, most: int = CHUNK_BYTES):
         super().__init__()
-        self.by, self.most = automaton(path), most
+        self.by, self.most, self.size = automaton(path), most, 0
+
+    def put(self, chunk: bytes, ids: bytes) -> None:
+        self[chunk] = ids
+        self.size += len(chunk) + len(ids) + self.ENTRY
 
     def learn(self, new: list[bytes]) -> None:
         """Encode chunks that aren't known yet, all at once."""
-        by = self.by
-        plain = []
-        for chunk in new:
-            if b"<|" in chunk and any(x in chunk for x in by.any_special):
-                self[chunk] = np.array(by.encode_piece(chunk.decode("utf-8", "replace")), "<u4").tobytes()
-            else:
-                plain.append(chunk)
+        by, special = self.by, set()
+        if b"<|" in b" ".join(new):
+            special = {x for x in new if any(y in x for y in by.any_special)}
+            for chunk in special:
+                self.put(chunk, by.encode_piece(chunk.decode("utf-8", "replace")).astype("<u4").tobytes())
+        plain = [x for x in new if x not in special] if special else new
         if not plain:
             return
-        text = b" ".join(plain).decode("utf-8", "replace")
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        words, per, n = [], [], 0
-        for x in by.words_or_blank(text.lower()):
-            if x == " ":
-                per.append(n)
-                n = 0
-            else:
-                words.append(x.encode())
-                n += 1
-        per.append(n)
-        ids, counts = by.encode_words(words)
-        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(per)] * 4
+        ids, ends = by.encode_text(b" ".join(plain).decode("utf-8", "replace"))
         packed, start = ids.astype("<u4").tobytes(), 0
-        for chunk, end in zip(plain, ends.tolist(), strict=True):
+        for chunk, end in zip(plain, (4 * ends).tolist(), strict=True):
             self[chunk] = packed[start:end]
             start = end
+        self.size += len(packed) + sum(map(len, plain)) + self.ENTRY * len(plain)
 
     def of(self, texts: list[bytes | None]) -> list[bytes]:
         """Packed ids of each text."""
-        if len(self) >= self.most:
-            self.clear()
         split = [(x or b"").split() for x in texts]
-        new: set[bytes] = set()
-        for x in split:
-            new.update(x)
-        if new := list(new.difference(self)):
+        here = set().union(*split)
+        new = list(here.difference(self))
+        if new:
+            if self.size > self.most:
+                again = [(x, self[x]) for x in here if x in self]
+                self.clear()
+                self.size = 0
+                for chunk, ids in again:
+                    self.put(chunk, ids)
             self.learn(new)
         return [b"".join(map(self.__getitem__, x)) for x in split]
 
@@ -361,39 +380,42 @@ def lists(packed: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs without the text, with its ids as array<int>."""
+def recode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs without the text, with its ids as array<int> and, if named, the text that their labels spell: both directions in one pass."""
     bounded_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in (text, ids, "_bpe_text")]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    keep = [c for c in docs.columns if c not in (text, ids, decoded, "_bpe_text")]
+    more = [T.StructField(decoded, T.StringType())] if decoded else []
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType())), *more])
 
     def run(batches):
         table = chunks(path)
         for batch in batches:
-            packed = table.of(batch.column("_bpe_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [lists(packed)], names=[*keep, ids])
+            found = lists(table.of(batch.column("_bpe_text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [found] + ([table.by.decode(found)] if decoded else []), names=schema.names)
 
     return docs.select(*keep, F.col(text).cast("binary").alias("_bpe_text")).mapInArrow(run, schema)
 
 
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """docs without the text, with its ids as array<int>."""
+    return recode(docs, path, text, ids)
+
+
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """encoded without the ids, with the text that their labels spell."""
     bounded_batches(encoded.sparkSession)
-    keep = [c for c in encoded.columns if c not in (text, ids)]
+    keep = [c for c in encoded.columns if c not in (text, ids, "_bpe_ids")]
     schema = T.StructType([encoded.schema[c] for c in keep] + [T.StructField(text, T.StringType())])
 
     def run(batches):
-        known = labels_of(path)
+        by = automaton(path)
         for batch in batches:
-            column = batch.column(ids)
-            values, ends = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy().cumsum()
-            out, start = [], 0
-            for end in ends:
-                out.append(" ".join([known[i] for i in values[start:end].tolist() if 0 <= i < len(known) and known[i] is not None]))
-                start = end
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(out, pa.string())], names=[*keep, text])
+            column = batch.column("_bpe_ids")
+            ends = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
+            known = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), column.flatten().fill_null(-1).cast(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [by.decode(known)], names=schema.names)
 
-    return encoded.select(*keep, ids).mapInArrow(run, schema)
+    return encoded.select(*keep, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("_bpe_ids")).mapInArrow(run, schema)
 
 
 def op2_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -402,12 +424,9 @@ def op2_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("word_bpe_49k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     ids = F.col("ids")
-    encoded = encode(docs, path).select(
+    return recode(docs, path, decoded="decoded").select(
         "doc_id",
         F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"),
-        "ids",
-    )
-    return decode(encoded, path).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text"), 256).alias("decoded_sha256")
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )

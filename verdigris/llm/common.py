@@ -1,7 +1,4 @@
-"""What the text operators share: the shared folder, written intermediates, words and 64-bit mixing."""
-
-import uuid
-from contextlib import contextmanager
+"""What the text operators share: bounded batches, words and 64-bit mixing."""
 
 import numpy as np
 import xxhash
@@ -21,61 +18,12 @@ TASK_MB = 24
 MOST_PARTS = 1 << 14
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; on one machine without that setting, one in /tmp."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "/tmp/verdigris-shared"
-
-
-@contextmanager
-def setting(spark: SparkSession, **values):
-    """Session settings (dots as __) that hold inside the block only."""
-    values = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Limit Arrow batches by bytes for the session: a batch of long texts must not grow with their length."""
     importable_by_workers(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
-
-    It cuts the lineage: a lost executor costs a re-read, not a recomputation, and what
-    depends on task identity stays fixed. Shuffle files of the finished write are released.
-    """
-    spark = df.sparkSession
-    bounded_batches(spark)
-    path = f"{shared_dir(spark)}/verdigris-{label}-{uuid.uuid4().hex[:12]}"
-    with setting(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
-        df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._verdigris_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote, once nothing reads it any more."""
-    path = getattr(df, "_verdigris_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-
-
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """Bytes of all texts, by one native aggregate."""
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -8,7 +8,7 @@ adaptive execution splits. Steps are written in the shared folder.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from ..storage import discard, materialize
 
 
 def _step(edges: DataFrame, small: bool) -> DataFrame:

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_BYTES, WordHashes, bounded_batches, dealt_by_bucket, discard, materialize, mix, rolling, setting, text_bytes
+from ..storage import discard, materialize, setting
+from .common import ARROW_BYTES, WordHashes, bounded_batches, dealt_by_bucket, mix, rolling, text_bytes
 from .substring import Words, as_bytes, batch_of, blocks
 
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2

@@ -12,6 +12,7 @@ Null text is empty: one piece, the closing id alone. Repeated rows are packed as
 occur. An empty table gives an empty result. Other columns of the documents are not carried.
 """
 
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -23,7 +24,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .bpe import chunks
-from .common import bounded_batches, materialize
+from ..storage import materialize
+from .common import bounded_batches
 
 SIZE, CLOSING = 2048, 1
 
@@ -34,14 +36,19 @@ PIECES = T.StructType([
     T.StructField("doc_tokens", T.LongType()),
     T.StructField("part", T.IntegerType()),
     T.StructField("rank_in_part", T.LongType()),
+    T.StructField("ids_crc32", T.LongType()),
     T.StructField("ids", T.BinaryType()),
 ])
 
 
-def pieces(docs: DataFrame, path: str, size: int = SIZE, closing: int = CLOSING, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The cut documents, written in the shared folder: ids are packed as little-endian unsigned 32-bit integers."""
+def pieces(docs: DataFrame, path: str, size: int = SIZE, closing: int = CLOSING, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+    """The cut documents, written in the shared folder: ids are packed as little-endian unsigned 32-bit integers.
+
+    ids_crc32 is their checksum; without ids, it alone is written.
+    """
     bounded_batches(docs.sparkSession)
     last = np.array([closing], "<u4").tobytes()
+    schema = PIECES if with_ids else T.StructType(PIECES.fields[:-1])
 
     def run(batches):
         table, seen, part = chunks(path), defaultdict(int), TaskContext.get().partitionId()
@@ -52,13 +59,14 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, closing: int = CLOSING,
                 total = len(packed) // 4
                 for start in range(0, total, size):
                     length = min(size, total - start)
-                    rows.append((doc, start, length, total, part, seen[length], packed[4 * start : 4 * (start + length)]))
+                    ids = packed[4 * start : 4 * (start + length)]
+                    rows.append((doc, start, length, total, part, seen[length], zlib.crc32(ids), ids)[: len(schema)])
                     seen[length] += 1
-            columns = list(zip(*rows, strict=True)) or [()] * len(PIECES)
-            types = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=PIECES.names)
+            columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+            types = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types[: len(schema)], strict=True)], names=schema.names)
 
-    found = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary")).mapInArrow(run, PIECES)
+    found = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary")).mapInArrow(run, schema)
     return materialize(found, "pieces")
 
 
@@ -119,5 +127,4 @@ def op1_packing(spark, sf_dir: str, path: str | None = None) -> DataFrame:
 
     path = path or public_tokenizers.path("word_bpe_49k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    cut = pieces(docs, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return assign(cut).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return assign(pieces(docs, path, with_ids=False)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ROLL, WordHashes, bounded_batches, discard, materialize, mix, rolling
+from ..storage import discard, materialize
+from .common import ROLL, WordHashes, bounded_batches, mix, rolling
 from .components import components
 
 BITS = 64

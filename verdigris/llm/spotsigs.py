@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_batches, materialize, mix, parts_for, text_bytes
+from ..storage import materialize
+from .common import WordHashes, bounded_batches, mix, parts_for, text_bytes
 from .components import components
 
 CHAIN, HASHED, FEW = 2, 4, 8

@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ARROW_BYTES, WordHashes, bounded_batches, dealt_by_bucket, discard, materialize, mix, parts_for, rolling, setting, text_bytes
+from ..storage import discard, materialize, setting
+from .common import ARROW_BYTES, WordHashes, bounded_batches, dealt_by_bucket, mix, parts_for, rolling, text_bytes
 
 WINDOW = 20
 #: Text of one block of documents, and about how many hashes one bucket gets.
