@@ -139,16 +139,23 @@ def test_long_form(spark):
     assert got == [("a", "fact_ratio", 0.8, "scored"), ("a", "quality", 7.5, "scored"), ("b", "fact_ratio", -1.0, "not_observable"), ("b", "quality", 1.0, "scored")]
 
 
-def test_attribution():
-    parsed = attribution.parse_report("One. Two [1].\n\nTail. See [Site](https://s.example/p#x) and ![i](https://no.example).\n\n```\n[2]\n```\nLeft [9] [^2].\n\n[1]: <https://a.example>\n[^2]: https://f.example\n")
-    kinds = [r[0] for r in parsed]
-    urls = {tuple(r[5])[0]: r[6] for r in parsed if r[0] == "citation"}
-    assert set(urls.values()) == {"https://a.example", "https://f.example", "https://s.example/p"}
-    sentences = [r[2] for r in parsed if r[0] == "attribution"]
-    assert sentences == ["One.", "Two .", "Tail.", "See Site and ."]
-    assert kinds.count("note") == 2  # [9], and a footnote whose definition is named ^2
+def test_attribution(spark):
+    fence = "\n```\n[2] One.\n```\n"
+    report = f"One. Two [1].\n\nTail. See [Site](https://s.example/p#x) and ![i](https://no.example).\n{fence}Left [9] [^2].\n\n[1]: <https://a.example>\n[^2]: https://f.example\n"
+    odd = "\n\nA [x](https://a.example). B [1-2][2]. C![i](https://i.example/[1]) [7](/local).\n\n~~~\nopen [1]\n[1]: https://late.example"
+    relabelled = "P [k](https://1.example) [k]. Q [1](https://2.example). R [1]. S [1](https://3.example). T [1].\n\n[1]: https://4.example\n[1]: https://5.example"
+    reports = spark.createDataFrame([("a", report, 1), ("odd", odd, 2), ("k", relabelled, 3), ("none", None, 4), ("", "", 5)], "k string, m string, key int")
+    rows = attribution.attributions(reports, "k", "m").collect()
+    of = lambda key, kind: sorted((r for r in rows if r.key == key and r.kind == kind), key=lambda r: r.position)
+    assert [(r.url, r.labels) for r in of("a", "citation")] == [("https://a.example", ["1"]), ("https://f.example", ["^2"]), ("https://s.example/p", ["Site"])]
+    assert [(r.text, r.citation_ids) for r in of("a", "attribution")] == [("One.", ["c1"]), ("Two .", ["c1"]), ("Tail.", ["c3"]), ("See Site and .", ["c3"])]
+    assert [r.text for r in of("a", "note")] == ["unresolved_citation_label:9", "unresolved_citation_label:2"]  # a footnote's definition is named ^2
+    assert [(r.text, r.span_start, r.span_end) for r in of("odd", "attribution")] == [("A x.", 0, 25)]
+    assert [r.text[-1] for r in of("odd", "note")] == ["1", "2", "2", "7"]
+    assert [r.url for r in of("k", "citation")] == [f"https://{i}.example" for i in (5, 1, 2, 3)]
+    assert [r.citation_ids for r in of("k", "attribution")] == [["c2"], ["c3"], ["c3"], ["c4"], ["c4"]]
+    assert {r.key for r in rows} == {"a", "odd", "k"}
     assert attribution.numbers(3, 1) == ["1", "2", "3"] and attribution.numbers(1, 60) == ["1", "60"]
-    assert attribution.parse_report(None) == []
 
 
 def test_leaks(spark):

@@ -148,7 +148,7 @@ def leaked_keys(spark, sf_dir) -> DataFrame:
 def backward_attribution(spark, sf_dir) -> DataFrame:
     cited = F.when(F.col("role") == "assistant", F.concat(F.lit("c"), F.col("turn").cast("string")))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", cited.alias("cited"))
-    return rows.withColumn("attributed", attribution.backward(rows, ["conv_id"], ["turn"], "cited")).where("attributed is not null").select("conv_id", "turn", "attributed")
+    return rows.withColumn("attributed", attribution.backward("cited", ["conv_id"], ["turn"])).where("attributed is not null").select("conv_id", "turn", "attributed")
 
 
 def _reports(spark, sf_dir) -> DataFrame:
