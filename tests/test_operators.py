@@ -1,9 +1,10 @@
 """Golden rows of the operators."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.operators import attribution, citations, grading, leaks, ledger, metrics, selection, state
+from verdigris.operators import attribution, citations, grading, judging, leaks, ledger, metrics, selection, state
 from verdigris.plans import config, workflow
 from verdigris.sources import readers, schemas, sinks
 
@@ -239,3 +240,94 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == [("e1", 0, True), ("e2", 1, True), ("e3", 0, True), ("e4", 1, False)]
     batch = state.sequence(rows, ["case_id"], ["ts", "event_id"])
     assert sorted((r.event_id, r.seq) for r in batch.collect()) == [(a, b) for a, b, _ in got]
+
+
+def test_calibration_counts_bins_from_the_last(spark):
+    rows = spark.createDataFrame([("m", "no", "-67%"), ("m", "no", "90%")], "m string, c string, p string")
+    assert metrics.calibration(rows, "m", "c", "p").first().calibration_error_pct == pytest.approx(78.5)
+    with pytest.raises(Exception, match="below every bin"):
+        metrics.calibration(rows.replace("-67%", "-101%"), "m", "c", "p").collect()
+
+
+def test_kappa_refuses_what_it_cannot_compare(spark):
+    rows = spark.createDataFrame([("a", "b")], "e string, f string")
+    with pytest.raises(Exception, match="unknown label: a/b"):
+        metrics.kappa(rows, "e", "f", labels=["a"]).collect()
+    with pytest.raises(Exception, match="no labels"):
+        metrics.kappa(rows.where("false"), "e", "f").collect()
+
+
+def test_failed_results(spark):
+    rows = spark.createDataFrame([("completed", "a"), ("completed", None), ("timeout", "a"), ("needs_login", None), (None, None)], "s string, a string")
+    assert [r.x for r in rows.select(state.failure_state(F.col("s"), F.col("a")).alias("x")).collect()] == [None, "PROVIDER_ERROR", "TIMED_OUT", "PROVIDER_ERROR", "PROVIDER_ERROR"]
+
+
+def test_leaks_of_any_number_and_length(spark):
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "no match here"), (3, None), (4, "x  y")], "d long, t string")
+    short = [(i, f"zz{i} yy{i}") for i in range(12_000)]  # once a limit
+    items = spark.createDataFrame([*short, (-1, "uick br"), (-2, "row"), (-3, " fox j"), (-4, "quick  brown"), (-5, "e quick brown f"), (-6, "h"), (-7, " "), (-8, None), (-9, "x  y")], "i long, a string")
+    assert sorted((r.d, r.i) for r in leaks.corpus_leaks(docs, items, "d", "t", "i", "a").collect()) == [(1, -6), (1, -5), (1, -3), (1, -2), (1, -1), (2, -6), (4, -9)]
+    assert leaks.corpus_leaks(docs, items.where("false"), "d", "t", "i", "a").count() == 0
+
+
+def test_a_task_that_runs_again_calls_nobody(monkeypatch):
+    calls = []
+
+    def adapter(frames):
+        for f in frames:
+            calls.extend(f.task_id)
+            raise RuntimeError("after the first call")
+            yield f
+
+    class Context:
+        attempt = 0
+
+        def attemptNumber(self):
+            return self.attempt
+
+    monkeypatch.setattr(workflow.TaskContext, "get", lambda: Context())
+    frames = [pd.DataFrame({"task_id": ["t1", "t2"], "prompt": ["p", "q"]})]
+    with pytest.raises(RuntimeError):
+        list(workflow.first_attempt_only(adapter)(iter(frames)))
+    Context.attempt = 1
+    again = pd.concat(workflow.first_attempt_only(adapter)(iter(frames)))
+    assert calls == ["t1", "t2"] and set(again.status) == {"needs_human_verification"} and list(again.task_id) == ["t1", "t2"]
+
+
+def test_cached_judge(spark):
+    rows = spark.createDataFrame([("t1", "a b", "ref"), ("t1", "a b", "ref"), ("t2", "has ref", "ref"), ("t3", "x", "ref")], "task_id string, final_answer string, reference_answer string")
+    asked = []
+
+    def judge(some):
+        asked.append(sorted(r.task_id for r in some.collect()))
+        return grading.fixture_judge(some)
+
+    nothing = spark.createDataFrame([], "cache_key string, completed_at long, judge_text string")
+    parts = ["task_id", "reference_answer", "final_answer"]
+    first = judging.judged_once(rows, judge, nothing, "g", "m", parts)
+    done = first.select("cache_key", F.lit(1).cast("long").alias("completed_at"), "judge_text").where("task_id != 't3'").distinct()
+    assert first.count() == 4
+    second = judging.judged_once(rows, judge, done, "g", "m", parts).collect()
+    assert asked == [["t1", "t2", "t3"], ["t3"]] and sorted(r.cache_hit for r in second) == [False, True, True, True]
+    judging.judged_once(rows, judge, done, "g", "other profile", parts).collect()
+    assert asked[-1] == ["t1", "t2", "t3"]
+
+
+def test_entailment_verdicts(spark):
+    texts = ['so {"verdict": "supported", "score": 1, "confidence": 0.9}', '{"verdict": "maybe", "confidence": 1}', '{"verdict": "irrelevant", "score": 2, "confidence": 1}', '{"verdict": "insufficient_evidence", "score": null, "confidence": 0}', "none", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select(judging.entailment_verdict(F.col("x")).alias("v")).select("v.*").collect()
+    assert [(r.verdict, r.score, r.error) for r in rows] == [
+        ("supported", 1.0, None), (None, None, "unknown verdict"), (None, None, "score is out of range"), ("insufficient_evidence", None, None), (None, None, "no JSON object"), (None, None, "no JSON object"),
+    ]
+
+
+def test_guard_reads_numeric_hosts(spark):
+    from verdigris.functions import urls
+
+    expected = {
+        "http://0x7f000001/": "EVIDENCE_PRIVATE_HOST", "http://2130706433/": "EVIDENCE_PRIVATE_HOST", "http://0177.1/": "EVIDENCE_PRIVATE_HOST", "http://127.0.0.1./": "EVIDENCE_PRIVATE_HOST",
+        "http://8.8/": None, "http://256.1.1.1/": "EVIDENCE_INVALID_URL", "http://1.2.3.4.5/": "EVIDENCE_INVALID_URL", "http://my_host.org/x": None, "http://a.org/b c": None, "http://[::1]/": "EVIDENCE_PRIVATE_HOST",
+        "http://[2606:4700::1]:80/": None, "http://u@a.org": "EVIDENCE_URL_CREDENTIALS_FORBIDDEN", "http://@a.org": None, "ftp://a.org": "EVIDENCE_UNSAFE_SCHEME", "nothing": "EVIDENCE_INVALID_URL", "http://": "EVIDENCE_INVALID_URL", "HTTP://A.LOCALHOST:1/": "EVIDENCE_PRIVATE_HOST",
+    }
+    rows = spark.createDataFrame([(x,) for x in expected], "u string").select("u", urls.url_guard(F.col("u")).alias("e")).collect()
+    assert {r.u: r.e for r in rows} == expected

@@ -31,16 +31,51 @@ def private_address(x: Column) -> Column:
     return F.coalesce(F.when(v4, private4).when(v6, private6).otherwise(True), F.lit(True))
 
 
+def _number(x: Column) -> Column:
+    """A part of a numeric host: hexadecimal behind 0x, octal behind 0, else decimal; null if it is none."""
+    hexadecimal, octal = F.conv(F.substring(x, 3, 64), 16, 10), F.conv(x, 8, 10)
+    return (
+        F.when(x.rlike("^0x[0-9a-f]{0,12}$"), F.coalesce(hexadecimal, F.lit("0")))
+        .when(x.rlike("^0[0-7]{1,15}$"), octal)
+        .when(x.rlike("^[0-9]{1,15}$") & ~x.rlike("^0[0-9]"), x)
+        .try_cast("long")
+    )
+
+
+def numeric_host(host: Column) -> Column:
+    """struct(numeric, address): whether a host's last part is a number, and then its dotted address, as browsers read it; null if it has none."""
+    parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
+    numbers = F.transform(parts, _number)
+    n = F.size(parts)
+    last = F.element_at(numbers, -1)
+    before = F.aggregate(F.slice(numbers, 1, n - 1), F.lit(0).cast("long"), lambda acc, x: acc * 256 + F.when(x < 256, x))
+    rest = F.get(F.array(*[F.lit(1 << (8 * i)) for i in (4, 3, 2, 1)]), n - 1)  # what the last part may count up to
+    value = F.when(last < rest, before * rest + last)
+    dotted = F.concat_ws(".", *[F.shiftright(value, 8 * i).bitwiseAND(F.lit(255)).cast("string") for i in (3, 2, 1, 0)])
+    return F.struct(F.element_at(parts, -1).rlike("^([0-9]+|0x[0-9a-f]*)$").alias("numeric"), F.when(value.isNotNull(), dotted).alias("address"))
+
+
 def url_guard(url: Column) -> Column:
-    """Null for a URL that may be fetched, else the reason; names aren't resolved."""
-    host = F.regexp_replace(part(url, "HOST"), r"^\[|\]$", "")
-    address = host.rlike(r"^[0-9.]+$") | host.contains(":")
+    """Null for a URL that may be fetched, else the reason; names aren't resolved.
+
+    Hosts are read as browsers read them: lower case, and numeric ones in any notation (hexadecimal, octal, fewer parts) as addresses.
+    """
+    x = F.trim(url)
+    scheme = F.lower(F.regexp_extract(x, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    authority = F.regexp_extract(x, r"^[A-Za-z]+:[/\\]*([^/\\?#]*)", 1)
+    user = F.regexp_extract(authority, "^(.*)@", 1)
+    host = F.lower(F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), ":[0-9]*$", ""))
+    number = numeric_host(host)
+    v6 = F.regexp_extract(host, r"^\[(.*)\]$", 1)
+    web = scheme.isin("http", "https")
+    bad_host = (host == "") | (~host.startswith("[") & host.rlike(r"[\x00-\x20<>\[\]^|%:]")) | (number["numeric"] & number["address"].isNull())
     return (
-        F.when(part(url, "PROTOCOL").isNull() | host.isNull(), "EVIDENCE_INVALID_URL")
-        .when(~F.lower(part(url, "PROTOCOL")).isin("http", "https"), "EVIDENCE_UNSAFE_SCHEME")
-        .when(part(url, "USERINFO").isNotNull(), "EVIDENCE_URL_CREDENTIALS_FORBIDDEN")
-        .when((F.lower(host) == "localhost") | F.lower(host).endswith(".localhost"), "EVIDENCE_PRIVATE_HOST")
-        .when(address & private_address(host), "EVIDENCE_PRIVATE_HOST")
+        F.when(x.isNull() | (scheme == "") | (web & bad_host), "EVIDENCE_INVALID_URL")
+        .when(~web, "EVIDENCE_UNSAFE_SCHEME")
+        .when(~user.isin("", ":"), "EVIDENCE_URL_CREDENTIALS_FORBIDDEN")
+        .when(host.rlike(r"(^|\.)localhost\.?$"), "EVIDENCE_PRIVATE_HOST")
+        .when(number["numeric"] & private_address(number["address"]), "EVIDENCE_PRIVATE_HOST")
+        .when((v6 != "") & private_address(v6), "EVIDENCE_PRIVATE_HOST")
     )
 
 

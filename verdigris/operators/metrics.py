@@ -1,5 +1,7 @@
 """Aggregates of scores, judges and costs."""
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,15 @@ def rate(condition: Column, among: Column | None = None) -> Column:
     return F.try_divide(F.count_if(condition & among), F.nullif(F.count_if(among), F.lit(0)))
 
 
-def kappa(pairs: DataFrame, expected: str, found: str, *keys: str, least_n: int = 30, least_kappa: float = 0.8) -> DataFrame:
-    """Cohen's kappa for each group, and whether the judge is eligible. Only the table of label pairs, small by nature, meets."""
+def kappa(pairs: DataFrame, expected: str, found: str, *keys: str, least_n: int = 30, least_kappa: float = 0.8, labels: list | None = None) -> DataFrame:
+    """Cohen's kappa for each group, and whether the judge is eligible. Only the table of label pairs, small by nature, meets.
+
+    Where labels are given, any other one, null included, fails the job. Without rows there is no group; without keys, too, that fails.
+    """
+    if labels is not None:
+        known = F.coalesce(F.col(expected).isin(labels) & F.col(found).isin(labels), F.lit(False))
+        fine = F.when(known, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), F.concat_ws("/", F.col(expected).cast("string"), F.col(found).cast("string")))).cast("boolean"))
+        pairs = pairs.where(fine)
     cells = pairs.groupBy(*keys, F.col(expected).alias("_e"), F.col(found).alias("_f")).agg(F.count(F.lit(1)).alias("_n"))
     total = cells.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum(F.when(F.col("_e") == F.col("_f"), F.col("_n")).otherwise(0)).alias("_same"))
     rows = cells.groupBy(*keys, F.col("_e").alias("_label")).agg(F.sum("_n").alias("_r"))
@@ -40,6 +49,8 @@ def kappa(pairs: DataFrame, expected: str, found: str, *keys: str, least_n: int
     joined = total.join(chance, list(keys), "left") if keys else total.crossJoin(chance)  # two single rows
     agreement, by_chance = F.col("_same") / F.col("n"), F.coalesce("_rc", F.lit(0)) / (F.col("n") * F.col("n"))
     k = F.when(by_chance == 1, 1.0).otherwise((agreement - by_chance) / (1 - by_chance))
+    if not keys:
+        joined = joined.where(F.when(F.col("n") > 0, F.lit(True)).otherwise(F.raise_error(F.lit("no labels to compare")).cast("boolean")))
     out = joined.select(*keys, "n", agreement.alias("agreement"), by_chance.alias("expected_agreement"), k.alias("kappa"))
     return out.withColumn("eligible", (F.col("n") >= least_n) & (F.col("kappa") >= least_kappa))
 
@@ -50,9 +61,13 @@ def confidence_number(x: Column) -> Column:
 
 
 def calibration(rows: DataFrame, model: str, is_correct: str, confidence: str) -> DataFrame:
-    """Accuracy and expected calibration error in percent for each model, in five bins of confidence. Negative confidences fall in the last bin."""
+    """Accuracy and expected calibration error in percent for each model, in five bins of confidence.
+
+    A bin is 20 wide, the last holds all from 80 up. Negative confidences count the bins from the last down (-1 to -20: the last,
+    -81 to -100: the first); below -100 there is no bin, which fails the job.
+    """
     conf = confidence_number(F.col(confidence))
-    bucket = F.when(conf < 0, 4).otherwise(F.least(F.floor(conf / 20), F.lit(4)))
+    bucket = F.when(conf < -100, F.raise_error(F.lit("confidence is below every bin")).cast("long")).otherwise(F.pmod(F.least(F.floor(conf / 20), F.lit(4)), F.lit(5)))
     answer = F.lower(F.col(is_correct))
     bins = rows.groupBy(F.col(model), bucket.alias("_bin")).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -82,12 +97,35 @@ def repeats(rows: DataFrame, question: str = "question_id") -> DataFrame:
 
 
 def majority_vote(rows: DataFrame, question: str, answer: str) -> DataFrame:
-    """The most frequent answer of each question; of equally frequent ones the smallest, so runs agree."""
+    """The most frequent answer of each question; of equally frequent ones the smallest, so runs agree. share: of the question's answers."""
     counts = rows.groupBy(question, answer).agg(F.count(F.lit(1)).alias("votes"))
-    best = counts.groupBy(question).agg(F.max("votes").alias("votes"), F.min_by(F.col(answer), F.struct(-F.col("votes"), F.col(answer))).alias("majority"))
+    best = counts.groupBy(question).agg(F.max("votes").alias("votes"), (F.max("votes") / F.sum("votes")).alias("share"), F.min_by(F.col(answer), F.struct(-F.col("votes"), F.col(answer))).alias("majority"))
     return best
 
 
+def vote_score(votes: DataFrame, gold: DataFrame, question: str, answer: str) -> DataFrame:
+    """majority_vote() rows with score: 1 if the majority is the right answer of gold (question, answer), else 0."""
+    right = gold.select(question, F.col(answer).alias("_right"))
+    return votes.join(right, question, "left").withColumn("score", F.coalesce((F.col("majority") == F.col("_right")).cast("int"), F.lit(0))).drop("_right")
+
+
+def in_order(rows: DataFrame, group: str, order: list[str], values: list[str]) -> DataFrame:
+    """The values of each group as lists, in order; null values keep their place."""
+    log = F.array_sort(F.collect_list(F.struct(*order, *values)))
+    return rows.groupBy(group).agg(log.alias("_log")).select(group, *[F.col("_log")[v].alias(v) for v in values])
+
+
+def fact_ratio(rows: DataFrame, task: str, right: str = "right", statements: str = "statements") -> DataFrame:
+    """Right statements of all statements of each task, to six places; null without statements."""
+    return rows.groupBy(task).agg(F.round(F.try_divide(F.sum(right), F.nullif(F.sum(statements), F.lit(0))), 6).alias("fact_ratio"))
+
+
+def recovery_counters(actions: DataFrame, key: str, action: str = "action") -> DataFrame:
+    """What a resumed run did with the cases of each key."""
+    names = {"rerun": "reset", "needs_human": "needs_human", "skip": "already_done", "skip_other": "left_alone"}
+    return actions.groupBy(key).agg(F.count(F.lit(1)).alias("cases"), *[F.count_if(F.col(action) == k).alias(v) for k, v in names.items()])
+
+
 def api_cost(input_tokens: Column, output_tokens: Column, input_rate: Column, output_rate: Column, exchange: float) -> Column:
     """Cost of a call by rates for a million tokens."""
     return F.round((input_tokens * input_rate * exchange + output_tokens * output_rate * exchange) / 1e6, 6)
@@ -99,25 +137,25 @@ def wide_repeats(rows: DataFrame, question: str, repeat: str, n: int, values: li
 
 
 def bootstrap_mean(rows: DataFrame, value: str, *keys: str, samples: int = 1000, seed: int = 7) -> DataFrame:
-    """95 % interval of the mean, by a Poisson bootstrap: each row's weight in each sample follows from a hash, so nothing is collected or shuffled but sums.
+    """95 % interval of the mean, by a Poisson bootstrap: a row's copies in a sample follow from a hash, so nothing is collected.
 
-    Sample sums are aggregated before the shuffle: keys x samples rows for each task.
+    Equal rows are counted first, and each draws its own copies. Sample sums are aggregated before the shuffle: keys x samples rows for each task.
     """
-    u = lambda s: (F.pmod(F.xxhash64(F.col("_id"), s, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    weight = F.lit(0)
-    total = 0.0
-    term = 0.36787944117144233
-    steps = []
+    u = lambda s, j: (F.pmod(F.xxhash64(F.col("_id"), s, j, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    total, term, steps = 0.0, math.exp(-1), []
     for k in range(8):  # Poisson(1): up to 8 copies hold all but 1e-6 of the mass
         total += term
         steps.append(total)
         term /= k + 1
-    weight = sum((F.when(F.col("_u") > s, 1).otherwise(0) for s in steps), F.lit(0))
+    steps = F.array(*[F.lit(s) for s in steps])
+    drawn = lambda x: F.size(F.filter(steps, lambda s: s < x))
+    weight = F.aggregate(F.sequence(F.lit(1), F.col("_n")), F.lit(0), lambda n, j: n + drawn(u(F.col("_s"), j)))
     spread = (
         rows.where(F.col(value).isNotNull())
-        .select(*keys, F.col(value).cast("double").alias("_v"), F.xxhash64(*rows.columns).alias("_id"))
+        .groupBy(*rows.columns)
+        .agg(F.count(F.lit(1)).cast("int").alias("_n"))
+        .select(*keys, F.col(value).cast("double").alias("_v"), F.xxhash64(*rows.columns).alias("_id"), "_n")
         .withColumn("_s", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-        .withColumn("_u", u(F.col("_s")))
         .withColumn("_w", weight)
     )
     means = spread.groupBy(*keys, "_s").agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))

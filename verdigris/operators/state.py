@@ -89,16 +89,14 @@ def reset_to_queue(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
     return safe.withColumn("status", F.lit("QUEUED")), events
 
 
-def failure_state(result: Column) -> Column:
-    """The state that a failed execution leads to."""
-    return (
+def failure_state(result: Column, answer: Column) -> Column:
+    """The state that a failed execution leads to; null for one that is completed and has an answer. Whatever isn't named is the provider's error."""
+    return F.when(
+        ~F.coalesce(result == "completed", F.lit(False)) | answer.isNull(),
         F.when(result == "timeout", "TIMED_OUT")
-        .when(result == "needs_login", "NEEDS_LOGIN")
-        .when(result == "needs_human_verification", "NEEDS_HUMAN_VERIFICATION")
-        .when(result == "ui_changed", "UI_CHANGED")
         .when(result == "submission_unconfirmed", "SUBMISSION_UNCONFIRMED")
         .when(result == "collection_failed", "COLLECTION_FAILED")
-        .when(result != "completed", "PROVIDER_ERROR")
+        .otherwise("PROVIDER_ERROR"),
     )
 
 

@@ -19,7 +19,7 @@ def public_request(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tasks = docs.select(
         F.col("doc_id").alias("task_id"),
-        F.struct(F.substring("text", 1, 30).alias("prompt"), F.col("lang").alias("language"), F.lit(None).cast("string").alias("as_of")).alias("input"),
+        F.struct(F.col("text").alias("prompt"), F.col("lang").alias("language"), F.lit(None).cast("string").alias("as_of")).alias("input"),
         F.struct(F.least("n_chars", F.lit(1800)).alias("timeout_seconds")).alias("constraints"),
     )
     return selection.public_request(tasks, 900)
@@ -35,8 +35,8 @@ def normalize_results(spark, sf_dir) -> DataFrame:
 
 
 def short_fact_grades(spark, sf_dir) -> DataFrame:
-    """Documents' first words as references; answers are marked right, unmarked, or wrong, by quality labels."""
-    head = F.substring("text", 1, 24)
+    """Documents as references; answers are marked right, unmarked, or wrong, by quality labels."""
+    head = F.col("text")
     answer = F.when(F.col("toxic") == 1, F.concat(F.lit("I think "), head)).when(F.col("quality") == 1, F.concat(F.lit("最终答案： "), F.translate(head, LOWER, LOWER.upper()), F.lit("。"))).otherwise("最终答案: other")
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").alias("task_id"), answer.alias("final_answer"), F.when(F.col("source") != "src3", head).alias("reference_answer"))
     return grading.short_fact(rows, grading.fixture_judge).select("task_id", "exact", "conclusion", "error")
@@ -99,7 +99,7 @@ def best_of_n(spark, sf_dir) -> DataFrame:
 
 
 def majority_vote(spark, sf_dir) -> DataFrame:
-    return metrics.majority_vote(_answers(spark, sf_dir), "question_id", "answer")
+    return metrics.majority_vote(_answers(spark, sf_dir), "question_id", "answer").drop("share")
 
 
 def wide_repeat_pivot(spark, sf_dir) -> DataFrame:
@@ -144,13 +144,13 @@ ORACLES = {
 SELECT lang, CASE WHEN n_chars > 3000 THEN 'long_form' ELSE 'short_fact' END AS track, count(*) AS tasks, CAST(sum(quality) AS BIGINT) AS good
 FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2""",
     "public_request": """
-SELECT doc_id AS task_id, substr(text, 1, 30) AS prompt, lang AS language, CAST(NULL AS VARCHAR) AS as_of, least(n_chars, 1800, 900) AS timeout_seconds FROM documents""",
+SELECT doc_id AS task_id, text AS prompt, lang AS language, CAST(NULL AS VARCHAR) AS as_of, least(n_chars, 1800, 900) AS timeout_seconds FROM documents""",
     "normalize_results": """
 SELECT CAST(page_id AS VARCHAR) AS case_id, 'citation-0001' AS citation_id, 't' AS display_text, CASE WHEN page_id % 4 > 0 THEN url END AS visible_url,
   CASE WHEN page_id % 4 > 0 THEN 'visible_only' ELSE 'unresolvable' END AS collection_status FROM pages
 UNION ALL SELECT CAST(page_id AS VARCHAR), 'citation-0002', 'u', '', 'unresolvable' FROM pages""",
     "short_fact_grades": f"""
-WITH r AS (SELECT doc_id AS task_id, quality, toxic, substr(text, 1, 24) AS head, source FROM documents JOIN labels USING (doc_id)),
+WITH r AS (SELECT doc_id AS task_id, quality, toxic, text AS head, source FROM documents JOIN labels USING (doc_id)),
 m AS (SELECT *, {_norm(f"regexp_extract('最终答案： ' || translate(head, '{LOWER}', '{LOWER.upper()}') || '。', '最终答案[:：][ \\n]*([^\\n]+)', 1)")} = {_norm("head")} AS same FROM r),
 x AS (SELECT task_id, source = 'src3' AS missing, source <> 'src3' AND toxic = 0 AND quality = 1 AND same AS exact, toxic, quality, head FROM m)
 SELECT task_id, exact, CASE WHEN missing THEN NULL WHEN exact THEN 'correct'
@@ -191,7 +191,7 @@ SELECT lang, n, round(agreement, 6) AS agreement, round(x, 6) AS expected_agreem
     "calibration_error": """
 WITH e AS (SELECT event_type AS model, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
 r AS (SELECT model, CASE k % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'none' END AS a, CASE k % 11 WHEN 0 THEN 0 WHEN 1 THEN -k ELSE k + 5 END AS c FROM e),
-b AS (SELECT model, CASE WHEN c < 0 THEN 4 ELSE least(c // 20, 4) END AS bin, count(*) AS n, count_if(a = 'yes') AS y, count_if(a = 'no') AS w, sum(c) AS s FROM r GROUP BY 1, 2)
+b AS (SELECT model, CASE WHEN c < 0 THEN 4 - (-c - 1) // 20 ELSE least(c // 20, 4) END AS bin, count(*) AS n, count_if(a = 'yes') AS y, count_if(a = 'no') AS w, sum(c) AS s FROM r GROUP BY 1, 2)
 SELECT model, CAST(sum(n) AS BIGINT) AS total, CAST(sum(y) AS BIGINT) AS correct, CAST(sum(w) AS BIGINT) AS wrong, CAST(sum(n) - sum(y) - sum(w) AS BIGINT) AS "none",
   round(sum(y) / sum(n) * 100, 4) AS accuracy_pct, round(sum(abs(y / n - s / n / 100) * n) / sum(n) * 100, 4) AS calibration_error_pct FROM b GROUP BY model""",
     "best_of_n": """

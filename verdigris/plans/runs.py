@@ -111,16 +111,16 @@ def broken_references(spark, sf_dir) -> DataFrame:
 
 def task_case_attempt(spark, sf_dir) -> DataFrame:
     """Case, attempt and task together: lineitem as attempts, orders as cases, customers as tasks."""
-    attempts = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_quantity")
+    attempts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
     cases = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     tasks = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     joined = cases.join(attempts, cases.o_orderkey == attempts.l_orderkey).join(tasks, cases.o_custkey == tasks.c_custkey)
-    return joined.groupBy("c_mktsegment", "o_orderstatus").agg(F.count(F.lit(1)).alias("cases"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    return joined.groupBy("c_mktsegment", "o_orderstatus").agg(F.countDistinct("o_orderkey").alias("cases"), F.count(F.lit(1)).alias("attempts"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
 def bootstrap_ci(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    return metrics.bootstrap_mean(rows, "value", "event_type", samples=200)
+    return metrics.bootstrap_mean(rows, "value", "event_type")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -181,6 +181,6 @@ WITH s AS (SELECT doc_id, lang, row_number() OVER (ORDER BY sha256('seed-7:' ||
 SELECT doc_id, lang, ordinal FROM s WHERE ordinal < 50""",
     "broken_references": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
     "task_case_attempt": """
-SELECT c_mktsegment, o_orderstatus, count(*) AS cases, round(sum(l_quantity), 2) AS quantity
-FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1 JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
+SELECT c_mktsegment, o_orderstatus, count(DISTINCT o_orderkey) AS cases, count(*) AS attempts, round(sum(l_quantity), 2) AS quantity
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
 }

@@ -14,7 +14,7 @@ SPACE, LOWER = t.SPACE, "abcdefghijklmnopqrstuvwxyz"
 
 def answer_normalize_match(spark, sf_dir) -> DataFrame:
     """Answers with blanks and a closing mark against their upper-case references."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("head"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("head"))
     answer, reference = F.concat(F.lit(" "), "head", F.lit(" 。")), F.translate(F.replace("head", F.lit(" "), F.lit("　")), LOWER, LOWER.upper())
     importable_by_workers(spark)
     found = t.normalize_answer(answer)
@@ -129,9 +129,11 @@ def answer_leak_scan(spark, sf_dir) -> DataFrame:
 
 
 def answer_in_prompt(spark, sf_dir) -> DataFrame:
-    """An item's text as the answer of the document with the same number."""
+    """Answers cut out of the document itself for even numbers, and out of the one before for odd ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    answers = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 5, 12).alias("answer"))
+    cut = F.substring("text", 5, 12).alias("answer")
+    even = docs.where(F.pmod("doc_id", F.lit(2)) == 0).select(F.explode(F.array("doc_id", F.col("doc_id") + 1)).alias("doc_id"), cut)
+    answers = even
     return leaks.answer_in_prompt(docs, answers, "text", "answer", "doc_id").select("doc_id", "answer")
 
 
@@ -140,7 +142,7 @@ def id_parity(spark, sf_dir) -> DataFrame:
 
 
 def leaked_keys(spark, sf_dir) -> DataFrame:
-    raw = F.when(F.col("quality") == 0, F.to_json(F.struct("doc_id", F.lit("x").alias("answer"), F.lit("y").alias("canary")))).otherwise(F.to_json(F.struct("doc_id")))
+    raw = F.when(F.col("quality") == 0, F.to_json(F.struct("doc_id", F.lit("x").alias("answer"), F.when(F.col("toxic") == 0, "y").alias("canary")))).otherwise(F.to_json(F.struct("doc_id", F.lit("x").alias("answers"))))
     found = leaks.leaked_keys(table(spark, sf_dir, "labels").withColumn("raw", raw), "raw", "doc_id")
     return found.select("doc_id", F.array_join(F.array_sort("leaked"), ",").alias("leaked"))
 
@@ -172,9 +174,10 @@ def xor_roundtrip(spark, sf_dir) -> DataFrame:
 
     importable_by_workers(spark)
     items = table(spark, sf_dir, "benchmark").withColumn("pw", F.concat(F.lit("pw"), F.col("item_id").cast("string")))
-    back = cipher.decrypt_cell(cipher.encrypt_cell(F.col("text"), F.col("pw")), F.col("pw"))
+    cell = cipher.encrypt_cell(F.col("text"), F.col("pw"))
+    back = cipher.decrypt_cell(cell, F.col("pw"))
     twice = cipher.xor_with_key(cipher.xor_with_key(F.encode("text", "UTF-8"), "key"), "key")
-    return items.select("item_id", F.sha2(back, 256).alias("cell_sha256"), F.sha2(twice, 256).alias("bytes_sha256"))
+    return items.select("item_id", cell.alias("cell"), F.sha2(back, 256).alias("cell_sha256"), F.sha2(twice, 256).alias("bytes_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -219,7 +222,7 @@ _gold = ", ".join(f"'{x}'" for x in leaks.GOLD_KEYS)
 
 ORACLES = {
     "answer_normalize_match": f"""
-WITH d AS (SELECT doc_id, substr(text, 1, 60) AS head FROM documents),
+WITH d AS (SELECT doc_id, text AS head FROM documents),
 n AS (SELECT doc_id, {_norm("' ' || head || ' 。'")} AS normalized, {_norm(f"translate(replace(head, ' ', chr(12288)), '{LOWER}', '{LOWER.upper()}')")} AS ref FROM d)
 SELECT doc_id, normalized, normalized = ref AS equal FROM n""",
     "last_marked_answer": f"""
@@ -276,15 +279,20 @@ SELECT doc_id, 'a' || doc_id AS c_extracted_answer, CASE quality WHEN 1 THEN 'co
     "binary_score_parse": """
 WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
 SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN k >= 50 WHEN 1 THEN k % 2 WHEN 2 THEN k % 2 ELSE 0 END AS INT) AS score FROM e""",
-    "answer_leak_scan": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) > 0",
-    "answer_in_prompt": "SELECT doc_id, substr(text, 5, 12) AS answer FROM documents WHERE length(substr(text, 5, 12)) >= 8",
+    "answer_leak_scan": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE regexp_matches(b.text, '[^ \\t-\\r]')",
+    "answer_in_prompt": """
+SELECT d.doc_id, substr(e.text, 5, 12) AS answer FROM documents d JOIN documents e ON e.doc_id = d.doc_id - d.doc_id % 2
+WHERE length(substr(e.text, 5, 12)) >= 8 AND contains(d.text, substr(e.text, 5, 12))""",
     "id_parity": """
 SELECT d.doc_id, 1::BIGINT AS in_tasks, 0::BIGINT AS in_gold, 'missing_gold' AS problem FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT doc_id, 0, 1, 'missing_task' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
-    "leaked_keys": "SELECT doc_id, 'answer,canary' AS leaked FROM labels WHERE quality = 0",
+    "leaked_keys": "SELECT doc_id, CASE toxic WHEN 0 THEN 'answer,canary' ELSE 'answer' END AS leaked FROM labels WHERE quality = 0",
     "backward_attribution": """
 WITH a AS (SELECT conv_id, turn, first_value(CASE WHEN role = 'assistant' THEN 'c' || turn END IGNORE NULLS)
   OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS attributed FROM conversations)
 SELECT * FROM a WHERE attributed IS NOT NULL""",
-    "xor_roundtrip": "SELECT item_id, sha256(text) AS cell_sha256, sha256(text) AS bytes_sha256 FROM benchmark",
+    "xor_roundtrip": """
+WITH h AS (SELECT item_id, text, hex(encode(text)) AS t, sha256('pw' || item_id) AS k FROM benchmark),
+b AS (SELECT *, list_transform(range(0, length(t) // 2), lambda i: printf('%02X', xor(('0x' || substr(t, 2 * i + 1, 2))::INT, ('0x' || substr(k, 2 * (i % 32) + 1, 2))::INT))) AS x FROM h)
+SELECT item_id, to_base64(unhex(array_to_string(x, ''))) AS cell, sha256(text) AS cell_sha256, sha256(text) AS bytes_sha256 FROM b""",
 }

@@ -1,13 +1,15 @@
 """The run, grade and report pipelines over DataFrames.
 
 Systems and judges are called once at most: outside calls go through `once`, which writes an
-intent ledger before and the outcome after, so a task that Spark runs again never repeats a call.
+intent ledger before and the outcome after. Only the first attempt of a task calls. When Spark runs a task again, whether it
+failed or was slow, it can't know which rows were sent before, so it sends none and hands its rows to a human.
 """
 
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,25 @@ def fixture_run(requests: DataFrame) -> DataFrame:
     return requests.select("task_id", F.lit("completed").alias("status"), selection.fixture_answer(F.col("task_id"), F.col("prompt")).alias("answer"), F.lit(None).cast("string").alias("error"))
 
 
+def first_attempt_only(adapter: Adapter) -> Adapter:
+    """The adapter for the first attempt of each task; a later attempt gives its rows back as in need of a human."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context = TaskContext.get()
+        if context is None or not context.attemptNumber():
+            yield from adapter(batches)
+            return
+        for batch in batches:
+            yield pd.DataFrame({"task_id": batch["task_id"], "status": "needs_human_verification", "answer": None, "error": "the task ran again: outcome unknown"})
+
+    return run
+
+
 def once(requests: DataFrame, adapter: Adapter, store: str) -> DataFrame:
-    """Results of an outside system. A request with a written intent and no outcome is not sent again: it needs a human."""
+    """Results of an outside system. A request with a written intent and no outcome is not sent again: it needs a human.
+
+    The batch is read from its own file without a shuffle, so no stage but a task's attempt is ever repeated.
+    """
     spark = requests.sparkSession
     intents, outcomes = f"{store}/intents", f"{store}/outcomes"
 
@@ -49,7 +68,7 @@ def once(requests: DataFrame, adapter: Adapter, store: str) -> DataFrame:
     new.write.parquet(batch)
     fixed = spark.read.schema(requests.schema).parquet(batch)
     fixed.select("task_id").write.mode("append").parquet(intents)
-    fixed.mapInPandas(adapter, RESULT).write.mode("append").parquet(outcomes)
+    fixed.mapInPandas(first_attempt_only(adapter), RESULT).write.mode("append").parquet(outcomes)
     done = stored(outcomes, RESULT)
     lost = requests.select("task_id").join(done, "task_id", "left_anti")
     unsure = lost.select("task_id", F.lit("needs_human_verification").alias("status"), F.lit(None).cast("string").alias("answer"), F.lit("outcome unknown").alias("error"))
@@ -58,7 +77,7 @@ def once(requests: DataFrame, adapter: Adapter, store: str) -> DataFrame:
 
 def case_states(results: DataFrame) -> DataFrame:
     """The case state that each result leads to."""
-    return results.withColumn("state", F.coalesce(state.failure_state(F.col("status")), F.lit("READY_FOR_GRADING")))
+    return results.withColumn("state", F.coalesce(state.failure_state(F.col("status"), F.col("answer")), F.lit("READY_FOR_GRADING")))
 
 
 def grade(cases: DataFrame, gold: DataFrame, judge: grading.Judge, style: str = "chinese") -> DataFrame:
