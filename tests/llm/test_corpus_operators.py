@@ -74,7 +74,7 @@ def test_simhash_edges(spark, make, edges):
 
 
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 4])
-@pytest.mark.parametrize("twice", [False, True])
+@pytest.mark.parametrize("twice", [False, True, "chunks"])
 def test_trie_walk_finds_all_pairs(spark, k, twice, monkeypatch):
     rng = np.random.default_rng(k)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
@@ -83,8 +83,9 @@ def test_trie_walk_finds_all_pairs(spark, k, twice, monkeypatch):
         near = near ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) * rng.integers(0, 2, 300).astype(np.uint64)
     points = np.unique(np.concatenate([base, near]))
     monkeypatch.setattr(simhash, "CROWDED", 0 if twice else 2000)
-    if twice:
-        monkeypatch.setattr(simhash, "BITS", 64)
+    if twice == "chunks":
+        monkeypatch.setattr(simhash, "CROWDED", 2000)
+        monkeypatch.setattr(simhash, "MOST_POINTS", 12)
     frame = spark.createDataFrame([(i, simhash.signed(int(x))) for i, x in enumerate(points)], "node long, fp long")
     links = [(r.u, r.v) for r in simhash.links(frame, k).collect()]
     expected = [(a, b) for a in range(len(points)) for b in range(a) if int(points[a] ^ points[b]).bit_count() <= k]
@@ -380,6 +381,25 @@ def test_pipeline(spark, table_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == kept[3].count()
 
 
+def test_pipeline_edges(spark, table_dir, edges):
+    rng = random.Random(5)
+    same_id = [(50, words(rng, 120, 100000)), (50, words(rng, 120, 100000)), (None, words(rng, 120, 100000))]
+    rows = corpus_pipeline.run(spark, table_dir([*edges, *same_id, same_id[0]])).collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["50", "50", "None"]
+    assert corpus_pipeline.run(spark, table_dir([])).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, spans, kept",
+    [
+        ("a b c", [[0, 1]], "b c"), ("a b c", [[1, 2]], "a c"), ("a b c", [[2, 3]], "a b "), ("a\nb c", [[1, 2]], "a\nc"), ("a b\n\nc", [[1, 2]], "a\n\nc"),
+        (" a \n", [[0, 1]], " \n"), ("a b c d e", [[0, 1], [2, 3], [4, 5]], "b d "), ("é\tb\u00a0c  d", [[0, 1]], "b\u00a0c  d"),
+    ],
+)
+def test_what_stays_keeps_its_lines(text, spans, kept):
+    assert substring.cut_out(text.encode(), spans).decode() == kept
+
+
 def test_many_buckets_in_one_partition(spark, make, monkeypatch):
     """Buckets beyond the largest number of partitions share partitions, with the same result."""
     rng = random.Random(4)

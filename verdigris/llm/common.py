@@ -49,7 +49,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """XXH64 by word, kept for the words that come again; emptied when it has grown to `most` entries."""
 
-    def __init__(self, seed: int = 0, most: int = 400_000):
+    def __init__(self, seed: int = 0, most: int = 100_000):
         super().__init__()
         self.seed, self.most = seed, most
 

@@ -79,9 +79,9 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
                 for block, texts in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                     _, _, keys, counts = distinct(Words(texts, cache))
                     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                    ends = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-                    for b in np.unique(bucket).tolist():
-                        x = slice(ends[b], ends[b + 1])
+                    present, starts = np.unique(bucket, return_index=True)
+                    for b, start, end in zip(present.tolist(), starts.tolist(), np.append(starts, len(keys))[1:].tolist(), strict=True):
+                        x = slice(start, end)
                         yield batch_of([(b, block, keys[x].astype("<u8").tobytes(), small(counts[x]))], names, kinds)
 
     def count(batches):

@@ -3,8 +3,13 @@
 Counts per document, from words `[^\\x20\\x09-\\x0D]+` of the whole text:
 n-grams of 5 to 10 words are duplicated if they occur twice or more in the text; the coverage of a
 length is the share of the word characters that lie inside duplicated n-grams (the first
-occurrence included). Lines are judged the same way. One pass, no shuffle; a document's
-verdict depends on that document alone.
+occurrence included). Of lines, those that repeat an earlier one are counted, and their characters. One pass, no
+shuffle; a document's verdict depends on that document alone.
+
+The limits of the n-gram lengths are the widely published 0.15 to 0.10 plus 0.20. Measured on the labelled documents of
+the 0.1 tables (3,409 good, 571 bad): the published limits reject 21 more good documents and no further bad one, since
+what they would add fails the base rule or the line and symbol rules already; halfway between, 4 more good ones go.
+With these limits 569 of 571 bad documents go, and 117 good ones, 107 of them by the base rule.
 
 Null text counts as no words. Empty and blank texts have zero counts and fail the base rule.
 Rows are judged one by one, so repeated rows get equal verdicts; an empty table gives an empty

@@ -34,6 +34,8 @@ from .components import components
 BITS = 64
 #: Fingerprints that may share one block on average before the key takes a sub-block too.
 CROWDED = 2000
+#: Points that one task walks at once. A key with more is dealt in chunks of half as many, each pair of chunks to a task.
+MOST_POINTS = 200_000
 
 
 def majority(h: np.ndarray) -> int:
@@ -202,16 +204,35 @@ class Forest:
         return pa.RecordBatch.from_arrays([pa.array(self.ids[kept[:, 0]]), pa.array(self.ids[kept[:, 1]])], names=["u", "v"])
 
 
-def links(points: DataFrame, k: int, guards: list[str] = (), within: int = 0, rows_at_once: int = 200_000) -> DataFrame:
+def chunked(keyed: DataFrame, most: int) -> DataFrame:
+    """keyed with keys of `most` rows about: a row of a larger key goes to a new key for each pair of chunks that its own chunk is in.
+
+    Any two rows of the old key meet in one of the new ones. For c chunks a row is sent c times.
+    """
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    chunks = F.ceil(F.col("_n") / (most / 2))
+    mine = F.pmod(F.xxhash64("node"), F.col("_chunks"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)
+    pairs = F.transform(others, lambda c: F.xxhash64("key", F.least(c, "_mine"), F.greatest(c, "_mine")))
+    sized = keyed.join(sizes.select("key", chunks.alias("_chunks")), "key", "left").withColumn("_mine", mine)
+    return sized.withColumn("key", F.explode(F.when(F.col("_chunks").isNull(), F.array("key")).otherwise(pairs))).select(keyed.columns)
+
+
+def links(points: DataFrame, k: int, guards: list[str] = (), within: int = 0) -> DataFrame:
     """(u, v): a spanning forest, for each task, of the pairs of points (node long, fp long, guards long...) that are linked.
 
-    Linked: fp within k bits and, where guards are given, all guards together within `within` bits.
+    Linked: fp within k bits and, where guards are given, all guards together within `within` bits. Keys are blocks, or with
+    very many points blocks and sub-blocks, and keys of more than MOST_POINTS points are dealt in chunks. All three find the same pairs,
+    so what is linked doesn't depend on the size of the input.
     """
     bounded_batches(points.sparkSession)
     guards = list(guards)
-    twice = points.count() > CROWDED << (BITS // (k + 1))
+    n_points = points.count()
+    twice = n_points > CROWDED << (BITS // (k + 1))
     wide = points.select("node", "fp", *guards, F.explode(keys("fp", k, twice)).alias("key"))
-    spark = points.sparkSession
+    if n_points > MOST_POINTS:  # with fewer no key can have more
+        wide = chunked(wide, MOST_POINTS)
+    rows_at_once, spark = MOST_POINTS, points.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def join(table: pa.Table) -> pa.RecordBatch:

@@ -12,7 +12,7 @@ also starts earlier (smaller doc_id, or same document and earlier start).
 3. Extension. Only windows over a hit can repeat. Each block sends one 96-bit hash for each
    distinct such window, with its first place. A bucket answers all but the first in order.
 4. Removal. In each block the windows that repeat inside it and those answered are merged to
-   maximal exact repeats, and their words are dropped.
+   maximal exact repeats, and these are cut out of the texts.
 
 A hash is sent once for each block of documents however often it occurs there, so a passage that a
 third of all documents share loads its bucket with one entry for each block. Nothing is paired:
@@ -25,6 +25,7 @@ Rows with equal doc_id are ordered as they come; null ids come first. An empty t
 empty result. Extra columns are carried along; those named like an output are replaced.
 """
 
+import re
 from itertools import chain
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import discard, materialize, setting
-from .common import ARROW_BYTES, WordHashes, bounded_batches, dealt_by_bucket, mix, parts_for, rolling, text_bytes
+from .common import ARROW_BYTES, NON_WORD, WordHashes, bounded_batches, dealt_by_bucket, mix, parts_for, rolling, text_bytes
 
 WINDOW = 20
 #: Text of one block of documents, and about how many hashes one bucket gets.
@@ -156,10 +157,10 @@ def sent(block: int, h: np.ndarray, place: np.ndarray, bits: int, more: np.ndarr
     """Rows of SENT: hashes (distinct, ascending) by their top bits; the next 32 bits are kept as key."""
     bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
     key = (h >> np.uint64(32 - bits)).astype("<u4")
-    ends = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+    present, starts = np.unique(bucket, return_index=True)
     out = []
-    for b in np.unique(bucket).tolist():
-        x = slice(ends[b], ends[b + 1])
+    for b, start, end in zip(present.tolist(), starts.tolist(), np.append(starts, len(h))[1:].tolist(), strict=True):
+        x = slice(start, end)
         out.append((b, block, key[x].tobytes(), b"" if more is None else more[x].astype("<u8").tobytes(), places(place[x])))
     return out
 
@@ -203,6 +204,21 @@ def window_hashes(words: Words, starts: np.ndarray, n: int) -> tuple[np.ndarray,
     return mix(rolling(words.h, n)[starts]), mix(rolling(mix(words.h + SECOND), n, SECOND)[starts])
 
 
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def cut_out(data: bytes, spans: list[list[int]]) -> bytes:
+    """data without the words of each span [from, to). Of the white space on both sides of a span the one with more line breaks stays."""
+    at = [m.span() for m in WORD.finditer(data)]
+    out, kept_to = [], 0
+    for first, last in spans:
+        before = data[at[first - 1][1] if first else 0 : at[first][0]]
+        after = data[at[last - 1][1] : at[last][0] if last < len(at) else len(data)]
+        out += [data[kept_to : at[first][0] - len(before)], before if before.count(b"\n") >= after.count(b"\n") else after]
+        kept_to = at[last - 1][1] + len(after)
+    return b"".join([*out, data[kept_to:]])
+
+
 def answered(table: DataFrame) -> DataFrame:
     return table.groupBy("block").agg(F.collect_list("places").alias("_answers"))
 
@@ -221,7 +237,7 @@ def bucket_rows(batches):
 
 
 def repeats(docs: DataFrame, text: str = "text", order: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """docs with `text` replaced by the kept words joined by one space, and n_words, n_removed, removed_spans (word ranges).
+    """docs with the repeated passages cut out of `text`, and n_words, n_removed, removed_spans (word ranges). What stays keeps its white space.
 
     Written in the shared folder; so are the blocks until it is done.
     """
@@ -320,17 +336,14 @@ def repeats(docs: DataFrame, text: str = "text", order: str = "doc_id", window:
                         drop[where + window] -= 1
                     gone = np.cumsum(drop[:-1]) > 0
                     kept, removed, spans = [], [], []
-                    for t, x, start, count in zip(texts, words.split, words.starts.tolist(), words.counts.tolist(), strict=True):
+                    for t, start, count in zip(texts, words.starts.tolist(), words.counts.tolist(), strict=True):
                         mask = gone[start : start + count]
                         removed.append(int(mask.sum()))
-                        if not removed[-1]:
-                            kept.append(None if t is None else b" ".join(x))
-                            spans.append([])
-                            continue
-                        kept.append(b" ".join([w for w, m in zip(x, mask.tolist(), strict=True) if not m]))
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+                        edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))) if removed[-1] else np.empty(0, np.int64)
                         spans.append(edge.reshape(-1, 2).tolist())
-                    lists[text_at] = pa.array([None if x is None else x.decode("utf-8", "replace") for x in kept], pa.string())
+                        kept.append(cut_out(t, spans[-1]) if removed[-1] else t)
+                    if any(removed):
+                        lists[text_at] = pa.array([None if x is None else x.decode("utf-8", "replace") for x in kept], pa.string())
                     extra = [pa.array(words.counts), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
                     yield pa.RecordBatch.from_arrays([*lists, *extra], names=[*columns, "n_words", "n_removed", "removed_spans"])
 
@@ -348,4 +361,5 @@ def repeats(docs: DataFrame, text: str = "text", order: str = "doc_id", window:
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     kept = repeats(docs)
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), NON_WORD, " "))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
