@@ -292,6 +292,10 @@ SHINGLE_COLUMNS = [f"s{t}" for t in range(SHINGLE_TABLES)]
 #: 128 bits that name a set of shingles: texts with equal sets are one point.
 SET_COLUMNS = ["id0", "id1"]
 STEP = np.uint64(0xD1B54A32D192ED03)
+#: Bits of 256 beyond which two sets aren't compared: five standard deviations (5.74) over the mean at similarity 0.8, so that of 3 million such pairs one is lost.
+APART = 68
+#: Ids that are broadcast at most (8 MB); more are joined by a shuffle.
+MOST_SENT = 1 << 20
 
 
 def shingle_set(data: bytes | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -305,11 +309,17 @@ def shingle_set(data: bytes | None, hashes: WordHashes) -> tuple[np.ndarray, np.
 def sketch(words: np.ndarray, shingles: np.ndarray) -> list[int]:
     """The name of the set of shingles, then WORD_TABLES 64-bit SimHashes of the words and SHINGLE_TABLES of the shingles."""
     with np.errstate(over="ignore"):
-        out = [signed(int(mix(mix(shingles + STEP * np.uint64(101 + i)) ^ ROLL).sum(dtype=np.uint64))) for i in range(2)]
-        for x, tables in ((words, WORD_TABLES), (shingles, SHINGLE_TABLES)):
-            for t in range(tables):
-                out.append(signed(majority(mix(x + np.uint64(t + 1) * STEP))))
-    return out
+        names = [signed(int(mix(mix(shingles + STEP * np.uint64(101 + i)) ^ ROLL).sum(dtype=np.uint64))) for i in range(2)]
+        return names + majorities(words, WORD_TABLES) + majorities(shingles, SHINGLE_TABLES)
+
+
+def majorities(x: np.ndarray, tables: int, at_once: int = 1 << 12) -> list[int]:
+    """majority() of the values mixed in so many ways, as signed numbers; a very long text has its values taken in parts."""
+    seeds, ones = np.arange(1, tables + 1, dtype=np.uint64)[:, None] * STEP, np.zeros((tables, BITS), np.int64)
+    for i in range(0, len(x), at_once):
+        part = mix(x[i : i + at_once] + seeds)
+        ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(*part.shape, 8), axis=2).sum(1, dtype=np.int64)
+    return np.packbits(2 * ones > len(x), axis=1).view(">i8")[:, 0].tolist()
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
@@ -317,7 +327,9 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     if not len(shingles):
         return np.empty(0, np.int64)
     with np.errstate(over="ignore"):
-        least = np.array([mix(shingles ^ mix(np.array([i + 1], np.uint64) * STEP)).min() for i in range(BANDS * BAND_MINIMA)])
+        ways = mix(np.arange(1, BANDS * BAND_MINIMA + 1, dtype=np.uint64) * STEP)[:, None]
+        x, parts = mix(shingles), range(0, len(shingles), 1 << 12)
+        least = np.min([((x[i : i + (1 << 12)] ^ ways) * (ways | np.uint64(1))).min(1) for i in parts], axis=0)  # one multiplication permutes what is mixed already
         keys = np.arange(BANDS, dtype=np.uint64)
         for column in least.reshape(BANDS, BAND_MINIMA).T:
             keys = mix(keys * ROLL + column)
@@ -354,8 +366,11 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * small >= 4 * large and 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (small + large)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets (node, shingles) are alike."""
+def verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets (node, shingles) are alike, written.
+
+    Pairs whose sizes rule it out, or whose SimHashes of shingles are more than APART bits apart, are dropped before any set is moved.
+    """
 
     def run(batches):
         for batch in batches:
@@ -363,8 +378,16 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             good = pa.array([alike(x, y) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield batch.select(["u", "v"]).filter(good)
 
-    one, other = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in "uv")
-    return pairs.join(one, "u").join(other, "v").select("u", "v", "_u", "_v").mapInArrow(run, "u long, v long")
+    short = lambda c: points.select(F.col("node").alias(c), F.octet_length("shingles").alias(f"n_{c}"), *[F.col(s).alias(f"{s}_{c}") for s in SHINGLE_COLUMNS])
+    apart = sum((F.bit_count(F.col(f"{s}_u").bitwiseXOR(F.col(f"{s}_v"))) for s in SHINGLE_COLUMNS), F.lit(0))
+    fits = (5 * F.least("n_u", "n_v") >= 4 * F.greatest("n_u", "n_v")) & (apart <= APART)
+    near = materialize(pairs.join(short("u"), "u").join(short("v"), "v").where(fits).select("u", "v"), "near")
+    nodes = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    mine = points.join(F.broadcast(nodes) if nodes.count() <= MOST_SENT else nodes, "node", "left_semi")
+    one, other = (mine.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in "uv")
+    out = materialize(near.join(one, "u").join(other, "v").select("u", "v", "_u", "_v").mapInArrow(run, "u long, v long"), "links")
+    discard(near)
+    return out
 
 
 def sketch_links(points: DataFrame) -> DataFrame:
@@ -386,7 +409,6 @@ def similar_groups(marked: DataFrame) -> DataFrame:
     """
     named = materialize(marked.groupBy(*SET_COLUMNS).agg(F.min("row").alias("node")), "sets")
     points = marked.join(named.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-    sets = points.select("node", "shingles")
     dealt = points.select("node", F.explode("keys").alias("key"))
     ends = dealt.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     held = materialize(dealt.join(ends, "key"), "held")
@@ -394,7 +416,7 @@ def similar_groups(marked: DataFrame) -> DataFrame:
     sketched = sketch_links(points.drop("keys", "shingles"))
     ordered = sketched.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     tried = materialize(star.unionByName(ordered).distinct(), "tried")
-    first = materialize(verified(tried, sets), "links")
+    first = verified(tried, points)
     group = components(first)
     apart = held.select("key", "node").join(group, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
@@ -402,7 +424,7 @@ def similar_groups(marked: DataFrame) -> DataFrame:
     a = left.select("key", F.col("node").alias("u"), F.col("component").alias("cu"))
     b = left.select("key", F.col("node").alias("v"), F.col("component").alias("cv"))
     rest = a.join(b, "key").where("u > v and cu != cv").select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
-    second = materialize(verified(rest, sets), "links")
+    second = verified(rest, points)
     whole = named.join(components(first.unionByName(second)), "node", "left").select(*SET_COLUMNS, F.coalesce("component", "node").alias("component"))
     out = materialize(marked.select("row", *SET_COLUMNS).join(whole, SET_COLUMNS).select("row", "component"), "groups")
     for used in (named, held, tried, first, left, second):
