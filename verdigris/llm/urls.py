@@ -3,9 +3,9 @@
 Rules decide first: of those that fit a URL (its host or a parent domain, a prefix of its path)
 the longest wins. URLs that no rule decides are looked up in a list by canonical form. A
 blocked Bloom filter of the list (one 256-bit block for each URL, eight bits in it) settles nearly all that aren't
-listed without moving them: its blocks are at most MOST_BLOCKS rows of five longs (under 6 MB), so it is
-broadcast whatever the list's length. What passes is a possible hit and goes through an exact
-hash join with the list, which removes the false positives; a longer list only makes more of those.
+listed without moving them. Up to MOST_BLOCKS rows of five longs (under 6 MB) it is broadcast; a longer list has more
+blocks, so the filter stays as sparse, and they are joined by a shuffle on the block. What passes is a possible hit and goes through an exact
+hash join with the list, which removes the false positives.
 
 Canonical form: no scheme, host in lower case without `www.` or `m.`, no port, no fragment, no
 tracking parameters (utm_*, ref), no `/` at the end of the path.
@@ -18,6 +18,8 @@ named like an output are replaced.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: 2^17 blocks of 32 bytes: at 16 bits for each URL the filter is sparse up to 2 million URLs.
 MOST_BLOCKS, URLS_PER_BLOCK, BITS_PER_URL = 1 << 17, 16, 8
@@ -85,22 +87,20 @@ def bloom(listed: DataFrame, n_blocks: int) -> DataFrame:
 
 
 def blocks_for(n: int) -> int:
-    return min(MOST_BLOCKS, max(1, 1 << max(0, (n // URLS_PER_BLOCK).bit_length())))
+    return 1 << (n // URLS_PER_BLOCK).bit_length()
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
     """pages with host, path, rule and verdict; listed has the canonical URLs to block in column `canonical`."""
     pages = pages.select([c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "canonical")])
-    listed = listed.select("canonical").where("canonical is not null").distinct()
+    listed = materialize(listed.select("canonical").where("canonical is not null").distinct(), "listed")  # derived once
     n_blocks = blocks_for(listed.count())
     sieve = bloom(listed, n_blocks)
-    if n_blocks > MOST_BLOCKS:
-        raise ValueError("the filter is broadcast and must keep its bound")
     split = pages.withColumns({"host": host(F.col(url)), "path": path(F.col(url)), "canonical": canonical(F.col(url))})
     ruled = split.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     block, words = masks("canonical", F.lit(n_blocks))
     probe = ruled.withColumn("_block", F.when(F.col("_rule").isNull(), block))
-    met = probe.join(F.broadcast(sieve), F.col("_block") == F.col("block"), "left")
+    met = probe.join(F.broadcast(sieve) if n_blocks <= MOST_BLOCKS else sieve, F.col("_block") == F.col("block"), "left")
     in_all = F.lit(True)
     for i, x in enumerate(words):
         in_all = in_all & (F.col(f"w{i}").bitwiseAND(x) == x)
@@ -113,7 +113,9 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
 
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    listed = pages.where(host(F.col("url")).rlike(LISTED_HOSTS)).select(canonical(F.col("url")).alias("canonical"))
+    canon = canonical(F.col("url"))
+    elsewhere = F.concat(canon, F.lit("/gone"))  # as many that are on no page
+    listed = pages.select(F.explode(F.array(F.when(host(F.col("url")).rlike(LISTED_HOSTS), canon), elsewhere)).alias("canonical"))
     return judge(pages, listed, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -130,7 +132,7 @@ WITH p AS (
   SELECT *, CASE WHEN rest IS NOT NULL THEN regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':[0-9]*$', '')
     || regexp_replace(path, '/+$', '') || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canonical FROM h
 ), listed AS (
-  SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '^(.*\.)?spam-farm\.')
+  SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '^(.*\.)?spam-farm\.') UNION SELECT canonical || '/gone' FROM c
 ), r AS (
   SELECT *, CASE
     WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'

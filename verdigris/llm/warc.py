@@ -7,8 +7,8 @@ turns each response into two records that refer to it:
   conversion  (text/plain) the visible text
 
 Both keep WARC-Refers-To (the response's record id), its target URI and date, and the digest of the
-source payload; each has a digest of its own block. Ids are derived from the response's id and the
-record type, so a task that runs again writes the same ids. `serialize` makes the record as
+source payload; each has a digest of its own block. A response's id is derived from its page, URL, date and payload digest, so
+two captures of one URL differ; the derived ids from it and the record type. So a task that runs again writes the same ids. `serialize` makes the record as
 it stands in a file, and `write_warc` and `read_warc` are sink and source: Spark's text files
 with the record separator as the line separator, so every task writes its own part and commits it.
 
@@ -48,7 +48,7 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     )
     return pages.select(
         "page_id",
-        record_id(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), uri).alias("record_id"),
+        record_id(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), uri, F.lit(date), digest(payload)).alias("record_id"),
         uri.alias("target_uri"),
         F.lit(date).alias("date"),
         headers.alias("http_headers"),
@@ -89,8 +89,9 @@ def derive(source: DataFrame) -> DataFrame:
 
 
 def serialize(records: DataFrame) -> DataFrame:
-    """records with `record`: header and block as in a file, up to the last line break, which the sink adds."""
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
+    """records with `record`: header and block as in a file, up to the last line break, which the sink adds. Line breaks in a URL are percent-encoded."""
+    one_line = lambda x: F.replace(F.replace(x, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), one_line(value), F.lit(CRLF))
     record = F.concat(
         F.lit(VERSION + CRLF), line("WARC-Type", F.col("warc_type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("date")),
         line("WARC-Refers-To", F.col("refers_to")), line("WARC-Refers-To-Target-URI", F.col("target_uri")), line("WARC-Refers-To-Date", F.col("date")),
@@ -146,7 +147,7 @@ def _sql_text(x: str) -> str:
 
 OP4_SQL = rf"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
-i AS (SELECT *, md5(concat_ws(chr(31), 'response', coalesce(CAST(page_id AS VARCHAR), ''), target_uri)) AS h FROM p),
+i AS (SELECT *, md5(concat_ws(chr(31), 'response', coalesce(CAST(page_id AS VARCHAR), ''), target_uri, '{DATE}', 'sha256:' || sha256(payload))) AS h FROM p),
 r AS (
   SELECT *, {_sql_uuid("h")} AS refers_to, 'sha256:' || sha256(payload) AS source_digest, chr(13) || chr(10) AS nl FROM i
 ), b AS (
