@@ -337,10 +337,10 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
-    """(row, doc_id, id0, id1, SimHashes, keys, shingles) of each row of docs; row is a key that holds once the result is written."""
+    """(row, doc_id, id0, id1, SimHashes, n_shingles, keys, shingles) of each row of docs; row is a key that holds once the result is written."""
     bounded_batches(docs.sparkSession)
     names = SET_COLUMNS + WORD_COLUMNS + SHINGLE_COLUMNS
-    longs = [T.StructField(c, T.LongType()) for c in ["row", "doc_id", *names]]
+    longs = [T.StructField(c, T.LongType()) for c in ["row", "doc_id", *names, "n_shingles"]]
     schema = T.StructType([*longs, T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())])
 
     def run(batches):
@@ -349,10 +349,10 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: s
             rows, keys, sets = [], [], []
             for x in batch.column(2):
                 words, shingles = shingle_set(x.as_py(), hashes)
-                rows.append(sketch(words, shingles))
+                rows.append((*sketch(words, shingles), len(shingles)))
                 keys.append(band_keys(shingles))
                 sets.append(shingles.tobytes())
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            columns = list(zip(*rows, strict=True)) or [()] * (len(names) + 1)
             arrays = [batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns], pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
@@ -366,8 +366,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * small >= 4 * large and 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (small + large)
 
 
-def verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets (node, shingles) are alike, written.
+def verified(pairs: DataFrame, points: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes (points: n_shingles, SimHashes) whose sets (node, shingles) are alike, written.
 
     Pairs whose sizes rule it out, or whose SimHashes of shingles are more than APART bits apart, are dropped before any set is moved.
     """
@@ -378,12 +378,12 @@ def verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
             good = pa.array([alike(x, y) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield batch.select(["u", "v"]).filter(good)
 
-    short = lambda c: points.select(F.col("node").alias(c), F.octet_length("shingles").alias(f"n_{c}"), *[F.col(s).alias(f"{s}_{c}") for s in SHINGLE_COLUMNS])
+    short = lambda c: points.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), *[F.col(s).alias(f"{s}_{c}") for s in SHINGLE_COLUMNS])
     apart = sum((F.bit_count(F.col(f"{s}_u").bitwiseXOR(F.col(f"{s}_v"))) for s in SHINGLE_COLUMNS), F.lit(0))
     fits = (5 * F.least("n_u", "n_v") >= 4 * F.greatest("n_u", "n_v")) & (apart <= APART)
     near = materialize(pairs.join(short("u"), "u").join(short("v"), "v").where(fits).select("u", "v"), "near")
     nodes = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    mine = points.join(F.broadcast(nodes) if nodes.count() <= MOST_SENT else nodes, "node", "left_semi")
+    mine = sets.join(F.broadcast(nodes) if nodes.count() <= MOST_SENT else nodes, "node", "left_semi")
     one, other = (mine.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in "uv")
     out = materialize(near.join(one, "u").join(other, "v").select("u", "v", "_u", "_v").mapInArrow(run, "u long, v long"), "links")
     discard(near)
@@ -408,15 +408,16 @@ def similar_groups(marked: DataFrame) -> DataFrame:
     shares a key is left out only where it could link nothing more, and every link is checked exactly.
     """
     named = materialize(marked.groupBy(*SET_COLUMNS).agg(F.min("row").alias("node")), "sets")
-    points = marked.join(named.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    sets = marked.select(F.col("row").alias("node"), "shingles")
+    points = materialize(marked.drop("shingles").join(named.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "set-points")
     dealt = points.select("node", F.explode("keys").alias("key"))
     ends = dealt.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     held = materialize(dealt.join(ends, "key"), "held")
     star = held.where("node > lo").select(F.col("node").alias("u"), F.col("lo").alias("v")).unionByName(held.where("node < hi").select(F.col("hi").alias("u"), F.col("node").alias("v")))
-    sketched = sketch_links(points.drop("keys", "shingles"))
+    sketched = sketch_links(points)
     ordered = sketched.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     tried = materialize(star.unionByName(ordered).distinct(), "tried")
-    first = verified(tried, points)
+    first = verified(tried, points, sets)
     group = components(first)
     apart = held.select("key", "node").join(group, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
@@ -424,10 +425,10 @@ def similar_groups(marked: DataFrame) -> DataFrame:
     a = left.select("key", F.col("node").alias("u"), F.col("component").alias("cu"))
     b = left.select("key", F.col("node").alias("v"), F.col("component").alias("cv"))
     rest = a.join(b, "key").where("u > v and cu != cv").select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
-    second = verified(rest, points)
+    second = verified(rest, points, sets)
     whole = named.join(components(first.unionByName(second)), "node", "left").select(*SET_COLUMNS, F.coalesce("component", "node").alias("component"))
     out = materialize(marked.select("row", *SET_COLUMNS).join(whole, SET_COLUMNS).select("row", "component"), "groups")
-    for used in (named, held, tried, first, left, second):
+    for used in (named, points, held, tried, first, left, second):
         discard(used)
     return out
 
