@@ -147,9 +147,9 @@ def bootstrap_mean(rows: DataFrame, value: str, *keys: str, samples: int = 1000,
         total += term
         steps.append(total)
         term /= k + 1
-    steps = F.array(*[F.lit(s) for s in steps])
-    drawn = lambda x: F.size(F.filter(steps, lambda s: s < x))
-    weight = F.aggregate(F.sequence(F.lit(1), F.col("_n")), F.lit(0), lambda n, j: n + drawn(u(F.col("_s"), j)))
+    drawn = lambda x: sum((F.when(x > s, 1).otherwise(0) for s in steps), F.lit(0))
+    more = F.aggregate(F.sequence(F.lit(2), F.col("_n")), F.lit(0), lambda n, j: n + drawn(u(F.col("_s"), j)))
+    weight = drawn(u(F.col("_s"), F.lit(1))) + F.when(F.col("_n") > 1, more).otherwise(0)
     spread = (
         rows.where(F.col(value).isNotNull())
         .groupBy(*rows.columns)
