@@ -197,6 +197,26 @@ def test_near_texts_in_one_key(spark, make):
     assert got == classes(range(len(docs)), linked)
 
 
+def test_prefix_pairs_lose_no_link(spark):
+    """A base that all share, with more or fewer of their own: all alike pairs of two components, and hardly any that are far apart."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 150).astype(np.uint64)
+    sets = [np.empty(0, np.uint64), base[:1], base[:4], base[:5]]
+    for _ in range(120):
+        kept = base[rng.permutation(150)[: rng.integers(120, 151)]]
+        sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, rng.integers(0, 50)).astype(np.uint64)])))
+    component = [i % 40 for i in range(len(sets))]
+    rows = spark.createDataFrame([(i, bytearray(np.sort(x).tobytes())) for i, x in enumerate(sets)], "node long, shingles binary")
+    members = spark.createDataFrame(list(enumerate(component)), "node long, component long")
+    common.bounded_batches(spark)
+    got = {(r.u, r.v) for r in simhash.prefix_pairs(members, rows).collect()}
+    close = lambda u, v, least: len(both := set(sets[u].tolist()) & set(sets[v].tolist())) >= least * max(1, len(sets[u]) + len(sets[v]) - len(both))
+    other = [(u, v) for u in range(len(sets)) for v in range(u) if component[u] != component[v]]
+    near = {p for p in other if close(*p, 0.8)}
+    assert len(near) > 100 and near <= got
+    assert got <= set(other) and len(got) < len(other) / 2
+
+
 def test_near_copies_are_dropped_by_row(spark, make):
     """Rows that share an id but no text both stay, a copy goes whatever its id, and null ids are treated alike."""
     rng = random.Random(9)

@@ -296,6 +296,8 @@ STEP = np.uint64(0xD1B54A32D192ED03)
 APART = 68
 #: Ids that are broadcast at most (8 MB); more are joined by a shuffle.
 MOST_SENT = 1 << 20
+#: Slots of the table of shingle frequencies, a byte each: its size is fixed, and results don't depend on what it holds.
+SLOTS = 1 << 18
 
 
 def shingle_set(data: bytes | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -390,6 +392,62 @@ def verified(pairs: DataFrame, points: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
+def slot(x: np.ndarray) -> np.ndarray:
+    return (mix(x) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def levels(sets: DataFrame) -> np.ndarray:
+    """By slot, how often its shingles occur in sets (shingles), as the bits of the number."""
+
+    def run(batches):
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            n += np.bincount(slot(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)), minlength=SLOTS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["slot", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.uint8)
+    out[found["slot"].to_numpy()] = np.frexp(found["n"].to_numpy().astype(np.float64))[1]
+    return out
+
+
+def prefixes(sets: DataFrame, level: np.ndarray) -> DataFrame:
+    """(token, node, component, n, at) from sets (node, component, shingles): a set's shingles at places 0, 1, ... of one order of
+    all shingles, rare ones first, as far as the first one that it shares with a set at similarity 0.8 can stand."""
+    names, kinds = ["token", "node", "component", "n", "at"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+    def run(batches):
+        for batch in batches:
+            parts = [(np.empty(0, np.int64),) * 5]
+            for node, component, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                x = np.frombuffer(data, np.uint64)
+                first = np.lexsort((x, level[slot(x)]))[: len(x) // 5 + 1]  # n - ceil(0.8 * n) + 1
+                parts.append((x[first].view(np.int64), *(np.full(len(first), i) for i in (node, component, len(x))), np.arange(len(first))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k.to_pandas_dtype())) for c, k in zip(zip(*parts, strict=True), kinds, strict=True)], names=names)
+
+    return sets.select("node", "component", "shingles").mapInArrow(run, "token long, node long, component long, n int, at int")
+
+
+def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v), u > v: every pair of members (node, component) of two components whose sets (node, shingles) can be alike; written.
+
+    Two sets of similarity 0.8 share at least 4/9 of the sum of their sizes, and no more than what stands from
+    their first common shingle on, in whatever order. In an order with rare shingles first, a passage or a base text that
+    many members share stands last: those that have more of their own than 0.8 allows meet no one.
+    """
+    mine = materialize(sets.join(F.broadcast(members) if members.count() <= MOST_SENT else members, "node").select("node", "component", "shingles"), "members")
+    posts = materialize(prefixes(mine, levels(mine)), "prefixes")
+    mixed = posts.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    shared = posts.join(mixed, "token", "left_semi")
+    a, b = (shared.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "at")]) for x in "uv")
+    fits = "node_u > node_v and component_u != component_v and 9 * (least(n_u - at_u, n_v - at_v)) >= 4 * (n_u + n_v)"
+    out = materialize(a.join(b, "token").where(fits).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct(), "prefix-pairs")
+    discard(mine)
+    discard(posts)
+    return out
+
+
 def sketch_links(points: DataFrame) -> DataFrame:
     """(u, v): pairs that the trie join finds over the SimHashes of words, near in those of shingles too. A forest: it leaves out pairs."""
     found = None
@@ -404,8 +462,9 @@ def similar_groups(marked: DataFrame) -> DataFrame:
 
     Two rounds. The first checks the forest of the trie join, and each min-hash key's rows against the
     key's first and last: that costs about the number of keys, and makes one component of most groups of near copies. The
-    second checks all other pairs under a key that the first has not put in one component. So a pair that
-    shares a key is left out only where it could link nothing more, and every link is checked exactly.
+    second takes all rows of keys whose rows it has not put in one component, and checks every pair of them in two components
+    that prefix_pairs() can't rule out. So a pair that shares a key is left out only where it could link nothing more
+    or is not alike, and every link is checked exactly.
     """
     named = materialize(marked.groupBy(*SET_COLUMNS).agg(F.min("row").alias("node")), "sets")
     sets = marked.select(F.col("row").alias("node"), "shingles")
@@ -422,13 +481,13 @@ def similar_groups(marked: DataFrame) -> DataFrame:
     apart = held.select("key", "node").join(group, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     left = materialize(apart.join(mixed, "key", "left_semi"), "apart")
-    a = left.select("key", F.col("node").alias("u"), F.col("component").alias("cu"))
-    b = left.select("key", F.col("node").alias("v"), F.col("component").alias("cv"))
-    rest = a.join(b, "key").where("u > v and cu != cv").select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
+    members = left.select("node", "component").distinct()
+    paired = prefix_pairs(members, sets)
+    rest = paired.join(tried, ["u", "v"], "left_anti")
     second = verified(rest, points, sets)
     whole = named.join(components(first.unionByName(second)), "node", "left").select(*SET_COLUMNS, F.coalesce("component", "node").alias("component"))
     out = materialize(marked.select("row", *SET_COLUMNS).join(whole, SET_COLUMNS).select("row", "component"), "groups")
-    for used in (named, points, held, tried, first, left, second):
+    for used in (named, points, held, tried, first, left, paired, second):
         discard(used)
     return out
 
