@@ -206,7 +206,7 @@ def test_prefix_pairs_lose_no_link(spark):
         kept = base[rng.permutation(150)[: rng.integers(120, 151)]]
         sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, rng.integers(0, 50)).astype(np.uint64)])))
     component = [i % 40 for i in range(len(sets))]
-    rows = spark.createDataFrame([(i, bytearray(np.sort(x).tobytes())) for i, x in enumerate(sets)], "node long, shingles binary")
+    rows = spark.createDataFrame([(i, bytearray(simhash.packed(np.sort(x)))) for i, x in enumerate(sets)], "node long, shingles binary")
     members = spark.createDataFrame(list(enumerate(component)), "node long, component long")
     common.bounded_batches(spark)
     got = {(r.u, r.v) for r in simhash.prefix_pairs(members, rows).collect()}

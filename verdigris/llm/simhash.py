@@ -218,6 +218,23 @@ def chunked(keyed: DataFrame, most: int) -> DataFrame:
     return sized.withColumn("key", F.explode(F.when(F.col("_chunks").isNull(), F.array("key")).otherwise(pairs))).select(keyed.columns)
 
 
+def whole_keys(batches, at_once: int):
+    """Yield tables of at_once rows about from batches sorted by key, never a part of a key."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= at_once:  # the last key may go on
+            table = pa.Table.from_batches(held)
+            key = table.column("key").to_numpy()
+            start = int(np.searchsorted(key, key[-1]))
+            if start:
+                yield table.slice(0, start)
+                held, rows = table.slice(start).to_batches(), table.num_rows - start
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
 def links(points: DataFrame, k: int, guards: list[str] = (), within: int = 0) -> DataFrame:
     """(u, v): a spanning forest, for each task, of the pairs of points (node long, fp long, guards long...) that are linked.
 
@@ -250,19 +267,8 @@ def links(points: DataFrame, k: int, guards: list[str] = (), within: int = 0) ->
         return found.edges()
 
     def run(batches):
-        held, rows = [], 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= rows_at_once:  # whole keys only: the last key may go on
-                table = pa.Table.from_batches(held)
-                key = table.column("key").to_numpy()
-                start = int(np.searchsorted(key, key[-1]))
-                if start:
-                    yield join(table.slice(0, start))
-                    held, rows = table.slice(start).to_batches(), table.num_rows - start
-        if rows:
-            yield join(pa.Table.from_batches(held))
+        for table in whole_keys(batches, rows_at_once):
+            yield join(table)
 
     return wide.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
@@ -294,8 +300,12 @@ SET_COLUMNS = ["id0", "id1"]
 STEP = np.uint64(0xD1B54A32D192ED03)
 #: Bits of 256 beyond which two sets aren't compared: five standard deviations (5.74) over the mean at similarity 0.8, so that of 3 million such pairs one is lost.
 APART = 68
-#: Ids that are broadcast at most (8 MB); more are joined by a shuffle.
+#: Jaccard similarity of near copies, as a fraction.
+SIMILAR = (4, 5)
+#: Ids or pairs of ids that are broadcast at most (8 or 16 MB); more are joined by a shuffle.
 MOST_SENT = 1 << 20
+#: Sets of one shingle that are compared in one task; more are dealt in pairs of chunks of half as many.
+MOST_POSTS = 4096
 #: Slots of the table of shingle frequencies, a byte each: its size is fixed, and results don't depend on what it holds.
 SLOTS = 1 << 18
 
@@ -308,11 +318,16 @@ def shingle_set(data: bytes | None, hashes: WordHashes) -> tuple[np.ndarray, np.
     return np.unique(h), np.unique(shingles)
 
 
+def set_name(x: np.ndarray) -> list[int]:
+    """128 bits of a set of hashes, as two signed numbers."""
+    with np.errstate(over="ignore"):
+        return [signed(int(mix(mix(x + STEP * np.uint64(101 + i)) ^ ROLL).sum(dtype=np.uint64))) for i in range(2)]
+
+
 def sketch(words: np.ndarray, shingles: np.ndarray) -> list[int]:
     """The name of the set of shingles, then WORD_TABLES 64-bit SimHashes of the words and SHINGLE_TABLES of the shingles."""
     with np.errstate(over="ignore"):
-        names = [signed(int(mix(mix(shingles + STEP * np.uint64(101 + i)) ^ ROLL).sum(dtype=np.uint64))) for i in range(2)]
-        return names + majorities(words, WORD_TABLES) + majorities(shingles, SHINGLE_TABLES)
+        return set_name(shingles) + majorities(words, WORD_TABLES) + majorities(shingles, SHINGLE_TABLES)
 
 
 def majorities(x: np.ndarray, tables: int, at_once: int = 1 << 12) -> list[int]:
@@ -353,7 +368,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: s
                 words, shingles = shingle_set(x.as_py(), hashes)
                 rows.append((*sketch(words, shingles), len(shingles)))
                 keys.append(band_keys(shingles))
-                sets.append(shingles.tobytes())
+                sets.append(packed(shingles))
             columns = list(zip(*rows, strict=True)) or [()] * (len(names) + 1)
             arrays = [batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns], pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
@@ -362,32 +377,50 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: s
     return docs.select(number.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets have a Jaccard similarity of 0.8 or more, in whole numbers."""
-    small, large = sorted((len(a), len(b)))
-    return 5 * small >= 4 * large and 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (small + large)
+def packed(x: np.ndarray) -> bytes:
+    """A set of sorted 64-bit hashes as the six planes of their upper 48 bits: two of a set of 20,000 are equal in those with 1 in a million."""
+    return np.unique(x >> np.uint64(16)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, 2:] = planes.T
+    return out.view(">u8")[:, 0].astype(np.uint64)
 
 
-def verified(pairs: DataFrame, points: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) of nodes (points: n_shingles, SimHashes) whose sets (node, shingles) are alike, written.
+def alike(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = SIMILAR) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of `least` (a fraction) or more, in whole numbers."""
+    (small, large), (p, q) = sorted((len(a), len(b))), least
+    return q * small >= p * large and (p + q) * len(np.intersect1d(a, b, assume_unique=True)) >= p * (small + large)
 
-    Pairs whose sizes rule it out, or whose SimHashes of shingles are more than APART bits apart, are dropped before any set is moved.
+
+def near_simhashes(u, v) -> Column:
+    """Whether SimHashes of shingles are APART bits apart or fewer."""
+    return sum((F.bit_count(u(s).bitwiseXOR(v(s))) for s in SHINGLE_COLUMNS), F.lit(0)) <= APART
+
+
+def verified(pairs: DataFrame, points: DataFrame, sets: DataFrame, least: tuple[int, int] = SIMILAR, columns: list[str] = SHINGLE_COLUMNS, near_sketches=near_simhashes) -> DataFrame:
+    """The pairs (u, v) of nodes (points: n_shingles, sketches) whose sets (node, shingles) are alike, written.
+
+    Pairs whose sizes or sketches (columns; near_sketches says which go together) rule it out are dropped before any set is moved.
     """
 
     def run(batches):
         for batch in batches:
-            a, b = ([np.frombuffer(x.as_py(), np.uint64) for x in batch.column(c)] for c in (2, 3))
-            good = pa.array([alike(x, y) for x, y in zip(a, b, strict=True)], pa.bool_())
+            a, b = ([unpacked(x.as_py()) for x in batch.column(c)] for c in (2, 3))
+            good = pa.array([alike(x, y, least) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield batch.select(["u", "v"]).filter(good)
 
-    short = lambda c: points.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), *[F.col(s).alias(f"{s}_{c}") for s in SHINGLE_COLUMNS])
-    apart = sum((F.bit_count(F.col(f"{s}_u").bitwiseXOR(F.col(f"{s}_v"))) for s in SHINGLE_COLUMNS), F.lit(0))
-    fits = (5 * F.least("n_u", "n_v") >= 4 * F.greatest("n_u", "n_v")) & (apart <= APART)
+    p, q = least
+    short = lambda c: points.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), *[F.col(s).alias(f"{s}_{c}") for s in columns])
+    fits = (q * F.least("n_u", "n_v") >= p * F.greatest("n_u", "n_v")) & near_sketches(*(lambda s, c=c: F.col(f"{s}_{c}") for c in "uv"))
     near = materialize(pairs.join(short("u"), "u").join(short("v"), "v").where(fits).select("u", "v"), "near")
-    nodes = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    mine = sets.join(F.broadcast(nodes) if nodes.count() <= MOST_SENT else nodes, "node", "left_semi")
-    one, other = (mine.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in "uv")
-    out = materialize(near.join(one, "u").join(other, "v").select("u", "v", "_u", "_v").mapInArrow(run, "u long, v long"), "links")
+    few = near.count() <= MOST_SENT
+    sent = lambda df: F.broadcast(df) if few else df
+    one = sets.join(sent(near.withColumnRenamed("u", "node")), "node").select(F.col("node").alias("u"), "v", F.col("shingles").alias("_u"))
+    other = sets.join(sent(near.select(F.col("v").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("v"), F.col("shingles").alias("_v"))
+    out = materialize(one.join(other, "v").select("u", "v", "_u", "_v").mapInArrow(run, "u long, v long"), "links")
     discard(near)
     return out
 
@@ -402,7 +435,8 @@ def levels(sets: DataFrame) -> np.ndarray:
     def run(batches):
         n = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            n += np.bincount(slot(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)), minlength=SLOTS)
+            for x in batch.column(0):
+                np.add.at(n, slot(unpacked(x.as_py())), 1)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["slot", "n"])
 
@@ -412,37 +446,67 @@ def levels(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def prefixes(sets: DataFrame, level: np.ndarray) -> DataFrame:
+def prefixes(sets: DataFrame, level: np.ndarray, least: tuple[int, int] = SIMILAR) -> DataFrame:
     """(token, node, component, n, at) from sets (node, component, shingles): a set's shingles at places 0, 1, ... of one order of
-    all shingles, rare ones first, as far as the first one that it shares with a set at similarity 0.8 can stand."""
+    all shingles, rare ones first, as far as the first one that it shares with a set at similarity `least` can stand."""
+    p, q = least
     names, kinds = ["token", "node", "component", "n", "at"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches):
         for batch in batches:
             parts = [(np.empty(0, np.int64),) * 5]
             for node, component, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                x = np.frombuffer(data, np.uint64)
-                first = np.lexsort((x, level[slot(x)]))[: len(x) // 5 + 1]  # n - ceil(0.8 * n) + 1
+                x = unpacked(data)
+                first = np.lexsort((x, level[slot(x)]))[: len(x) - -(-p * len(x) // q) + 1]
                 parts.append((x[first].view(np.int64), *(np.full(len(first), i) for i in (node, component, len(x))), np.arange(len(first))))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k.to_pandas_dtype())) for c, k in zip(zip(*parts, strict=True), kinds, strict=True)], names=names)
 
     return sets.select("node", "component", "shingles").mapInArrow(run, "token long, node long, component long, n int, at int")
 
 
-def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+def fitting(key: np.ndarray, n: np.ndarray, at: np.ndarray, component: np.ndarray, least: tuple[int, int]):
+    """Yield positions (a, b) of rows with one key, of two components, whose sets can be alike if the key is their first common shingle.
+
+    Rows are sorted by (key, n). As the smaller set, a row is taken only where its place leaves room for a set of its own size.
+    """
+    p, q = least
+    _, rank = np.unique(key, return_inverse=True)
+    order = rank << 32 | n
+    end = np.searchsorted(order, rank << 32 | q * n // p, side="right")  # what is larger than this is too large
+    a, step = np.flatnonzero((p + q) * at <= (q - p) * n), 0
+    while len(a):
+        step += 1
+        a = a[a + step < end[a]]
+        b = a + step
+        good = (component[a] != component[b]) & ((p + q) * np.minimum(n[a] - at[a], n[b] - at[b]) >= p * (n[a] + n[b]))
+        yield a[good], b[good]
+
+
+def prefix_pairs(members: DataFrame, sets: DataFrame, least: tuple[int, int] = SIMILAR) -> DataFrame:
     """(u, v), u > v: every pair of members (node, component) of two components whose sets (node, shingles) can be alike; written.
 
     Two sets of similarity 0.8 share at least 4/9 of the sum of their sizes, and no more than what stands from
     their first common shingle on, in whatever order. In an order with rare shingles first, a passage or a base text that
-    many members share stands last: those that have more of their own than 0.8 allows meet no one.
+    many members share stands last: those that have more of their own than 0.8 allows meet no one. Shingles of more than
+    MOST_POSTS sets are dealt in chunks, so no task holds one whole; sets far apart in size don't meet.
     """
     mine = materialize(sets.join(F.broadcast(members) if members.count() <= MOST_SENT else members, "node").select("node", "component", "shingles"), "members")
-    posts = materialize(prefixes(mine, levels(mine)), "prefixes")
+    posts = materialize(prefixes(mine, levels(mine), least), "prefixes")
     mixed = posts.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    shared = posts.join(mixed, "token", "left_semi")
-    a, b = (shared.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "at")]) for x in "uv")
-    fits = "node_u > node_v and component_u != component_v and 9 * (least(n_u - at_u, n_v - at_v)) >= 4 * (n_u + n_v)"
-    out = materialize(a.join(b, "token").where(fits).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct(), "prefix-pairs")
+    shared = chunked(posts.join(mixed, "token", "left_semi").withColumnRenamed("token", "key"), MOST_POSTS)
+    parts, rows_at_once = int(mine.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_POINTS
+
+    def run(batches):
+        for table in whole_keys(batches, rows_at_once):
+            key, n, at, component, node = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "at", "component", "node"))
+            order = np.lexsort((n, key))
+            key, n, at, component, node = key[order], n[order], at[order], component[order], node[order]
+            found = [np.stack([np.maximum(node[a], node[b]), np.minimum(node[a], node[b])]) for a, b in fitting(key, n, at, component, least) if len(a)]
+            if found:
+                u, v = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    out = materialize(shared.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct(), "prefix-pairs")
     discard(mine)
     discard(posts)
     return out
