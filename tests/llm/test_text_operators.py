@@ -1,6 +1,7 @@
 """Operators on single texts: quality rules, BPE, packing, fingerprints."""
 
 import hashlib
+import heapq
 import random
 import zlib
 from collections import Counter
@@ -112,6 +113,56 @@ def test_patterns_hold_every_length():
         assert placed == Counter(histogram)
 
 
+def one_at_a_time(histogram, size):
+    """How many packs there are if each piece, longest first, goes into the pack with the most room."""
+    room = []  # a heap of negative room
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            if room and -room[0] >= length:
+                heapq.heapreplace(room, room[0] + length)
+            else:
+                heapq.heappush(room, length - size)
+    return len(room)
+
+
+def skewed(seed, size=2048):
+    rng = random.Random(seed)
+    return Counter(min(size, int(rng.lognormvariate(4, 1.5)) + 1) for _ in range(20000))
+
+
+@pytest.mark.parametrize("histogram", [{60: 34}, {60: 3400}, {1: 1000}, {n: 100 for n in range(1, 61)}, {2048: 5, 1025: 7, 1024: 9, 3: 1}, dict(skewed(1)), dict(skewed(2))], ids=range(7))
+def test_no_more_packs_than_one_at_a_time(histogram):
+    packs = packing.patterns(dict(histogram))
+    assert sum(count for count, _ in packs) <= one_at_a_time(histogram, packing.SIZE)
+    assert sum(count * n for count, pack in packs for n in pack) == sum(n * k for n, k in histogram.items())
+    assert len(packs) <= 2 * packing.SIZE
+
+
+def test_short_pieces_share_sequences():
+    assert packing.patterns({60: 34}) == [(1, (60,) * 34)]
+    assert sum(count for count, _ in packing.patterns({1: 4096})) == 2
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_rank_meets_few_ranges(seed):
+    histogram = skewed(seed)
+    rows, widths = packing.slots(packing.patterns(dict(histogram)))
+    width, meets, taken = dict(widths), Counter(), Counter()
+    for length, block, *_ in rows:
+        meets[length, block] += 1
+    compared = sum(meets[n, rank // width[n]] for n, k in histogram.items() for rank in range(k))
+    assert compared < 4 * sum(histogram.values())
+    for length, first, last in {(r[0], r[2], r[3]) for r in rows}:
+        taken[length] += last - first
+    assert taken == histogram
+
+
+def test_short_documents_fill_sequences(spark, table_dir):
+    docs = [(i, "hash " * (i % 3)) for i in range(500)]
+    sequences = check_packing(packing.op1_packing(spark, table_dir(docs)).collect(), docs)
+    assert len(sequences) == 1
+
+
 def brute_quality(text):
     words = [w for w in (text or "").translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ") if w]
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]

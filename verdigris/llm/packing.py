@@ -4,16 +4,19 @@ Every document's ids (with a closing id) are cut into full pieces of `size` toke
 rest. Only the histogram of piece lengths, at most `size` numbers whatever the corpus, reaches
 the driver. There the lengths are placed longest first, each into the pack with the most room
 left (the shortest pack), updating counts of packing patterns rather than packs; patterns are
-split where counts differ. The patterns are then joined back to the pieces: the r-th piece of a
-length takes the r-th slot of that length. Ranks need no global sort: each task counts the
-lengths it writes, and the tasks' counts are summed up by length.
+split where counts differ. When no pack has room, as many are opened as the pieces of that length fill. The patterns are
+then joined back to the pieces: the r-th piece of a length takes the r-th slot of that length. Ranks need no global sort:
+each task counts the lengths it writes, and the tasks' counts are summed up by length.
+
+A length opens patterns once and splits one of them at most, so there are at most twice as many patterns as lengths, each of at most
+64 different lengths (their sum is the size): that bounds what the driver holds and broadcasts, whatever the corpus.
 
 Null text is empty: one piece, the closing id alone. Repeated rows are packed as often as they
 occur. An empty table gives an empty result. Other columns of the documents are not carried.
 """
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +74,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, closing: int = CLOSING,
 
 
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:
-    """(count, lengths) of the packs: longest lengths first, each into the packs with the most room."""
+    """(count, lengths) of the packs: longest lengths first, each into the packs with the most room; new packs are as few as hold what is left."""
     room: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)  # by what is left
     roomiest = 0
     for length in sorted(histogram, reverse=True):
@@ -85,24 +88,27 @@ def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tup
                 if count > used:
                     room[free].append((count - used, pack))
             else:
-                used, free, pack = left, size, ()
+                used, free, pack = -(-left // (size // length)), size, ()
             room[free - length].append((used, (*pack, length)))
             roomiest = max(roomiest, free - length)
             left -= used
     return [x for free in sorted(room) for x in room[free]]
 
 
-def slots(spark, packs: list[tuple[int, tuple[int, ...]]]) -> DataFrame:
-    """For each length the ranges of ranks [first, last) that one slot of one pattern takes. Its rows are bounded by the patterns, which the lengths bound."""
-    taken, sequence, rows = defaultdict(int), 0, []
+def slots(packs: list[tuple[int, tuple[int, ...]]]) -> tuple[list[tuple], list[tuple]]:
+    """For each length and pattern the range of ranks [first, last) that takes its places there: (length, block, first, last, sequence, offset, times),
+    and (length, width). Ranks go in blocks of `width`, about as many as the length has ranges, so a rank finds its range among a few: a range has a row for each block that it reaches into."""
+    ranges, sequence = defaultdict(list), 0
     for count, pack in packs:
         at = 0
-        for length in pack:
-            rows.append((length, taken[length], taken[length] + count, sequence, at))
-            taken[length] += count
-            at += length
+        for length, times in Counter(pack).items():  # longest first, as they were placed
+            first = ranges[length][-1][1] if ranges[length] else 0
+            ranges[length].append((first, first + count * times, sequence, at, times))
+            at += length * times
         sequence += count
-    return spark.createDataFrame(rows, "length long, first long, last long, sequence long, offset long")
+    widths = [(length, -(-found[-1][1] // len(found))) for length, found in ranges.items()]
+    rows = [(length, block, *x) for length, width in widths for x in ranges[length] for block in range(x[0] // width, (x[1] - 1) // width + 1)]
+    return rows, widths
 
 
 def assign(cut: DataFrame, size: int = SIZE) -> DataFrame:
@@ -112,13 +118,15 @@ def assign(cut: DataFrame, size: int = SIZE) -> DataFrame:
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    placed = F.broadcast(slots(spark, patterns(histogram, size)))
-    ranked = cut.join(bases, ["part", "length"]).withColumn("_rank", F.col("_base") + F.col("rank_in_part"))
-    inside = (ranked["length"] == placed["length"]) & (ranked["_rank"] >= placed["first"]) & (ranked["_rank"] < placed["last"])
-    return ranked.join(placed, inside).select(
-        *[ranked[c] for c in cut.columns if c not in ("part", "rank_in_part")],
-        (placed["sequence"] + ranked["_rank"] - placed["first"]).alias("sequence_id"),
-        placed["offset"],
+    rows, widths = slots(patterns(histogram, size))
+    placed = F.broadcast(spark.createDataFrame(rows, "length long, _block long, _first long, _last long, _sequence long, _offset long, _times long"))
+    wide = F.broadcast(spark.createDataFrame(widths, "length long, _width long"))
+    ranked = cut.join(bases, ["part", "length"]).join(wide, "length").withColumn("_rank", F.col("_base") + F.col("rank_in_part"))
+    found = ranked.withColumn("_block", F.expr("_rank div _width")).join(placed, ["length", "_block"]).where("_rank >= _first and _rank < _last")
+    return found.select(
+        *[c for c in cut.columns if c not in ("part", "rank_in_part")],
+        F.expr("_sequence + (_rank - _first) div _times").alias("sequence_id"),
+        F.expr("_offset + (_rank - _first) % _times * length").alias("offset"),
     )
 
 
