@@ -1,8 +1,10 @@
 """Every registered query of the evaluation operators against its DuckDB SQL on the smallest tables."""
 
 import math
+import numbers
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -12,9 +14,9 @@ from verdigris.tables import NAMES
 
 def rows(frame, columns):
     def one(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "~"
-        return repr(float(v)) if isinstance(v, float) else str(v)
+        return repr(float(v)) if isinstance(v, numbers.Real) and not isinstance(v, bool) else str(v)
 
     return sorted(tuple(one(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False, name=None))
 

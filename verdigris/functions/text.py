@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import importable_by_workers
+from .urls import let
 
 #: White space as ECMAScript's \s has it, written so that Java's and RE2's patterns agree.
 SPACE = r"\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: The same as characters, for functions that take no pattern.
+BLANKS = "".join(map(chr, [*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 
 #: Lines of page chrome that are no part of an answer.
 UI_NOISE_LINES = ["豆包", "新工作任务", "新对话", "更多", "最近", "关于豆包", "下载电脑版", "登录", "对话", "工作", "快速", "新", "PPT 生成",
                   "图像生成", "帮我写作", "视频生成", "翻译", "深入研究", "录音转写", "复制", "重新生成", "赞", "踩"]
 #: Entities in the order they are resolved; amp comes before lt and gt, so `&amp;lt;` ends as `<`.
 PAGE_ENTITIES = [("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">")]
+#: Marks of which one behind an answer doesn't count.
+CLOSING = ["，", "。", "；", ";", ",", "."]
 #: Fixed value: what makes a claim look verifiable.
 VERIFIABLE = (
     r"(?i)[0-9]|年|月|日|是|为|达到|增长|下降|发布|宣布|位于|成立|according|reported|was|were|is|are|percent|million|billion"
@@ -25,7 +30,7 @@ VERIFIABLE = (
 
 @F.pandas_udf(T.StringType())
 def _nfkc(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+    return x.map(lambda s: s if s is None or s.isascii() or unicodedata.is_normalized("NFKC", s) else unicodedata.normalize("NFKC", s))
 
 
 def nfkc(x: Column, spark=None) -> Column:
@@ -36,13 +41,13 @@ def nfkc(x: Column, spark=None) -> Column:
 
 
 def js_trim(x: Column) -> Column:
-    return F.regexp_replace(x, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def normalize_answer(x: Column, compose=nfkc) -> Column:
     """NFKC, no white space, one closing mark dropped, lower case. Workers need this package (session.importable_by_workers)."""
-    bare = F.regexp_replace(compose(x), rf"[{SPACE}]+", "")
-    return F.lower(F.regexp_replace(bare, r"[，。；;,.]$", ""))
+    bare = F.translate(compose(x), BLANKS, "")
+    return let(bare, lambda b: F.lower(F.when(F.right(b, F.lit(1)).isin(CLOSING), F.substring(b, 1, F.length(b) - 1)).otherwise(b)))
 
 
 def last_marked_answer(x: Column) -> Column:

@@ -1,15 +1,24 @@
 """URL and access predicates, without any network access."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Hosts by source quality.
 OFFICIAL = r"(?i)\.(gov|edu)(\.|$)|(who\.int|un\.org|worldbank\.org)$"
 OPEN_EDIT = r"(?i)wikipedia|blogspot|medium\.com$"
+#: An address of four decimal bytes.
+PLAIN_V4 = r"^{0}(\.{0}){{3}}$".format(r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])")
 #: Fixed value: what a paywall says.
 PAYWALL = r"(?i)paywall|subscribe to continue|付费阅读|订阅后阅读"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def part(url: Column, name: str) -> Column:
     return F.try_parse_url(url, F.lit(name))
 
@@ -22,8 +31,7 @@ def private_address(x: Column) -> Column:
     """Private and special addresses; whatever is no address counts as private."""
     quad = F.split(x, r"\.")
     a, b = F.get(quad, F.lit(0)).try_cast("int"), F.get(quad, F.lit(1)).try_cast("int")
-    byte = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-    v4 = x.rlike(rf"^{byte}(\.{byte}){{3}}$")
+    v4 = x.rlike(PLAIN_V4)
     private4 = a.isin(0, 10, 127) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | (a >= 224)
     v6 = x.contains(":") & x.rlike(r"^[0-9A-Fa-f:.]+$")
     low = F.lower(x)
@@ -45,14 +53,13 @@ def _number(x: Column) -> Column:
 def numeric_host(host: Column) -> Column:
     """struct(numeric, address): whether a host's last part is a number, and then its dotted address, as browsers read it; null if it has none."""
     parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
-    numbers = F.transform(parts, _number)
-    n = F.size(parts)
-    last = F.element_at(numbers, -1)
-    before = F.aggregate(F.slice(numbers, 1, n - 1), F.lit(0).cast("long"), lambda acc, x: acc * 256 + F.when(x < 256, x))
-    rest = F.get(F.array(*[F.lit(1 << (8 * i)) for i in (4, 3, 2, 1)]), n - 1)  # what the last part may count up to
-    value = F.when(last < rest, before * rest + last)
-    dotted = F.concat_ws(".", *[F.shiftright(value, 8 * i).bitwiseAND(F.lit(255)).cast("string") for i in (3, 2, 1, 0)])
-    return F.struct(F.element_at(parts, -1).rlike("^([0-9]+|0x[0-9a-f]*)$").alias("numeric"), F.when(value.isNotNull(), dotted).alias("address"))
+    n, last = (lambda x: F.size(x)), (lambda x: F.element_at(x, -1))
+    before = lambda x: F.aggregate(F.slice(x, 1, n(x) - 1), F.lit(0).cast("long"), lambda acc, y: acc * 256 + F.when(y < 256, y))
+    rest = lambda x: F.get(F.array(*[F.lit(1 << (8 * i)) for i in (4, 3, 2, 1)]), n(x) - 1)  # noqa: E731  what the last part may count up to
+    value = let(F.transform(parts, _number), lambda x: F.when(last(x) < rest(x), before(x) * rest(x) + last(x)))
+    dotted = lambda v: F.when(v.isNotNull(), F.concat_ws(".", *[F.shiftright(v, 8 * i).bitwiseAND(F.lit(255)).cast("string") for i in (3, 2, 1, 0)]))
+    address = F.when(host.rlike(PLAIN_V4), host).otherwise(let(value, dotted))
+    return F.struct(F.element_at(parts, -1).rlike("^([0-9]+|0x[0-9a-f]*)$").alias("numeric"), address.alias("address"))
 
 
 def url_guard(url: Column) -> Column:
@@ -61,22 +68,73 @@ def url_guard(url: Column) -> Column:
     Hosts are read as browsers read them: lower case, and numeric ones in any notation (hexadecimal, octal, fewer parts) as addresses.
     """
     x = F.trim(url)
-    scheme = F.lower(F.regexp_extract(x, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     authority = F.regexp_extract(x, r"^[A-Za-z]+:[/\\]*([^/\\?#]*)", 1)
-    user = F.regexp_extract(authority, "^(.*)@", 1)
-    host = F.lower(F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), ":[0-9]*$", ""))
-    number = numeric_host(host)
-    v6 = F.regexp_extract(host, r"^\[(.*)\]$", 1)
-    web = scheme.isin("http", "https")
-    bad_host = (host == "") | (~host.startswith("[") & host.rlike(r"[\x00-\x20<>\[\]^|%:]")) | (number["numeric"] & number["address"].isNull())
-    return (
-        F.when(x.isNull() | (scheme == "") | (web & bad_host), "EVIDENCE_INVALID_URL")
-        .when(~web, "EVIDENCE_UNSAFE_SCHEME")
-        .when(~user.isin("", ":"), "EVIDENCE_URL_CREDENTIALS_FORBIDDEN")
-        .when(host.rlike(r"(^|\.)localhost\.?$"), "EVIDENCE_PRIVATE_HOST")
-        .when(number["numeric"] & private_address(number["address"]), "EVIDENCE_PRIVATE_HOST")
-        .when((v6 != "") & private_address(v6), "EVIDENCE_PRIVATE_HOST")
+    split = F.struct(F.lower(F.regexp_extract(x, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)).alias("scheme"), authority.alias("authority"))
+
+    def parts(s: Column) -> Column:
+        host = F.lower(F.regexp_replace(F.regexp_replace(s["authority"], "^.*@", ""), ":[0-9]*$", ""))
+        return F.struct(s["scheme"].alias("scheme"), F.regexp_extract(s["authority"], "^(.*)@", 1).alias("user"), host.alias("host"))
+
+    def checked(s: Column, number: Column) -> Column:
+        scheme, user, host = s["scheme"], s["user"], s["host"]
+        v6 = F.regexp_extract(host, r"^\[(.*)\]$", 1)
+        web, numeric = scheme.isin("http", "https"), F.coalesce(number["numeric"], F.lit(False))
+        bad_host = (host == "") | (~host.startswith("[") & host.rlike(r"[\x00-\x20<>\[\]^|%:]")) | (numeric & number["address"].isNull())
+        return (
+            F.when((scheme == "") | (web & bad_host), "EVIDENCE_INVALID_URL")
+            .when(~web, "EVIDENCE_UNSAFE_SCHEME")
+            .when(~user.isin("", ":"), "EVIDENCE_URL_CREDENTIALS_FORBIDDEN")
+            .when(host.rlike(r"(^|\.)localhost\.?$"), "EVIDENCE_PRIVATE_HOST")
+            .when(numeric & private_address(number["address"]), "EVIDENCE_PRIVATE_HOST")
+            .when((v6 != "") & private_address(v6), "EVIDENCE_PRIVATE_HOST")
+        )
+
+    # only a host whose last part starts with a digit can be a number
+    number = lambda s: F.when(s["host"].rlike(r"(^|\.)[0-9][^.]*\.?$"), numeric_host(s["host"]))
+    return F.when(x.isNull(), "EVIDENCE_INVALID_URL").otherwise(let(let(split, parts), lambda s: let(number(s), lambda n: checked(s, n))))
+
+
+def without_dots(path: Column) -> Column:
+    """A path from / on, in which . stands for its folder and .. for the one above."""
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.array_append(done, x))
+    walked = lambda parts: F.aggregate(parts, F.array().cast("array<string>"), step)
+    ended = lambda parts: F.concat(walked(parts), F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    shorter = let(F.split(F.substring(path, 2, 1 << 30), "/"), lambda parts: F.concat(F.lit("/"), F.array_join(ended(parts), "/")))
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), shorter).otherwise(path)
+
+
+def href(url: Column) -> Column:
+    """A web URL as it is asked for: scheme and host in lower case, no default port, a path from / on without dots. Nothing is percent-encoded anew."""
+    pattern = r"^([A-Za-z][A-Za-z0-9+.-]*):[/\\]*([^/\\?#]*)([^?#]*)(.*)$"
+
+    def split(x: Column) -> Column:
+        group = lambda i: F.regexp_extract(x, pattern, i)
+        path = F.when(group(3) == "", "/").otherwise(F.replace(group(3), F.lit("\\"), F.lit("/")))
+        return F.struct(F.lower(group(1)).alias("scheme"), F.lower(group(2)).alias("authority"), path.alias("path"), group(4).alias("rest"))
+
+    def whole(s: Column) -> Column:
+        authority = F.when(s["scheme"] == "https", F.regexp_replace(s["authority"], ":(443)?$", "")).otherwise(F.regexp_replace(s["authority"], ":(80)?$", ""))
+        return F.concat(s["scheme"], F.lit("://"), authority, without_dots(s["path"]), s["rest"])
+
+    return let(let(F.trim(url), split), whole)
+
+
+def resolved(location: Column, base: Column) -> Column:
+    """Where a Location header leads from a normalized URL: absolute, or relative to its scheme, host, path or query."""
+    bare = F.regexp_replace(base, "#.*$", "")
+    page = F.regexp_replace(base, "[?#].*$", "")
+    origin = F.regexp_extract(base, "^([a-z][a-z0-9+.-]*://[^/?#]*)", 1)
+    full = lambda x: (
+        F.when(x.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), x)
+        .when(x.startswith("//"), F.concat(F.regexp_extract(base, "^([a-z][a-z0-9+.-]*:)", 1), x))
+        .when(x.startswith("/"), F.concat(origin, x))
+        .when(x.startswith("?"), F.concat(page, x))
+        .when(x.startswith("#"), F.concat(bare, x))
+        .when(x == "", bare)
+        .otherwise(F.concat(F.regexp_replace(page, "[^/]*$", ""), x))
     )
+    return let(let(F.trim(location), full), lambda to: F.when(to.rlike("^(?i)https?:"), href(to)).otherwise(to))
 
 
 def access_status(code: Column, text: Column) -> Column:

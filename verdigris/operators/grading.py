@@ -32,18 +32,18 @@ def short_fact(rows: DataFrame, judge: Judge, style: str = "chinese", compose=t.
     last = style == "chinese"
     candidate, same = exact_match(F.col("final_answer"), F.col("reference_answer"), last, compose)
     missing = F.col("reference_answer").isNull() if last else (F.coalesce("reference_answer", F.lit("")) == "")
-    marked = rows.withColumn("_candidate", candidate).withColumn("_exact", same & ~missing)
+    marked = rows.where(~missing).withColumn("_candidate", candidate).withColumn("_exact", same)
     exact = marked.where("_exact").select(
         *rows.columns, F.lit(True).alias("exact"), F.col("_candidate").alias("extracted_answer"), F.lit("correct").alias("conclusion"),
         F.lit("Exact normalized match.").alias("rationale"), F.lit(None).cast("string").alias("error"),
     )
-    judged = judge(marked.where("not _exact").where(~missing).select(rows.columns))
+    judged = judge(marked.where("not _exact").select(rows.columns))
     parsed = judged.withColumn("_v", (v.chinese_verdict if last else v.english_verdict)(F.col("judge_text")))
     asked = parsed.select(
         *rows.columns, F.lit(False).alias("exact"), "_v.extracted_answer", "_v.conclusion", "_v.rationale",
         F.when(F.col("_v.conclusion").isNull(), "judge response has no conclusion").alias("error"),
     )
-    ungraded = marked.where(missing).select(
+    ungraded = rows.where(missing).select(
         *rows.columns, F.lit(False).alias("exact"), *[F.lit(None).cast("string").alias(c) for c in ("extracted_answer", "conclusion", "rationale")],
         F.lit("gold has no reference answer").alias("error"),
     )

@@ -2,8 +2,11 @@
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def metric_report(scores: DataFrame) -> DataFrame:
@@ -131,33 +134,63 @@ def api_cost(input_tokens: Column, output_tokens: Column, input_rate: Column, ou
     return F.round((input_tokens * input_rate * exchange + output_tokens * output_rate * exchange) / 1e6, 6)
 
 
-def wide_repeats(rows: DataFrame, question: str, repeat: str, n: int, values: list[str]) -> DataFrame:
-    """One row for each question, with <value>_<repeat> columns for repeats 0 to n-1."""
-    return rows.groupBy(question).agg(*[F.max(F.when(F.col(repeat) == r, F.col(v))).alias(f"{v}_{r}") for r in range(n) for v in values])
+def wide_repeats(rows: DataFrame, question: str, repeat: str, values: list[str], n: int | None = None) -> DataFrame:
+    """One row for each question, with <value>_<repeat> columns for repeats 0 to n-1. n: as many as there are; a repeat beyond a given n, or a null one, fails the job."""
+    if n is None:
+        n = (rows.agg(F.max(repeat)).first()[0] if rows.columns else None) or 0
+        n += 1
+    known = F.coalesce(F.col(repeat).between(0, n - 1), F.lit(False))
+    checked = rows.withColumn(repeat, F.when(known, F.col(repeat)).otherwise(F.raise_error(F.concat(F.lit(f"repeat is not in 0 to {n - 1}: "), F.coalesce(F.col(repeat).cast("string"), F.lit("null")))).cast("int")))
+    return checked.groupBy(question).agg(*[F.max(F.when(F.col(repeat) == r, F.col(v))).alias(f"{v}_{r}") for r in range(n) for v in values])
 
 
-def bootstrap_mean(rows: DataFrame, value: str, *keys: str, samples: int = 1000, seed: int = 7) -> DataFrame:
-    """95 % interval of the mean, by a Poisson bootstrap: a row's copies in a sample follow from a hash, so nothing is collected.
+def poisson_table() -> np.ndarray:
+    """Poisson(1) counts by 16 uniform bits."""
+    chances = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
+    return np.searchsorted(chances, (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.uint8)
 
-    Equal rows are counted first, and each draws its own copies. Sample sums are aggregated before the shuffle: keys x samples rows for each task.
+
+def bootstrap_mean(rows: DataFrame, value: str, *keys: str, samples: int = 10_000, seed: int = 7) -> DataFrame:
+    """95 % interval of the mean, by a Poisson bootstrap: a row's copies in each sample follow from a hash, so nothing is collected.
+
+    Rows of a key with equal values are counted first: n of them have Poisson(n) copies together. A task adds the copies of its values into one
+    vector of sample sums for each key, and only these vectors are shuffled. Null values don't count.
     """
-    u = lambda s, j: (F.pmod(F.xxhash64(F.col("_id"), s, j, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    total, term, steps = 0.0, math.exp(-1), []
-    for k in range(8):  # Poisson(1): up to 8 copies hold all but 1e-6 of the mass
-        total += term
-        steps.append(total)
-        term /= k + 1
-    drawn = lambda x: sum((F.when(x > s, 1).otherwise(0) for s in steps), F.lit(0))
-    more = F.aggregate(F.sequence(F.lit(2), F.col("_n")), F.lit(0), lambda n, j: n + drawn(u(F.col("_s"), j)))
-    weight = drawn(u(F.col("_s"), F.lit(1))) + F.when(F.col("_n") > 1, more).otherwise(0)
-    spread = (
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = (
         rows.where(F.col(value).isNotNull())
-        .groupBy(*rows.columns)
-        .agg(F.count(F.lit(1)).cast("int").alias("_n"))
-        .select(*keys, F.col(value).cast("double").alias("_v"), F.xxhash64(*rows.columns).alias("_id"), "_n")
-        .withColumn("_s", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-        .withColumn("_w", weight)
+        .select(*keys, F.col(value).cast("double").alias("_v"))
+        .groupBy(*keys, "_v")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_h", F.xxhash64(*keys, "_v", F.lit(seed)))
+        .repartition(parts, "_h")  # few small rows, but each takes `samples` draws
+        .sortWithinPartitions(*keys)
     )
-    means = spread.groupBy(*keys, "_s").agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
+    k, names = len(keys), [*keys, "_s", "_w", "_wv"]
+    schema = T.StructType([*counted.select(*keys).schema.fields, T.StructField("_s", T.IntegerType()), T.StructField("_w", T.DoubleType()), T.StructField("_wv", T.DoubleType())])
+
+    def run(batches):
+        single, now, key = poisson_table(), None, []
+
+        def sums() -> pa.RecordBatch:
+            alike = pa.array(np.zeros(samples, np.int64))
+            return pa.RecordBatch.from_arrays([*(c.take(alike) for c in key), pa.array(np.arange(samples, dtype=np.int32)), pa.array(weight), pa.array(total)], names=names)
+
+        for batch in batches:
+            for i, (*its, v, n, h) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if its != now:
+                    if now is not None:
+                        yield sums()
+                    now, key = its, [batch.column(j).slice(i, 1) for j in range(k)]
+                    weight, total = np.zeros(samples), np.zeros(samples)
+                random = np.random.default_rng(h & ((1 << 64) - 1))
+                copies = single[random.integers(0, 1 << 16, samples, np.uint16)] if n == 1 else random.poisson(n, samples)
+                weight += copies
+                total += copies * v
+        if now is not None:
+            yield sums()
+
+    sampled = counted.mapInArrow(run, schema).groupBy(*keys, "_s").agg(F.sum("_w").alias("_w"), F.sum("_wv").alias("_wv"))
+    means = sampled.select(*keys, F.try_divide("_wv", F.nullif("_w", F.lit(0.0))).alias("_m"))
     edge = lambda p: F.percentile("_m", F.lit(p))
     return means.groupBy(*keys).agg(F.avg("_m").alias("mean"), edge(0.025).alias("low"), edge(0.975).alias("high"))

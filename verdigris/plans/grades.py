@@ -104,7 +104,7 @@ def majority_vote(spark, sf_dir) -> DataFrame:
 
 def wide_repeat_pivot(spark, sf_dir) -> DataFrame:
     rows = _answers(spark, sf_dir).withColumn("repeat", F.col("repeat") - 1)
-    return metrics.wide_repeats(rows, "question_id", "repeat", 3, ["answer", "score"])
+    return metrics.wide_repeats(rows, "question_id", "repeat", ["answer", "score"], 7)
 
 
 def api_cost(spark, sf_dir) -> DataFrame:
@@ -200,7 +200,7 @@ SELECT l_orderkey AS question_id, round(avg(l_discount), 6) AS average, max(l_di
 WITH c AS (SELECT l_orderkey AS question_id, l_returnflag AS majority, count(*) AS votes FROM lineitem GROUP BY 1, 2)
 SELECT question_id, votes, majority FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY votes DESC, majority) AS n FROM c) WHERE n = 1""",
     "wide_repeat_pivot": "SELECT l_orderkey AS question_id, "
-    + ", ".join(f"max(CASE WHEN l_linenumber = {r + 1} THEN {c} END) AS {v}_{r}" for r in range(3) for v, c in (("answer", "l_returnflag"), ("score", "l_discount")))
+    + ", ".join(f"max(CASE WHEN l_linenumber = {r + 1} THEN {c} END) AS {v}_{r}" for r in range(7) for v, c in (("answer", "l_returnflag"), ("score", "l_discount")))
     + " FROM lineitem GROUP BY 1",
     "api_cost": """
 SELECT l_orderkey, l_linenumber, round((l_quantity * 1000 * i * 7.123457::DOUBLE + floor(l_extendedprice) * o * 7.123457::DOUBLE) / 1e6, 6) AS cost

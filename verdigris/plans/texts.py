@@ -17,8 +17,8 @@ def answer_normalize_match(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("head"))
     answer, reference = F.concat(F.lit(" "), "head", F.lit(" 。")), F.translate(F.replace("head", F.lit(" "), F.lit("　")), LOWER, LOWER.upper())
     importable_by_workers(spark)
-    found = t.normalize_answer(answer)
-    return docs.select("doc_id", found.alias("normalized"), (found == t.normalize_answer(reference)).alias("equal"))
+    found = docs.select("doc_id", t.normalize_answer(answer).alias("normalized"), t.normalize_answer(reference).alias("reference"))
+    return found.select("doc_id", "normalized", (F.col("normalized") == F.col("reference")).alias("equal"))
 
 
 def last_marked_answer(spark, sf_dir) -> DataFrame:
