@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import numbers
 import random
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -377,7 +379,7 @@ def test_equals_sql(spark, sf, name):
     found, expected = queries.QUERIES[name](spark, sf).toPandas(), con.execute(queries.ORACLES[name]).df()
     columns = sorted(found.columns)
     assert columns == sorted(expected.columns)
-    one = lambda v: "~" if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v)
+    one = lambda v: "~" if v is None or v is pd.NA or v != v else repr(float(v)) if isinstance(v, numbers.Real) else str(v)
     flat = lambda f: sorted(tuple(map(one, r)) for r in f[columns].astype(object).itertuples(index=False, name=None))
     assert flat(found) == flat(expected)
 
