@@ -1,12 +1,16 @@
 """Queries over pages of chat products and over judges: each has its DuckDB SQL beside it."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pages as p
 from ..operators import citations, grading, judging, metrics, state
 from ..session import importable_by_workers
+from ..storage import delete, materialize, shared_dir
 from ..tables import table
+from .judge_store import VERDICTS, JudgeLedger
 
 OWN = ["spam-farm.com", "www.example.com"]
 
@@ -65,6 +69,21 @@ def cached_grades(spark, sf_dir) -> DataFrame:
     return graded.select("task_id", "exact", "conclusion", "error")
 
 
+def judge_ledger(spark, sf_dir) -> DataFrame:
+    """Two runs over one ledger: first every second task, then every row twice; half of the verdicts come from the first run, and every key is asked for once."""
+    store = f"{shared_dir(spark)}/verdigris-judges-{uuid.uuid4().hex[:12]}"
+    rows = _answers(spark, sf_dir).where("reference_answer is not null")
+    asked = JudgeLedger(spark, store, "g", "m")
+    asked.ask(rows.where(F.pmod("task_id", F.lit(2)) == 0), _silent_judge, "first")
+    second = asked.ask(rows.unionByName(rows), _silent_judge, "second")
+    calls = asked._table("verdicts", VERDICTS).groupBy("cache_key").agg(F.count(F.lit(1)).alias("calls"))
+    jobs = asked.jobs().groupBy(F.col("task").cast("long").alias("task_id")).agg(F.count(F.lit(1)).alias("jobs"), F.count("cache_source_job_id").alias("from_cache"))
+    found = second.groupBy("task_id", "cache_key").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("cache_hit").alias("hits"), F.max("judge_text").alias("judge_text"))
+    out = materialize(found.join(calls, "cache_key").join(jobs, "task_id").select("task_id", "n_rows", "hits", "calls", "jobs", "from_cache", F.sha2("judge_text", 256).alias("text_sha256")), "judged")
+    delete(spark, store)
+    return out
+
+
 def citation_entailment(spark, sf_dir) -> DataFrame:
     """Turns as answers that name two sources: the turn itself without its last sentence, and one that is too short."""
     turns = table(spark, sf_dir, "conversations").where("text is not null").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("report"), "text")
@@ -122,13 +141,23 @@ def recovery_counters(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    best_answer_block, external_links, page_states, cached_grades, citation_entailment, question_grades, four_line_form,
+    best_answer_block, external_links, page_states, cached_grades, judge_ledger, citation_entailment, question_grades, four_line_form,
     ordered_answers, fact_ratio, vote_scores, failure_states, recovery_counters,
 )}
 
 _in = lambda names: "(" + ", ".join(f"'{x}'" for x in names) + ")"
 
 ORACLES = {
+    "judge_ledger": """
+WITH a AS (
+  SELECT doc_id, 'ref ' || doc_id AS reference, CASE WHEN doc_id % 3 = 0 THEN '最终答案: Ref ' || doc_id || '。' WHEN quality = 1 THEN 'it is ref ' || doc_id ELSE 'no idea' END AS answer
+  FROM documents JOIN labels USING (doc_id) WHERE toxic = 0
+), j AS (
+  SELECT doc_id, CASE WHEN ends_with(answer, '7') THEN 'no verdict' ELSE '最终答案: ' || substr(answer, 1, 40) || chr(10) || '解释: containment' || chr(10) || '结论: '
+    || CASE WHEN contains(answer, reference) THEN '正确' ELSE '错误' END END AS said FROM a
+)
+SELECT doc_id AS task_id, 2::BIGINT AS n_rows, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS hits, 1::BIGINT AS calls, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END AS jobs,
+  CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS from_cache, sha256(said) AS text_sha256 FROM j""",
     "best_answer_block": r"""
 WITH a AS (SELECT conv_id, min(coalesce(text, '')) AS prompt FROM conversations WHERE turn = 0 GROUP BY conv_id),
 b AS (SELECT conv_id, turn, coalesce(text, '') AS text, prompt, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations JOIN a USING (conv_id)),

@@ -1,8 +1,10 @@
 """The run, grade and report pipelines over DataFrames.
 
-Systems and judges are called once at most: outside calls go through `once`, which writes an
+Systems are called once at most: outside calls go through `once`, which writes an
 intent ledger before and the outcome after. Only the first attempt of a task calls. When Spark runs a task again, whether it
 failed or was slow, it can't know which rows were sent before, so it sends none and hands its rows to a human.
+Judges are asked once at most where `grade` is given a ledger (judge_store.JudgeLedger); a judge without one is a lazy step of the plan,
+and runs with every action.
 """
 
 import uuid
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import js_trim, page_text
 from ..operators import citations, grading, ledger, metrics, selection, state
+from ..storage import exists
+from .judge_store import JudgeLedger
 
 Adapter = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 RESULT = "task_id string, status string, answer string, error string"
@@ -56,14 +60,12 @@ def once(requests: DataFrame, adapter: Adapter, store: str) -> DataFrame:
     intents, outcomes = f"{store}/intents", f"{store}/outcomes"
 
     def stored(path: str, schema: str) -> DataFrame:
-        jvm = spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-            return spark.read.schema(schema).parquet(path)
-        return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
     known = stored(intents, "task_id string")
-    new = requests.join(known, "task_id", "left_anti")
+    rest = [c for c in requests.columns if c != "task_id"]
+    single = requests.groupBy("task_id").agg(F.min(F.struct(F.lit(0).alias("_"), *rest)).alias("_r")).select("task_id", *[f"_r.{c}" for c in rest]).select(requests.columns)  # a repeated task is one call
+    new = single.join(known, "task_id", "left_anti")
     batch = f"{store}/batch-{uuid.uuid4().hex}"
     new.write.parquet(batch)
     fixed = spark.read.schema(requests.schema).parquet(batch)
@@ -80,8 +82,9 @@ def case_states(results: DataFrame) -> DataFrame:
     return results.withColumn("state", F.coalesce(state.failure_state(F.col("status"), F.col("answer")), F.lit("READY_FOR_GRADING")))
 
 
-def grade(cases: DataFrame, gold: DataFrame, judge: grading.Judge, style: str = "chinese") -> DataFrame:
-    """Scores of gradable cases: gold joins here and nowhere before."""
+def grade(cases: DataFrame, gold: DataFrame, judge: grading.Judge, style: str = "chinese", ledger_of: JudgeLedger | None = None, run_id: str = "") -> DataFrame:
+    """Scores of gradable cases: gold joins here and nowhere before. With a ledger the judge is asked now, once for each key that has no verdict yet."""
+    judge = ledger_of.judge(judge, run_id) if ledger_of else judge
     ready = cases.where(F.col("state").isin(state.GRADABLE)).select("task_id", F.col("answer").alias("final_answer"))
     graded = grading.short_fact(ready.join(gold.select("task_id", "reference_answer"), "task_id", "left"), judge, style)
     status = F.when(F.col("error").isNull(), "scored").otherwise("failed")

@@ -1,8 +1,10 @@
 """Written intermediates in the folder that the driver and all executors share."""
 
+import time
 import uuid
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,10 +47,45 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def _found(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, for any store that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _found(spark, path)
+    return files.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, where = _found(spark, path)
+    files.delete(where, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_verdigris_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        delete(df.sparkSession, path)
+
+
+@contextmanager
+def exclusive(spark: SparkSession, path: str, patience: float = 600, pause: float = 0.2):
+    """Hold a lock file: its creation, which the store makes atomic, succeeds for one driver only. A lock that a lost driver left is for a human to delete."""
+    files, where = _found(spark, path)
+    until = time.time() + patience
+    while True:
+        try:
+            files.create(where, False).close()
+            break
+        except Py4JJavaError as error:
+            if not files.exists(where) and "AlreadyExists" not in str(error):
+                raise
+            if time.time() > until:
+                raise TimeoutError(f"another run holds {path}") from error
+            time.sleep(pause)
+    try:
+        yield
+    finally:
+        files.delete(where, False)
