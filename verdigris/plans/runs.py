@@ -1,9 +1,13 @@
 """Queries over event logs: runs, states, ledgers and reports. Each has its DuckDB SQL beside it."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ledger, metrics, selection, state
+from ..sources import readers
+from ..storage import delete, materialize, setting, shared_dir
 from ..tables import table
 
 STATES = list(state.NEXT)
@@ -118,6 +122,23 @@ def task_case_attempt(spark, sf_dir) -> DataFrame:
     return joined.groupBy("c_mktsegment", "o_orderstatus").agg(F.countDistinct("o_orderkey").alias("cases"), F.count(F.lit(1)).alias("attempts"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
+def file_positions(spark, sf_dir) -> DataFrame:
+    """Documents written as JSON lines, a file for each hundred, with blank lines between and broken ones behind some; read back in many small splits."""
+    name = F.to_json(F.struct("doc_id", "lang"))
+    lines = F.concat(F.when(F.pmod("doc_id", F.lit(7)) == 0, F.array(F.lit(" "), F.lit(""))).otherwise(F.array().cast("array<string>")), F.array(name),
+                     F.when(F.pmod("doc_id", F.lit(11)) == 0, F.array(F.concat(F.lit("broken "), F.col("doc_id").cast("string")))).otherwise(F.array().cast("array<string>")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.format_string("%09d", F.expr("doc_id div 100")).alias("part"), F.posexplode(lines).alias("k", "value"))
+    store = f"{shared_dir(spark)}/verdigris-lines-{uuid.uuid4().hex[:12]}"
+    docs.repartition("part").sortWithinPartitions("part", "doc_id", "k").select("part", "value").write.partitionBy("part").text(store)
+    with setting(spark, spark__sql__files__maxPartitionBytes="1k"):
+        good, broken = readers.json_lines(spark, store, "doc_id long, lang string")
+        part = F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part")
+        found = good.select("doc_id", part, "line_no", "ordinal").unionByName(broken.select(F.substring("line", 8, 20).cast("long").alias("doc_id"), part, "line_no", F.lit(-1).cast("long").alias("ordinal")))
+        out = materialize(found, "positions")
+    delete(spark, store)
+    return out
+
+
 def bootstrap_ci(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     return metrics.bootstrap_mean(rows, "value", "event_type")
@@ -125,13 +146,20 @@ def bootstrap_ci(spark, sf_dir) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     metric_report, case_counters, event_sequence, illegal_transitions, stable_polls, latest_verdict, cache_hit, cache_miss_antijoin,
-    coalesce_update, resume_triage, safe_reset, run_rollup, seeded_selection, broken_references, task_case_attempt, bootstrap_ci,
+    coalesce_update, resume_triage, safe_reset, run_rollup, seeded_selection, broken_references, task_case_attempt, bootstrap_ci, file_positions,
 )}
 
 _in = lambda names: "(" + ", ".join(f"'{x}'" for x in names) + ")"
 _edges = ", ".join(f"('{a}', '{b}')" for a, b in state.legal_edges())
 
 ORACLES = {
+    "file_positions": """
+WITH l AS (
+  SELECT doc_id, doc_id // 100 AS part, unnest(list_concat(CASE WHEN doc_id % 7 = 0 THEN [-2, -1] ELSE [] END, [0], CASE WHEN doc_id % 11 = 0 THEN [1] ELSE [] END)) AS k FROM documents
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id, k) AS line_no, count(*) FILTER (k >= 0) OVER (ORDER BY part, doc_id, k) - 1 AS ordinal FROM l
+)
+SELECT doc_id, part, line_no, CASE WHEN k = 0 THEN ordinal ELSE -1 END AS ordinal FROM n WHERE k >= 0""",
     "metric_report": f"""
 WITH {SQL_EVENTS}, s AS (SELECT event_type AS metric_id, user_id, ts, event_id,
   CASE WHEN k % 10 = 0 THEN 'failed' WHEN k % 10 = 1 THEN 'not_observable' ELSE 'scored' END AS status,

@@ -4,28 +4,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
+from .positions import numbered_lines
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(records, broken lines with their file): blank lines are skipped."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file")).where(F.trim("line") != "")
+    """(records with file, line_no and ordinal; broken lines: file, line_no, line). Blank lines are skipped, but counted."""
     full = f"{schema.strip()}, _corrupt string"
-    parsed = lines.withColumn("r", F.from_json("line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    good = parsed.where("r._corrupt is null").select("r.*").drop("_corrupt")
-    return good, parsed.where("r._corrupt is not null").select("file", "line")
+    parsed = numbered_lines(spark, path).withColumn("r", F.from_json("line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    good = parsed.where("r._corrupt is null").select("r.*", "file", "line_no", "ordinal").drop("_corrupt")
+    return good, parsed.where("r._corrupt is not null").select("file", "line_no", "line")
 
 
 def tasks(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """Source tasks of one split; a broken or invalid line fails the job and names its file."""
+    """Source tasks of one split; a broken or invalid line fails the job, and the first one is named by file and line."""
     good, broken = json_lines(spark, path, schemas.TASK)
-    bad = broken.limit(1).collect()
-    if bad:
-        raise ValueError(f"{bad[0].file}: not a task: {bad[0].line[:200]}")
     valid, invalid = schemas.validate(good, schemas.task_checks())
-    worst = invalid.select("task_id", "invalid_reason").limit(1).collect()
-    if worst:
-        raise ValueError(f"{path}: task {worst[0].task_id}: {', '.join(worst[0].invalid_reason)}")
-    return valid.where(F.col("split") == split)
+    wrong = broken.select("file", "line_no", F.concat(F.lit("not a task: "), F.substring("line", 1, 200)).alias("why"))
+    wrong = wrong.unionByName(invalid.select("file", "line_no", F.concat(F.lit("task "), F.coalesce("task_id", F.lit("?")), F.lit(": "), F.array_join("invalid_reason", ", ")).alias("why")))
+    first = wrong.orderBy("file", "line_no").limit(1).collect()
+    if first:
+        raise ValueError(f"{first[0].file}:{first[0].line_no}: {first[0].why}")
+    return valid.where(F.col("split") == split).drop("file", "line_no", "ordinal")
 
 
 def gold(spark: SparkSession, path: str) -> DataFrame:
