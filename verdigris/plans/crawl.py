@@ -1,9 +1,10 @@
-"""Queries over crawled responses. Each has its DuckDB SQL beside it."""
+"""Queries over crawled responses and over records as JSON text. Each has its DuckDB SQL beside it."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evidence
+from ..sources import records
 from ..tables import table
 from .texts import _html
 
@@ -39,9 +40,47 @@ def evidence_redirects(spark, sf_dir) -> DataFrame:
                         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("text_chars"), "error_code", "link_works", F.sha2("url_content", 256).alias("content_sha256"), "link_error")
 
 
-QUERIES = {"evidence_redirects": evidence_redirects}
+#: Ways to break a submission, by doc_id % 9, with what is found: a change of its JSON text.
+BREAKS = {
+    1: ('"track":"short_fact"', '"track":"poem"', "$.track: not an allowed value"),
+    2: ('"end":9}', '"end":-1}', "$.claims[0].source_span.end: out of range; $.claims[0]: source_span.end comes before source_span.start"),
+    3: ('"citation_id":"s2"', '"citation_id":"s1"', "$: citations.citation_id is not unique; $: claims.citation_ids names no citations.citation_id: s2"),
+    4: ('"citation_ids":["s1"', '"citation_ids":["s9"', "$: claims.citation_ids names no citations.citation_id: s9"),
+    5: ('{"schema_version"', '{"extra":1,"schema_version"', "$: unknown field extra"),
+    6: ('"run_id":"r"', '"run_id":12', "$.run_id: not a string"),
+    7: ('"case_id":"c",', "", "$.case_id: missing"),
+    8: ('"sections":', '"sections"', "$: not JSON"),
+}
+
+
+def record_validation(spark, sf_dir) -> DataFrame:
+    """Documents as submissions with claims and citations, eight of nine broken in one way each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lit, none, digest = F.lit, F.lit(None).cast("string"), F.concat(F.lit("sha256:"), F.sha2("text", 256))
+    claim = lambda name, *cited: F.struct(lit(name).alias("claim_id"), lit("some claim").alias("text"), F.struct(lit(0).alias("start"), lit(9).alias("end")).alias("source_span"), lit("major").alias("importance"),
+                                          lit("opinion").alias("verifiability"), F.array(*map(lit, cited)).alias("citation_ids"))
+    cited = lambda name: F.struct(lit(name).alias("citation_id"), *[none.alias(x) for x in ("display_text", "visible_url", "resolved_url", "quoted_text")], F.array(lit("k1")).alias("claim_ids"), lit("resolved").alias("collection_status"))
+    whole = F.struct(
+        lit("verdigris.research_submission.v1").alias("schema_version"), lit("r").alias("run_id"), lit("c").alias("case_id"), lit("a").alias("attempt_id"), F.col("doc_id").cast("string").alias("task_id"), lit("short_fact").alias("track"),
+        F.col("text").alias("final_answer"), F.array(F.struct(lit("x").alias("section_id"), none.alias("heading"), F.col("text").alias("text"))).alias("sections"),
+        F.array(claim("k1", "s1", "s2"), claim("k2")).alias("claims"), F.array(cited("s1"), cited("s2")).alias("citations"), F.array().cast("array<string>").alias("attachments"),
+        F.struct(lit("n").alias("normalizer_id"), lit("1").alias("normalizer_version"), digest.alias("source_artifact_sha256"), lit("collected").alias("citation_collection_status")).alias("normalization"),
+    )
+    line = F.to_json(whole, {"ignoreNullFields": "false"})
+    # the first claim alone is changed: each pattern stands there first
+    changed = line
+    for k, (old, new, _) in BREAKS.items():
+        at = F.locate(old, line)
+        changed = F.when(F.pmod("doc_id", lit(9)) == k, F.overlay(line, lit(new), at, lit(len(old)))).otherwise(changed)
+    lines = docs.select("doc_id", changed.alias("line"))
+    found = records.with_faults(lines, "line", records.RECORDS["research_submission"])
+    return found.select("doc_id", F.array_join("faults", "; ").alias("faults"))
+
+
+QUERIES = {"evidence_redirects": evidence_redirects, "record_validation": record_validation}
 
 ORACLES = {
+    "record_validation": "SELECT doc_id, CASE doc_id % 9 " + " ".join(f"WHEN {k} THEN '{why}'" for k, (_, _, why) in BREAKS.items()) + " ELSE '' END AS faults FROM documents",
     "evidence_redirects": f"""
 WITH RECURSIVE p AS (
   SELECT page_id, html, page_id % 8 AS hops, regexp_replace(url, '[?#].*$', '') || '?id=' || page_id AS page, page_id % 9 = 0 AS circle FROM pages
