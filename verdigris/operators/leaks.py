@@ -1,11 +1,17 @@
 """Checks of datasets: leaked answers, gold fields in tasks, and ids that don't agree."""
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import matching
+
 #: Keys that belong to gold records only.
 GOLD_KEYS = ["reference_answer", "acceptable_answers", "unacceptable_answers", "answer", "canary", "official_grader_payload"]
 LEAST_ANSWER = 8
+#: What graders' prompts and gold records say, and tasks never do.
+MARKERS = ["JUDGE_PROMPT", "extracted_final_answer", "reference_steps", "reference_answer"]
 
 
 def leaked_keys(tasks: DataFrame, raw: str, key: str = "task_id") -> DataFrame:
@@ -20,44 +26,19 @@ def answer_in_prompt(tasks: DataFrame, gold: DataFrame, prompt: str, answer: str
     return joined.where((F.length(answer) >= LEAST_ANSWER) & F.col(prompt).contains(F.col(answer)))
 
 
-def corpus_leaks(docs: DataFrame, answers: DataFrame, doc_id: str, text: str, item_id: str, answer: str, words: int = 8, chars: int = 8) -> DataFrame:
+def corpus_leaks(docs: DataFrame, answers: DataFrame, doc_id: str, text: str, item_id: str, answer: str, **sizes: int) -> DataFrame:
     """(doc_id, item_id) where a document contains an answer in full. Blank answers leak nothing; any number of answers of any length will do.
 
-    Each answer is found by an anchor, and only the pairs that meet are compared. The first and the last word of an answer may be
-    parts of longer words in a document, so the anchor is what stands whole between them: the first `words` of those words, or all.
-    An answer of two words is anchored at the end of the first, one of a single word at its first characters; those
-    are looked up among the distinct words of each document.
+    One pass over whole texts for each part of the answers that can be broadcast (matching.contained); pairs of repeated rows are repeated.
     """
-    cut = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    items = answers.select(F.col(item_id), F.col(answer).alias("_a"), cut(F.col(answer)).alias("_w")).withColumn("_n", F.size("_w")).where("_n > 0")
-    size = F.least(F.col("_n") - 2, F.lit(words))
-    gram = lambda w, i, n: F.xxhash64(F.lit(n), *[F.get(w, i + j) for j in range(n)])
-    inner = F.coalesce(*[F.when(size == n, gram(F.col("_w"), F.lit(1), n)) for n in range(1, words + 1)])
-    end, start = F.substring(F.get("_w", F.lit(0)), -chars, chars), F.substring(F.get("_w", F.lit(0)), 1, chars)
-    key = F.when(F.col("_n") == 2, F.xxhash64(F.lit("end"), end)).when(F.col("_n") == 1, F.xxhash64(F.lit("part"), start)).otherwise(inner)
-    # which sizes occur: 2 * words + 2 * chars numbers at most
-    kind = F.when(F.col("_n") == 2, F.struct(F.lit("end").alias("kind"), F.length(end).alias("size"))).when(F.col("_n") == 1, F.struct(F.lit("part").alias("kind"), F.length(start).alias("size")))
-    kinds = [r.k for r in items.select(F.coalesce(kind, F.struct(F.lit("gram").alias("kind"), size.alias("size"))).alias("k")).distinct().collect()]
-    anchored = items.select(item_id, "_a", key.alias("_k"))
-
-    split = docs.select(doc_id, cut(F.col(text)).alias("_w"))
-    at = lambda last: F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    once = F.array_distinct("_w")
-
-    def anchors(kind: str, n: int) -> Column:
-        if kind == "gram":
-            return F.transform(at(F.size("_w") - n), lambda i: gram(F.col("_w"), i, n))
-        if kind == "end":
-            return F.transform(F.filter(once, lambda w: F.length(w) >= n), lambda w: F.xxhash64(F.lit("end"), F.substring(w, -n, n)))
-        pieces = lambda w: F.transform(at(F.length(w) - n), lambda i: F.xxhash64(F.lit("part"), F.substr(w, i + 1, F.lit(n))))
-        return F.flatten(F.transform(once, pieces))
-
-    found = [anchors(k.kind, k.size) for k in sorted(kinds)]
-    if not found:
-        return docs.where("false").select(doc_id, F.lit(None).cast(answers.schema[item_id].dataType).alias(item_id))
-    grams = split.select(doc_id, F.explode(F.array_distinct(F.concat(*found))).alias("_k"))
-    hits = grams.join(anchored, "_k").select(doc_id, item_id, "_a").distinct()
-    return docs.select(doc_id, text).join(hits, doc_id).where(F.col(text).contains(F.col("_a"))).select(doc_id, item_id)
+    some = answers.where(F.col(answer).rlike(r"[^\x20\x09-\x0D]"))
+    return matching.contained(docs, some, text, item_id, answer, doc_id, **sizes)
+
+
+def leaked_markers(rows: DataFrame, raw: str, key: str = "task_id", markers: Sequence[str] = MARKERS) -> DataFrame:
+    """(key, marker) for each literal marker of graders that stands anywhere in a record's text."""
+    listed = rows.sparkSession.createDataFrame([(m, m) for m in dict.fromkeys(markers)], "marker string, text string")
+    return matching.contained(rows, listed, raw, "marker", "text", key)
 
 
 def id_parity(tasks: DataFrame, gold: DataFrame, key: str) -> DataFrame:

@@ -147,6 +147,13 @@ def leaked_keys(spark, sf_dir) -> DataFrame:
     return found.select("doc_id", F.array_join(F.array_sort("leaked"), ",").alias("leaked"))
 
 
+def leaked_markers(spark, sf_dir) -> DataFrame:
+    """Whole documents, some with markers at their end, in their middle, or cut short."""
+    n = F.pmod("doc_id", F.lit(6))
+    raw = F.when(n == 0, F.concat("text", F.lit(' {"reference_answer": 1, "JUDGE_PROMPT": ""}'))).when(n == 1, F.replace("text", F.lit(" "), F.lit("reference_steps"))).when(n == 2, F.concat("text", F.lit("extracted_final_answe"))).otherwise(F.col("text"))
+    return leaks.leaked_markers(table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")), "raw", "doc_id")
+
+
 def backward_attribution(spark, sf_dir) -> DataFrame:
     cited = F.when(F.col("role") == "assistant", F.concat(F.lit("c"), F.col("turn").cast("string")))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", cited.alias("cited"))
@@ -183,7 +190,7 @@ def xor_roundtrip(spark, sf_dir) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     answer_normalize_match, last_marked_answer, page_text, path_segments, claim_extract, claim_citation_map, html_to_text, page_metadata,
     url_guard, source_quality, access_status, url_clean, as_of_dates, judge_text_parse, binary_score_parse, answer_leak_scan,
-    answer_in_prompt, id_parity, leaked_keys, backward_attribution, markdown_attribution, attribution_rates, xor_roundtrip,
+    answer_in_prompt, id_parity, leaked_keys, leaked_markers, backward_attribution, markdown_attribution, attribution_rates, xor_roundtrip,
 )}
 
 
@@ -286,6 +293,9 @@ WHERE length(substr(e.text, 5, 12)) >= 8 AND contains(d.text, substr(e.text, 5,
     "id_parity": """
 SELECT d.doc_id, 1::BIGINT AS in_tasks, 0::BIGINT AS in_gold, 'missing_gold' AS problem FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT doc_id, 0, 1, 'missing_task' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
+    "leaked_markers": f"""
+WITH r AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN text || ' {{"reference_answer": 1, "JUDGE_PROMPT": ""}}' WHEN 1 THEN replace(text, ' ', 'reference_steps') WHEN 2 THEN text || 'extracted_final_answe' ELSE text END AS raw FROM documents)
+SELECT doc_id, marker FROM r, (SELECT unnest({leaks.MARKERS}) AS marker) m WHERE contains(raw, marker)""",
     "leaked_keys": "SELECT doc_id, CASE toxic WHEN 0 THEN 'answer,canary' ELSE 'answer' END AS leaked FROM labels WHERE quality = 0",
     "backward_attribution": """
 WITH a AS (SELECT conv_id, turn, first_value(CASE WHEN role = 'assistant' THEN 'c' || turn END IGNORE NULLS)
