@@ -1,9 +1,11 @@
 """Operators over whole tables, held against brute force."""
 
+import functools
 import hashlib
 import math
 import numbers
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -299,13 +301,73 @@ def test_lm_scores(spark, make, monkeypatch):
     assert lm.scores(make([])).count() == 0
 
 
-def test_spot_classes(spark, make):
-    docs = near_corpus(3)
-    got = {r.doc_id: r.component_id for r in spotsigs.near_pairs(make(docs)).collect()}
+def spot_signatures(text):
+    """The signatures of a text by the module's words, one word at a time."""
+    m = (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & m
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & m
+        return x ^ x >> 31
+
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    bare = [w for w in re.split("[ \t\n\x0b\x0c\r]+", "".join(c for c in lower if not (c.isascii() and c.isprintable() and not c.isalnum() and c != " "))) if w]
+    if not bare:
+        return {xxhash.xxh64_intdigest(text.encode()) >> 32} if (text or "").strip(" \t\n\x0b\x0c\r") else set()
+    h = [xxhash.xxh64_intdigest(w.encode()) for w in bare]
+    chains = []
+    for i, w in enumerate(bare):
+        if w in spotsigs.ANCHORS:
+            after = [h[j] for j in range(i + 1, len(bare)) if bare[j] not in spotsigs.ANCHORS][:2]
+            if len(after) == 2:
+                chains.append((h[i], after))
+        if h[i] % 4 == 0 and i + 2 < len(bare):
+            chains.append((h[i] + 1 & m, h[i + 1 : i + 3]))
+    hashed = lambda start, rest, add=0: mixed((lambda x: x + add & m)(functools.reduce(lambda x, y: mixed(x) + y & m, rest, start))) >> 32
+    out = {hashed(a, rest) for a, rest in chains}
+    if len(out) < 8:
+        size = min(3, len(bare))
+        out |= {hashed(h[i], h[i + 1 : i + size], 1) for i in range(len(bare) - size + 1)}
+    return out
+
+
+SPOTS = ["", "  ", "!!!", "the", "The cat, the DOG and a mouse", "no anchors here whatsoever today", "der Hund und die Katze sind nicht im Haus", "é É the É x y", "a b c d e f g h " * 20, "the the the end of it all", "\x1c the-cat sat\x85on"]
+
+
+def test_signatures_word_by_word():
+    rng = random.Random(8)
+    some = SPOTS + [" ".join(rng.choice(["the", "and", "Der", "x1", "cat", "dog.", "(y)", "zu", f"w{rng.randrange(99)}"]) for _ in range(rng.randrange(80))) for _ in range(150)]
     with np.errstate(over="ignore"):
-        sig = {i: set(spotsigs.signatures(t.encode(), spotsigs.WordHashes()).tolist()) for i, t in docs}
+        for t in some:
+            assert set(spotsigs.signatures(t.encode(), spotsigs.WordHashes()).tolist()) == spot_signatures(t), t
+
+
+def test_spot_query_equals_brute_force(spark, table_dir):
+    """Fingerprints, edits and likenesses from signatures taken word by word."""
+    rng = random.Random(3)
+    texts = [*SPOTS, None, *(" ".join(rng.choice(["the", "and", "cat", "é", f"w{rng.randrange(30)}"]) for _ in range(rng.randrange(60))) for _ in range(60))]
+    docs = {i * 3: t for i, t in enumerate(texts)}
+    got = {r.doc_id: r for r in spotsigs.op10_spotsigs(spark, table_dir(list(docs.items()))).collect()}
+    likeness = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    order = sorted(docs, reverse=True)
+    for at, i in enumerate(order):
+        text, following = docs[i] or "", docs[order[(at + 1) % len(order)]] or ""
+        changed = text[: len(text) - len(text) // 3] + following[: len(text) // 3]
+        mine, other, after = (spot_signatures(x) for x in (text, changed, following))
+        assert (set(spotsigs.decoded(got[i].fingerprint).tolist()), set(spotsigs.decoded(got[i].edited_fingerprint).tolist())) == (mine, other)
+        assert (got[i].near_edited, got[i].near_next) == (pytest.approx(likeness(mine, other)), pytest.approx(likeness(mine, after)))
+
+
+@pytest.mark.parametrize("most", [4096, 6])
+def test_spot_classes(spark, make, monkeypatch, most):
+    """Brute force over signatures taken word by word; with chunks of a few posts, too, and rows with nulls, blanks and repeats."""
+    monkeypatch.setattr(simhash, "MOST_POSTS", most)
+    docs = near_corpus(3) + [(7000, ""), (7001, None), (7002, "  "), (7003, "near the end"), (7003, "near the end")]
+    got = {r.doc_id: r.component_id for r in spotsigs.near_pairs(make([*docs, (None, "near the end"), (None, "alone without any id")]).withColumnRenamed("lang", "component")).collect()}
+    sig = {i: spot_signatures(t) for i, t in docs}
     linked = [(a, b) for a in sig for b in sig if a < b and len(sig[a] & sig[b]) >= 0.8 * len(sig[a] | sig[b])]
-    assert got == classes(sig, linked)
+    assert got.pop(None) in (7003, None) and got == classes(sig, linked)
+    assert spotsigs.near_pairs(make([])).count() == 0
 
 
 CHAT = "conv_id long, seq long, message long, kind string, role string, text string"

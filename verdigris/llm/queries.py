@@ -9,7 +9,7 @@ from .packing import op1_packing
 from .quality import op9_quality_rules
 from .resampling import OP11_SQL, op11_importance_resampling
 from .simhash import op7_simhash
-from .spotsigs import op10_spotsigs
+from .spotsigs import op10_spotsigs, spotsigs_classes
 from .substring import op5_substring_dedup
 from .urls import OP8_SQL, op8_url_filter
 from .warc import OP4_SQL, op4_warc
@@ -28,6 +28,7 @@ QUERIES = {
     "op11_importance_resampling": op11_importance_resampling,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_minhash": op13_minhash,
+    "spotsigs_classes": spotsigs_classes,
 }
 
 ORACLES: dict[str, str] = {

@@ -20,6 +20,8 @@ component and never name one. Repeated rows have equal results. Extra columns of
 ignored. An empty table gives an empty result.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -482,18 +484,26 @@ def fitting(key: np.ndarray, n: np.ndarray, at: np.ndarray, component: np.ndarra
         yield a[good], b[good]
 
 
-def prefix_pairs(members: DataFrame, sets: DataFrame, least: tuple[int, int] = SIMILAR) -> DataFrame:
+def by_length(posts: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """posts under keys of their shingle and a partition of set lengths, each as wide as `least` allows: a set goes to its own and to the next."""
+    p, q = least
+    part = F.floor(F.log(F.col("n").cast("double")) / math.log(q / p))
+    return posts.withColumn("key", F.explode(F.array(F.xxhash64("key", part), F.xxhash64("key", part + 1))))
+
+
+def prefix_pairs(members: DataFrame, sets: DataFrame, least: tuple[int, int] = SIMILAR, parted: bool = False) -> DataFrame:
     """(u, v), u > v: every pair of members (node, component) of two components whose sets (node, shingles) can be alike; written.
 
     Two sets of similarity 0.8 share at least 4/9 of the sum of their sizes, and no more than what stands from
     their first common shingle on, in whatever order. In an order with rare shingles first, a passage or a base text that
     many members share stands last: those that have more of their own than 0.8 allows meet no one. Shingles of more than
-    MOST_POSTS sets are dealt in chunks, so no task holds one whole; sets far apart in size don't meet.
+    MOST_POSTS sets are dealt in chunks, so no task holds one whole; sets far apart in size don't meet. parted: shingles are split by set length first.
     """
     mine = materialize(sets.join(F.broadcast(members) if members.count() <= MOST_SENT else members, "node").select("node", "component", "shingles"), "members")
     posts = materialize(prefixes(mine, levels(mine), least), "prefixes")
     mixed = posts.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    shared = chunked(posts.join(mixed, "token", "left_semi").withColumnRenamed("token", "key"), MOST_POSTS)
+    keyed = posts.join(mixed, "token", "left_semi").withColumnRenamed("token", "key")
+    shared = chunked(by_length(keyed, least) if parted else keyed, MOST_POSTS)
     parts, rows_at_once = int(mine.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_POINTS
 
     def run(batches):

@@ -9,8 +9,8 @@ words if it has fewer. Equal texts have equal fingerprints.
 
 Likeness is the Jaccard similarity of the sets. Two sets can only reach a likeness t if the
 smaller has at least t times as many signatures as the larger: `alike` prunes a pair on its
-lengths before it compares the sets, and `near_pairs` partitions texts by set length so that only equal and
-neighbouring partitions meet.
+lengths before it compares the sets, and `near_pairs` (the query spotsigs_classes) partitions texts by set length so that only equal and
+neighbouring partitions meet. The contract of op10 asks for exact likenesses of stated pairs, which nothing can prune.
 
 Null text is empty; empty texts have an empty fingerprint; two empty fingerprints have likeness 1,
 an empty and another 0. Rows with a null id come before all others; rows that tie on the id are
@@ -18,7 +18,6 @@ ordered by text. An empty table gives an empty result. Extra columns are ignored
 """
 
 import base64
-import math
 
 import numpy as np
 import pandas as pd
@@ -26,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import discard, materialize
 from .common import WordHashes, bounded_batches, mix, parts_for, text_bytes
 from .components import components
+from .simhash import SET_COLUMNS, SLOTS, packed, prefix_pairs, prefixes, set_name, verified
 
 CHAIN, HASHED, FEW = 2, 4, 8
 #: Common words of English, French, German and Spanish.
@@ -154,65 +154,52 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return with_neighbours(docs, doc_id, text).mapInArrow(run, schema)
 
 
-def near_pairs(docs: DataFrame, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id) of documents whose fingerprints reach the likeness `least`, in connected classes.
+def near_pairs(docs: DataFrame, least: tuple[int, int] = (4, 5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id) of documents whose fingerprints reach the likeness `least` (a fraction), in connected classes.
 
-    Equal fingerprints meet in a group minimum. Each distinct one goes to the partition of its set
-    length and to the next, keyed by the signatures of its prefix: sets of likeness t share one of the
-    first len - ceil(t * len) + 1 signatures in any fixed order. Under a key a set is compared
-    with the members of each class found there until one links, so a group of near copies costs about
-    one comparison for each, and at most one link for each class is emitted.
+    Equal fingerprints are one point. Sets of likeness t share one of their first len - ceil(t * len) + 1 signatures in any order. A first round compares
+    each set with the first one under each of these signatures, which makes one class of most groups of near copies; a second joins the sets of different classes by
+    signature and partition of set length (simhash.prefix_pairs: rows carry no sets, hot signatures are split), pruned by length and
+    place, and compares what is left.
+
+    Null, empty and blank texts have an empty fingerprint and are alike. Rows with a null id get their class's smallest id and never name one: a class of null
+    ids alone has none. Repeated rows have equal results. Extra columns are ignored. An empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
-    step = math.log(1 / least)
 
     def sketch(batches):
         hashes = WordHashes()
         with np.errstate(over="ignore"):
             for batch in batches:
-                out = [encoded(signatures(x, hashes)) for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "fingerprint"])
-
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary"))
-    marked = materialize(base.mapInArrow(sketch, "doc_id long, fingerprint string"), "spots")
-    points = materialize(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).where("node is not null"), "spot-points")
-
-    def spread(batches):
-        for batch in batches:
-            for node, text_ in zip(batch.column("node").to_pylist(), batch.column("fingerprint").to_pylist(), strict=True):
-                x = decoded(text_)
-                if not len(x):
-                    continue
-                part = int(math.log(len(x)) / step)
-                prefix = x[: len(x) - math.ceil(least * len(x)) + 1].astype(np.int64)
-                keys = np.concatenate([prefix << 12 | part, prefix << 12 | (part + 1)])
-                table = {"key": pa.array(keys), "node": pa.array(np.full(len(keys), node)), "part": pa.array(np.full(len(keys), part, np.int32)), "fingerprint": pa.array([text_] * len(keys))}
-                yield pa.RecordBatch.from_pydict(table)
-
-    def compare(batches):
-        key, classes = None, []
-        for batch in batches:
-            links = []
-            for k, node, part, text_ in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if k != key:
-                    key, classes = k, []
-                x, home = decoded(text_), part == k & 0xFFF
-                met = []
-                for members in classes:
-                    # two sets that both only visit this partition meet in their own
-                    other = next((o for o, y, at_home in members if (home or at_home) and alike(x, y, least)), None)
-                    if other is not None:
-                        met.append(members)
-                        links.append((node, other))
-                classes = [c for c in classes if not any(c is m for m in met)]
-                classes.append([(node, x, home), *(m for members in met for m in members)])
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["u", "v"])
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread_out = points.mapInArrow(spread, "key long, node long, part int, fingerprint string")
-    links = spread_out.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(compare, "u long, v long")
-    named = points.join(components(links), "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(named, "fingerprint", "left").select("doc_id", "component_id")
+                sets = [signatures(x, hashes).astype(np.uint64) << np.uint64(32) for x in batch.column(2).to_pylist()]
+                names = np.array([set_name(x) for x in sets], np.int64).reshape(-1, 2)
+                columns = [batch.column(0), batch.column(1), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(x) for x in sets], pa.int64()), pa.array([packed(x) for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", *SET_COLUMNS, "n_shingles", "shingles"])
+
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary"))
+    marked = materialize(base.mapInArrow(sketch, "row long, doc_id long, id0 long, id1 long, n_shingles long, shingles binary"), "spots")
+    named = materialize(marked.groupBy(*SET_COLUMNS).agg(F.min("row").alias("node")), "spot-points")
+    firsts = marked.withColumnRenamed("row", "node").join(named.select("node"), "node", "left_semi")
+    points, sets = firsts.select("node", "n_shingles"), marked.select(F.col("row").alias("node"), "shingles")
+    check = lambda pairs: verified(pairs, points, sets, least, [], lambda u, v: F.lit(True))
+    alone = points.select("node", F.col("node").alias("component"))
+    posts = materialize(prefixes(firsts.select("node", "shingles").join(alone, "node"), np.zeros(SLOTS, np.uint8), least), "spot-posts")
+    lows = posts.groupBy("token").agg(F.min("node").alias("v"), F.max("node").alias("_hi")).where("v < _hi")
+    tried = materialize(posts.join(lows, "token").where("node > v").select(F.col("node").alias("u"), "v").distinct(), "spot-tried")
+    first = check(tried)
+    members = points.join(components(first), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    paired = prefix_pairs(members, sets, least, parted=True)
+    second = check(paired.join(tried, ["u", "v"], "left_anti"))
+    classes = named.join(components(first.unionByName(second)), "node", "left").select(*SET_COLUMNS, F.coalesce("component", "node").alias("component"))
+    rows = materialize(marked.select("row", "doc_id", *SET_COLUMNS).join(classes, SET_COLUMNS).select("doc_id", "component"), "spot-classes")
+    for used in (marked, named, posts, tried, first, paired, second):
+        discard(used)
+    return rows.join(rows.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "component_id")
+
+
+def spotsigs_classes(spark, sf_dir: str) -> DataFrame:
+    """Classes of all documents by fingerprints of likeness 0.8 and more."""
+    return near_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def op10_spotsigs(spark, sf_dir: str) -> DataFrame:
