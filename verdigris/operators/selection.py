@@ -30,7 +30,9 @@ def numbered(tasks: DataFrame, by: list[str]) -> DataFrame:
         total += r.n
     offsets = tasks.sparkSession.createDataFrame(before, "_range long, _before long")
     place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return ranged.join(F.broadcast(offsets), "_range").withColumn("ordinal", place).drop("_at", "_range", "_before")
+    out = ranged.join(F.broadcast(offsets), "_range").withColumn("ordinal", place).drop("_at", "_range", "_before")
+    out._verdigris_path = ranged._verdigris_path  # so that discard() takes the ranges away
+    return out
 
 
 def select_seeded(tasks: DataFrame, seed: str, limit: int | None, key: str = "task_id") -> DataFrame:

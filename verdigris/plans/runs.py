@@ -9,6 +9,8 @@ from ..operators import ledger, metrics, selection, state
 from ..sources import readers
 from ..storage import delete, materialize, setting, shared_dir
 from ..tables import table
+from . import event_log
+from .event_log import EventLog
 
 STATES = list(state.NEXT)
 SQL_STATES = "[" + ", ".join(f"'{s}'" for s in STATES) + "]"
@@ -50,6 +52,29 @@ def event_sequence(spark, sf_dir) -> DataFrame:
     return state.sequence(rows, ["user_id", "event_type"], ["ts", "event_id"]).select("event_id", "user_id", "event_type", "seq")
 
 
+def event_log_append(spark, sf_dir) -> DataFrame:
+    """Events appended in two batches by time, the second one twice, and some of the first once more in a third."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.nullif("event_type", F.lit("click")).alias("event_type"))
+    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
+    store = f"{shared_dir(spark)}/verdigris-events-{uuid.uuid4().hex[:12]}"
+    kept = EventLog(spark, store, keys=("user_id", "event_type"), order=("ts", "event_id"))
+    for batch, some in (("a", rows.where(early)), ("b", rows.where(~early)), ("b", rows.where(~early)), ("c", rows.where(early & (F.pmod("event_id", F.lit(3)) == 0)))):
+        kept.append(some, batch)
+    out = materialize(kept.read().select("event_id", "user_id", "event_type", "seq"), "events")
+    delete(spark, store)
+    return out
+
+
+def recovered_cases(spark, sf_dir) -> DataFrame:
+    """Orders as cases: the open ones were unconfirmed; priority and number say what looking for them again has found."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderstatus") == "O", "SUBMISSION_UNCONFIRMED").otherwise("DONE").alias("status"), "o_custkey")
+    n = F.pmod("o_custkey", F.lit(5))
+    results = orders.select("case_id", (n > 0).alias("found"), F.when(n == 1, "timeout").when(n == 2, "provider_error").otherwise("completed").alias("result"), F.when(n < 4, "answer").alias("answer"))
+    cases, events, _ = event_log.recovery(orders.drop("o_custkey"), results)
+    said = events.groupBy("case_id").agg(F.count(F.lit(1)).alias("events"), F.max_by("payload_json", "step").alias("last_payload"))
+    return cases.join(said, "case_id", "left").select("case_id", "status", F.coalesce("events", F.lit(0)).alias("events"), "last_payload")
+
+
 def illegal_transitions(spark, sf_dir) -> DataFrame:
     bad = state.illegal_transitions(log(spark, sf_dir).select("user_id", "ts", "event_id", "state"), ["user_id"], ["ts", "event_id"])
     return bad.select("event_id", "user_id", "from_state", "to_state")
@@ -145,7 +170,7 @@ def bootstrap_ci(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    metric_report, case_counters, event_sequence, illegal_transitions, stable_polls, latest_verdict, cache_hit, cache_miss_antijoin,
+    metric_report, case_counters, event_sequence, event_log_append, recovered_cases, illegal_transitions, stable_polls, latest_verdict, cache_hit, cache_miss_antijoin,
     coalesce_update, resume_triage, safe_reset, run_rollup, seeded_selection, broken_references, task_case_attempt, bootstrap_ci, file_positions,
 )}
 
@@ -172,6 +197,15 @@ FROM v GROUP BY metric_id""",
     "case_counters": f"""
 WITH {SQL_EVENTS}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM e) WHERE n = 1)
 SELECT event_type, count(*) AS total, count(*) FILTER (WHERE state = 'DONE') AS done, count(*) FILTER (WHERE state NOT IN ('DONE', 'READY_FOR_GRADING')) AS system_failures FROM l GROUP BY event_type""",
+    "event_log_append": """
+SELECT event_id, user_id, nullif(event_type, 'click') AS event_type,
+  row_number() OVER (PARTITION BY user_id, nullif(event_type, 'click') ORDER BY ts, event_id) - 1 AS seq FROM events""",
+    "recovered_cases": """
+WITH c AS (SELECT o_orderkey AS case_id, o_orderstatus = 'O' AS asked, o_custkey % 5 AS n FROM orders)
+SELECT case_id, CASE WHEN NOT asked THEN 'DONE' WHEN n = 0 THEN 'SUBMISSION_UNCONFIRMED' WHEN n = 1 THEN 'TIMED_OUT' WHEN n = 3 THEN 'READY_FOR_GRADING' ELSE 'COLLECTION_FAILED' END AS status,
+  CASE WHEN NOT asked OR n = 0 THEN 0 WHEN n = 3 THEN 6 ELSE 3 END AS events,
+  CASE WHEN NOT asked OR n = 0 THEN NULL WHEN n = 3 THEN '{"from":"NORMALIZED","to":"READY_FOR_GRADING","recovery":true}'
+    WHEN n = 1 THEN '{"from":"RUNNING","to":"TIMED_OUT","recovery":true}' ELSE '{"from":"RUNNING","to":"COLLECTION_FAILED","recovery":true}' END AS last_payload FROM c""",
     "event_sequence": """
 SELECT event_id, user_id, nullif(event_type, 'click') AS event_type,
   row_number() OVER (PARTITION BY user_id, nullif(event_type, 'click') ORDER BY ts, event_id) - 1 AS seq FROM events""",

@@ -58,6 +58,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder."""
+    files, where = _found(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(where)]
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Create an empty file."""
+    files, where = _found(spark, path)
+    files.create(where, True).close()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     files, where = _found(spark, path)
     files.delete(where, True)
