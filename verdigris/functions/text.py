@@ -112,6 +112,19 @@ def verifiable(x: Column) -> Column:
     return x.rlike(VERIFIABLE)
 
 
+def canonical_json(x: Column) -> Column:
+    """JSON text with the keys of every object in order, no blanks, and numbers in one spelling (1.0 is 1); null if it is no JSON, or repeats a key.
+
+    A number with an exponent is a double, and stays apart from the same number without.
+    """
+    return F.to_json(F.try_parse_json(x))
+
+
+def hash_object(x: Column) -> Column:
+    """The digest of JSON text, the same whoever wrote it and in whatever order."""
+    return sha256_text(canonical_json(x))
+
+
 def sha256_text(x: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(x, 256))
 

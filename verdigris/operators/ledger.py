@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import hash_object
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key. An aggregate, not a window: map-side maxima leave a row for each key and task to shuffle."""
@@ -33,5 +35,5 @@ def cache_split(jobs: DataFrame, done: DataFrame, key: str = "cache_key", order:
 
 
 def cache_key(*parts: Column) -> Column:
-    """A key of its own parts; other writers' keys are not compared with it."""
-    return F.sha2(F.to_json(F.struct(*parts)), 256)
+    """The digest of its parts as canonical JSON: nested values in whatever key order give one key. Null parts count as left out."""
+    return hash_object(F.to_json(F.struct(*parts)))

@@ -147,6 +147,16 @@ def leaked_keys(spark, sf_dir) -> DataFrame:
     return found.select("doc_id", F.array_join(F.array_sort("leaked"), ",").alias("leaked"))
 
 
+def canonical_hashes(spark, sf_dir) -> DataFrame:
+    """One object for each document in two spellings: keys in another order at every depth, blanks, numbers with zeros at their end."""
+    n = F.col("doc_id").cast("string")
+    inner = F.expr("substring(to_json(array(lang)), 2, length(to_json(array(lang))) - 2)")
+    one = F.concat(F.lit('{"b": {"y": [1, {"n": null, "m": '), inner, F.lit('}, "z"], "x": 1.50}, "a": '), n, F.lit("}"))
+    two = F.concat(F.lit('{"a":'), n, F.lit('.0,"b":{"x":1.5,"y":[1.0,{"m":'), inner, F.lit(',"n":null},"z"]}}'))
+    docs = table(spark, sf_dir, "documents").select("doc_id", one.alias("one"), two.alias("two"))
+    return docs.select("doc_id", t.hash_object(F.col("one")).alias("hash"), (t.hash_object(F.col("one")) == t.hash_object(F.col("two"))).alias("same"))
+
+
 def leaked_markers(spark, sf_dir) -> DataFrame:
     """Whole documents, some with markers at their end, in their middle, or cut short."""
     n = F.pmod("doc_id", F.lit(6))
@@ -190,7 +200,7 @@ def xor_roundtrip(spark, sf_dir) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     answer_normalize_match, last_marked_answer, page_text, path_segments, claim_extract, claim_citation_map, html_to_text, page_metadata,
     url_guard, source_quality, access_status, url_clean, as_of_dates, judge_text_parse, binary_score_parse, answer_leak_scan,
-    answer_in_prompt, id_parity, leaked_keys, leaked_markers, backward_attribution, markdown_attribution, attribution_rates, xor_roundtrip,
+    answer_in_prompt, id_parity, leaked_keys, leaked_markers, canonical_hashes, backward_attribution, markdown_attribution, attribution_rates, xor_roundtrip,
 )}
 
 
@@ -293,6 +303,8 @@ WHERE length(substr(e.text, 5, 12)) >= 8 AND contains(d.text, substr(e.text, 5,
     "id_parity": """
 SELECT d.doc_id, 1::BIGINT AS in_tasks, 0::BIGINT AS in_gold, 'missing_gold' AS problem FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT doc_id, 0, 1, 'missing_task' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
+    "canonical_hashes": """
+SELECT doc_id, 'sha256:' || sha256('{"a":' || doc_id || ',"b":{"x":1.5,"y":[1,{"m":"' || lang || '","n":null},"z"]}}') AS hash, true AS same FROM documents""",
     "leaked_markers": f"""
 WITH r AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN text || ' {{"reference_answer": 1, "JUDGE_PROMPT": ""}}' WHEN 1 THEN replace(text, ' ', 'reference_steps') WHEN 2 THEN text || 'extracted_final_answe' ELSE text END AS raw FROM documents)
 SELECT doc_id, marker FROM r, (SELECT unnest({leaks.MARKERS}) AS marker) m WHERE contains(raw, marker)""",
