@@ -44,9 +44,28 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._verdigris_path = path
+    for written in _scratch:
+        written.append(path)
     return out
 
 
+#: For each open scratch() the paths that materialize() has written inside it.
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete what materialize() writes inside the block when it ends, but for the tables that are put into the list it yields."""
+    written, kept = [], []
+    _scratch.append(written)
+    try:
+        yield kept
+    finally:
+        _scratch.pop()
+        for path in set(written) - {x._verdigris_path for x in kept}:
+            delete(spark, path)
+
+
 def _found(spark: SparkSession, path: str):
     """(file system, path) of Hadoop, for any store that Spark reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
