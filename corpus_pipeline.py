@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before has kept, and returns a
 DataFrame; all but the last have the columns of `documents`. run() writes each stage's result as
-Parquet in the shared folder and reads it again for the next, and deletes what no later stage reads.
+Parquet in the shared folder and reads it again for the next, and deletes what no later stage reads: only the last
+stage's table stays, for the caller.
 
 Null, empty and short texts fail the quality rules. Two rows that share an id are two documents: each stage keeps or drops them
 by their texts. Of near copies the least id stays, null ids last, and of equal ids the least hash of the row; of rows equal in
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import packing, quality, simhash, substring
-from verdigris.storage import discard, materialize
+from verdigris.storage import discard, materialize, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -56,6 +57,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(COLUMNS)
     for name, stage in STAGES:
-        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with scratch(spark) as kept:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            kept.append(docs)
         discard(before)
     return docs
