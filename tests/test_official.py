@@ -99,6 +99,7 @@ def test_lock(spark, tmp_path):
     assert manifest.lock(spark, path, "r1", {"a": ["é"], "b": 1}, ["t1", "t2"], judge_profile="p") == first == manifest.locked(spark, path)
     with pytest.raises(ValueError, match="another manifest"):
         manifest.lock(spark, path, "r1", {"b": 2}, ["t1"])
+    (tmp_path / ".run.lock.json.crc").unlink()  # a local file system's own check
     (tmp_path / "run.lock.json").write_text((tmp_path / "run.lock.json").read_text().replace("t2", "t3"))
     with pytest.raises(ValueError, match="has been changed"):
         manifest.locked(spark, path)
