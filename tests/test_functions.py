@@ -25,6 +25,7 @@ def one(spark, value, build, kind="string"):
         (text.page_text, " a  \r\n\r\n\r\n b \n", "a\n\nb"),
         (lambda x: text.path_segment(x), "豆包 task/01?", "豆包_task_01"),
         (lambda x: text.path_segment(x), "///", "task"),
+        (lambda x: text.path_segment(x), "Ｔａｓｋ ①", "Task_1"),
         (text.safe_segment, "..a/b", "a_b"),
         (text.html_text, "<p>a&amp;lt;b</p><script>x</script> c&nbsp;d", "a<b c d"),
         (text.html_title, "<title>\n A  &amp; B </title>", "A &amp; B"),

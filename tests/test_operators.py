@@ -331,3 +331,17 @@ def test_guard_reads_numeric_hosts(spark):
     }
     rows = spark.createDataFrame([(x,) for x in expected], "u string").select("u", urls.url_guard(F.col("u")).alias("e")).collect()
     assert {r.u: r.e for r in rows} == expected
+
+
+def test_judged_pairs(spark):
+    """Each text and URL is asked about once, with the page cut at 5,000 characters; broken links aren't judged."""
+    pairs = spark.createDataFrame([("a", 1, "the claim", "u1", 1), ("b", 1, "the claim", "u1", 1), ("a", 2, "another", "u1", 1), ("a", 3, "the claim", "u2", 0), ("a", 4, "silent", "u3", 1)], "key string, attribution int, text string, url string, link_works int")
+    fetched = spark.createDataFrame([("u1", "x" * 4995 + "the claim"), ("u2", "the claim"), ("u3", None)], "url string, url_content string")
+    requests = judging.pair_requests(pairs, fetched)
+    assert requests.count() == 6
+    asked = {(r.dimension, r.text, r.url): r.user for r in requests.collect()}
+    assert asked["relevant", "the claim", "u1"] == f"Attribution Text:\nthe claim\n\nURL: u1\n\nURL Content:\n{'x' * 4995}the c\n\nEvaluate whether this URL content is relevant to the attribution text."
+    judge = lambda rows: rows.withColumn("judge_text", F.when(F.col("url") == "u3", None).when(F.col("dimension") == "relevant", '{"score": 0.7}').otherwise("score = 0"))
+    got = {(r.key, r.attribution): (r.relevant, r.supported, r.supported_text) for r in judging.judged_pairs(pairs, fetched, judge).collect()}
+    assert got == {("a", 1): (1, 0, "score = 0"), ("b", 1): (1, 0, "score = 0"), ("a", 2): (1, 0, "score = 0"), ("a", 3): (None, None, None), ("a", 4): (None, None, None)}
+    assert tuple(attribution.rates(judging.judged_pairs(pairs, fetched, judge)).where("key = 'b'").first())[1:] == (1.0, 1.0, 0.0, 1)

@@ -68,8 +68,8 @@ def page_text(x: Column) -> Column:
     return js_trim(F.regexp_replace(F.regexp_replace(x, r"(?m)^[ \t]+|[ \t]+$", ""), r"\n{3,}", "\n\n"))
 
 
-def path_segment(x: Column, compose=lambda c: c) -> Column:
-    """Letters, digits and ._- in any script; up to 96 characters; `task` if nothing is left."""
+def path_segment(x: Column, compose=nfkc) -> Column:
+    """NFKC, then letters, digits and ._- in any script; up to 96 characters; `task` if nothing is left."""
     clean = F.regexp_replace(F.regexp_replace(compose(x), r"[^\p{L}\p{N}._-]+", "_"), r"^_+|_+$", "")
     return F.coalesce(F.nullif(F.substring(clean, 1, 96), F.lit("")), F.lit("task"))
 

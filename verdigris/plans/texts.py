@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cipher, urls, verdicts
 from ..functions import text as t
-from ..operators import attribution, citations, leaks
+from ..operators import attribution, citations, judging, leaks
 from ..session import importable_by_workers
 from ..tables import table
 
@@ -34,6 +34,7 @@ def page_text(spark, sf_dir) -> DataFrame:
 
 
 def path_segments(spark, sf_dir) -> DataFrame:
+    importable_by_workers(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return pages.select("page_id", t.path_segment(F.col("url")).alias("unicode_segment"), t.safe_segment(F.concat(F.lit(".."), "url")).alias("safe_segment"), t.pad_id(F.col("page_id")).alias("padded"), t.pad_id(F.col("url"), sanitize=True).alias("sanitized"))
 
@@ -186,6 +187,17 @@ def attribution_rates(spark, sf_dir) -> DataFrame:
     return attribution.rates(attribution.pairs(parsed, fetched, support=F.when(F.length("text") > 40, 1).otherwise(0)))
 
 
+def judged_attributions(spark, sf_dir) -> DataFrame:
+    """Turns as sentences with one citation each, to pages that say the same, that say something else, or can't be reached; judged for relevance and support."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null and text <> ''").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), F.col("turn").alias("attribution"), F.regexp_replace("text", r"\s+", " ").alias("text"))
+    n = F.pmod("attribution", F.lit(3))
+    url = F.concat(F.lit("https://a.example/"), F.col("key"))
+    cited = turns.select("key", "attribution", F.lit("c1").alias("citation_id"), url.alias("url"), "text", F.when(n < 2, 1).otherwise(0).alias("link_works"))
+    fetched = cited.select("url", F.when(n == 0, F.concat(F.lit("It says: "), "text")).otherwise(F.concat(F.substring("text", 1, 12), F.lit(" and no more"))).alias("url_content"))
+    found = judging.judged_pairs(cited, fetched, judging.fixture_pair_judge)
+    return found.select("key", "link_works", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("relevant", "supported")])
+
+
 def xor_roundtrip(spark, sf_dir) -> DataFrame:
     from ..session import importable_by_workers
 
@@ -200,7 +212,7 @@ def xor_roundtrip(spark, sf_dir) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     answer_normalize_match, last_marked_answer, page_text, path_segments, claim_extract, claim_citation_map, html_to_text, page_metadata,
     url_guard, source_quality, access_status, url_clean, as_of_dates, judge_text_parse, binary_score_parse, answer_leak_scan,
-    answer_in_prompt, id_parity, leaked_keys, leaked_markers, canonical_hashes, backward_attribution, markdown_attribution, attribution_rates, xor_roundtrip,
+    answer_in_prompt, id_parity, leaked_keys, leaked_markers, canonical_hashes, backward_attribution, markdown_attribution, attribution_rates, judged_attributions, xor_roundtrip,
 )}
 
 
@@ -313,6 +325,11 @@ SELECT doc_id, marker FROM r, (SELECT unnest({leaks.MARKERS}) AS marker) m WHERE
 WITH a AS (SELECT conv_id, turn, first_value(CASE WHEN role = 'assistant' THEN 'c' || turn END IGNORE NULLS)
   OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS attributed FROM conversations)
 SELECT * FROM a WHERE attributed IS NOT NULL""",
+    "judged_attributions": """
+WITH t AS (SELECT conv_id || '/' || turn AS key, turn % 3 AS n, regexp_replace(text, '\s+', ' ', 'g') AS text FROM conversations WHERE text <> ''),
+c AS (SELECT *, CASE n WHEN 0 THEN 'It says: ' || text ELSE substr(text, 1, 12) || ' and no more' END AS content FROM t)
+SELECT key, CAST(n < 2 AS INT) AS link_works, CASE WHEN n < 2 THEN CAST(contains(content, substr(text, 1, 12)) AS INT) ELSE -1 END AS relevant,
+  CASE WHEN n < 2 THEN CAST(contains(content, text) AS INT) ELSE -1 END AS supported FROM c""",
     "xor_roundtrip": """
 WITH h AS (SELECT item_id, text, hex(encode(text)) AS t, sha256('pw' || item_id) AS k FROM benchmark),
 b AS (SELECT *, list_transform(range(0, length(t) // 2), lambda i: printf('%02X', xor(('0x' || substr(t, 2 * i + 1, 2))::INT, ('0x' || substr(k, 2 * (i % 32) + 1, 2))::INT))) AS x FROM h)
