@@ -345,3 +345,47 @@ def test_judged_pairs(spark):
     got = {(r.key, r.attribution): (r.relevant, r.supported, r.supported_text) for r in judging.judged_pairs(pairs, fetched, judge).collect()}
     assert got == {("a", 1): (1, 0, "score = 0"), ("b", 1): (1, 0, "score = 0"), ("a", 2): (1, 0, "score = 0"), ("a", 3): (None, None, None), ("a", 4): (None, None, None)}
     assert tuple(attribution.rates(judging.judged_pairs(pairs, fetched, judge)).where("key = 'b'").first())[1:] == (1.0, 1.0, 0.0, 1)
+
+
+def test_results_table(spark):
+    rows = [("q1", 0, "r", "A", 1.0, "same", False, False, None, 2.0, 4.0), ("q1", 1, "s", "B", 0.0, "other", True, False, "late", 4.0, 6.0), ("q1", 2, "t", "A", 1.0, "same", False, True, None, 0.0, 2.0)]
+    names = ["question_id", "repeat", *metrics.REPEAT_COLUMNS, "cost", "seconds"]
+    kinds = ["string", "int", "string", "string", "double", "string", "boolean", "boolean", "string", "double", "double"]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    questions, gold = spark.createDataFrame([("q1", "p"), ("q2", "p")], "question_id string, prompt string"), spark.createDataFrame([("q1", "A")], "question_id string, extracted_answer string")
+    found = metrics.results_table(questions, frame, gold)
+    assert len(found.columns) == 2 + 3 * 7 + 6
+    got = {r.question_id: r for r in found.collect()}
+    assert (got["q1"].response_1, got["q1"].error_2, got["q1"].content_filter_3, got["q1"].majority_vote_answer, got["q1"].majority_vote_score, got["q1"].best_of_n, got["q1"].mean_cost, got["q1"].mean_seconds) == ("r", "late", True, "A", 1, 1.0, 2.0, 4.0)
+    assert got["q2"].response_1 is None and got["q2"].average is None
+    for n, bad in ((2, frame), (3, frame.withColumn("repeat", F.lit(None).cast("int")))):
+        with pytest.raises(Exception, match="repeat is not in 0 to"):
+            metrics.results_table(questions, bad, gold, n=n).collect()
+
+
+def test_poll_outcomes(spark):
+    polls = {
+        "stable": [("a", False), ("ab", False), ("ab", True), ("ab", False), ("abcdef", False)],  # equal for long enough, and not running any more
+        "partial": [("abc", False), ("abcd", False), ("", False), ("xyzw", False), ("x", False)],
+        "empty": [("", False), (None, False), ("", False)],
+        "broken": [("ab", False), ("", False), ("ab", False)],
+        "running": [("ab", True), ("ab", True), ("ab", None)],
+    }
+    rows = spark.createDataFrame([(k, i, a, r) for k, ps in polls.items() for i, (a, r) in enumerate(ps)], "k string, n int, answer string, running boolean")
+    got = {r.k: (r.complete, r.answer, r.polls) for r in state.poll_outcomes(rows, ["k"], ["n"], "answer", "running", 3).collect()}
+    assert got == {"stable": (True, "ab", 4), "partial": (False, "abcd", 5), "empty": (False, None, 3), "broken": (False, "ab", 3), "running": (True, "ab", 3)}
+
+
+def test_bootstrap_is_near_the_normal_interval(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = {"a": rng.normal(5, 2, 400), "b": rng.integers(0, 2, 5000).astype(float), "one": np.array([3.0])}
+    frame = spark.createDataFrame([(k, float(x)) for k, xs in values.items() for x in xs] + [("a", None), ("none", None)], "k string, v double")
+    found = {r.k: (r.mean, r.low, r.high) for r in metrics.bootstrap_mean(frame.repartition(5), "v", "k").collect()}
+    assert set(found) == set(values) and found["one"] == (3.0, 3.0, 3.0)
+    for k in "ab":
+        half = 1.96 * values[k].std() / len(values[k]) ** 0.5
+        assert found[k] == pytest.approx((values[k].mean(), values[k].mean() - half, values[k].mean() + half), abs=half / 20)
+    again = {r.k: (r.mean, r.low, r.high) for r in metrics.bootstrap_mean(frame.repartition(2), "v", "k").collect()}
+    assert all(again[k] == pytest.approx(found[k]) for k in found)  # whatever the partitions

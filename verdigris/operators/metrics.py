@@ -144,6 +144,22 @@ def wide_repeats(rows: DataFrame, question: str, repeat: str, values: list[str],
     return checked.groupBy(question).agg(*[F.max(F.when(F.col(repeat) == r, F.col(v))).alias(f"{v}_{r}") for r in range(n) for v in values])
 
 
+#: What a results table has of each repeat, and of a question's repeats together.
+REPEAT_COLUMNS = ["response", "extracted_answer", "score", "score_reason", "exceed_length", "content_filter", "error"]
+
+
+def results_table(questions: DataFrame, rows: DataFrame, gold: DataFrame, question: str = "question_id", repeat: str = "repeat", n: int | None = None) -> DataFrame:
+    """A row for each question with all its columns, REPEAT_COLUMNS of repeats 1 to n (<column>_<repeat>), and average, best of n, majority vote with its score, mean cost and mean time.
+
+    rows: question, repeat (from 0), REPEAT_COLUMNS, cost, seconds. gold: question, extracted_answer. A question without rows has nulls, one repeat more than n fails the job.
+    """
+    wide = wide_repeats(rows, question, repeat, REPEAT_COLUMNS, n)
+    renamed = wide.toDF(question, *[f"{c.rpartition('_')[0]}_{int(c.rpartition('_')[2]) + 1}" for c in wide.columns[1:]])
+    votes = vote_score(majority_vote(rows, question, "extracted_answer"), gold, question, "extracted_answer")
+    votes = votes.select(question, F.col("majority").alias("majority_vote_answer"), F.col("score").alias("majority_vote_score"))
+    return questions.join(renamed, question, "left").join(repeats(rows, question), question, "left").join(votes, question, "left")
+
+
 def poisson_table() -> np.ndarray:
     """Poisson(1) counts by 16 uniform bits."""
     chances = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])

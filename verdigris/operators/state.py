@@ -109,6 +109,21 @@ def stable_polls(polls: DataFrame, keys: list[str], order: list[str], value: str
     return island.withColumn("stable", F.row_number().over(run).cast("long")).withColumn("complete", F.col("stable") >= needed).drop("_changed", "_island")
 
 
+def poll_outcomes(polls: DataFrame, keys: list[str], order: list[str], answer: str, running: str, needed: int) -> DataFrame:
+    """(keys, complete, answer, polls): of each group the answer of the first poll at which it was not empty, not running, and the same `needed` times in a row; without such a poll the
+    longest answer so far (of equally long ones the first), which is partial, or null if all were empty. An empty or null answer starts the count anew. polls: how many were looked at.
+    """
+    text = F.coalesce(answer, F.lit(""))
+    marked = stable_polls(polls.withColumn("_answer", text), keys, order, "_answer", needed).withColumn("_at", F.struct(*order))
+    done = marked.where((F.col("_answer") != "") & ~F.coalesce(F.col(running), F.lit(False)) & F.col("complete")).groupBy(*keys).agg(F.min(F.struct("_at", "_answer")).alias("_done"))
+    here = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    joined = marked.alias("a").join(done.alias("b"), here, "left").select(*[F.col(f"a.{k}").alias(k) for k in keys], "a._at", "a._answer", "b._done")
+    seen = joined.where(F.col("_done").isNull() | (F.col("_at") <= F.col("_done._at")))
+    first = F.min(F.when(F.col("_answer") != "", F.struct((-F.length("_answer")).alias("short"), "_at", "_answer")))
+    whole = seen.groupBy(*keys).agg(F.first("_done").alias("_done"), first.alias("_best"), F.count(F.lit(1)).alias("polls"))
+    return whole.select(*keys, F.col("_done").isNotNull().alias("complete"), F.coalesce(F.col("_done._answer"), F.col("_best._answer")).alias("answer"), "polls")
+
+
 def run_status(cases: DataFrame, key: str = "run_id") -> DataFrame:
     ready = F.bool_and(F.col("status") == "READY_FOR_GRADING")
     return cases.groupBy(key).agg(F.when(ready, "READY_FOR_GRADING").otherwise("INCOMPLETE").alias("run_status"))

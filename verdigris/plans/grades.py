@@ -107,6 +107,20 @@ def wide_repeat_pivot(spark, sf_dir) -> DataFrame:
     return metrics.wide_repeats(rows, "question_id", "repeat", ["answer", "score"], 7)
 
 
+def results_table(spark, sf_dir) -> DataFrame:
+    """Orders as questions, their lines as repeats."""
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.select(
+        F.col("l_orderkey").alias("question_id"), (F.col("l_linenumber") - 1).alias("repeat"), F.concat_ws("-", F.col("l_partkey").cast("string"), "l_returnflag").alias("response"), F.col("l_returnflag").alias("extracted_answer"),
+        F.col("l_discount").alias("score"), F.concat(F.lit("tax "), F.col("l_tax").cast("string")).alias("score_reason"), (F.col("l_quantity") > 40).cast("string").alias("exceed_length"), (F.col("l_quantity") < 3).cast("string").alias("content_filter"),
+        F.when(F.col("l_discount") == 0, "empty").alias("error"), F.col("l_tax").alias("cost"), F.col("l_quantity").alias("seconds"),
+    )
+    questions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"), F.col("o_orderstatus").alias("answer"))
+    gold = questions.select("question_id", F.when(F.col("answer") == "O", "N").otherwise(F.col("answer")).alias("extracted_answer"))
+    found = metrics.results_table(questions, rows, gold, n=7)
+    return found.withColumn("average", F.round("average", 6)).na.fill(-1, ["average", "best_of_n", "mean_cost", "mean_seconds", "majority_vote_score", *[f"score_{r}" for r in range(1, 8)]])
+
+
 def api_cost(spark, sf_dir) -> DataFrame:
     prices = spark.createDataFrame([("A", 0.5, 1.5), ("N", 2.0, 8.0), ("R", 1.0, 4.0)], "model string, rate_in double, rate_out double")
     calls = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("model"), (F.col("l_quantity") * 1000).alias("tokens_in"), F.floor("l_extendedprice").alias("tokens_out"))
@@ -134,7 +148,7 @@ def dataset_counts(spark, sf_dir) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     task_gold_join, public_request, normalize_results, short_fact_grades, long_form_scores, nonempty_score, accuracy_by_source,
-    citation_overlay_metrics, judge_kappa, calibration_error, best_of_n, majority_vote, wide_repeat_pivot, api_cost, top_model,
+    citation_overlay_metrics, judge_kappa, calibration_error, best_of_n, majority_vote, wide_repeat_pivot, results_table, api_cost, top_model,
     temporal_validity, dataset_counts,
 )}
 
@@ -202,6 +216,15 @@ SELECT question_id, votes, majority FROM (SELECT *, row_number() OVER (PARTITION
     "wide_repeat_pivot": "SELECT l_orderkey AS question_id, "
     + ", ".join(f"max(CASE WHEN l_linenumber = {r + 1} THEN {c} END) AS {v}_{r}" for r in range(7) for v, c in (("answer", "l_returnflag"), ("score", "l_discount")))
     + " FROM lineitem GROUP BY 1",
+    "results_table": "WITH c AS (SELECT l_orderkey AS k, l_returnflag AS a, count(*) AS n FROM lineitem GROUP BY 1, 2), v AS (SELECT k, arg_min(a, struct_pack(x := -n, y := a)) AS a FROM c GROUP BY k), "
+    + "w AS (SELECT l_orderkey AS question_id, round(avg(l_discount), 6) AS average, max(l_discount) AS best_of_n, round(avg(l_tax), 6) AS mean_cost, round(avg(l_quantity), 3) AS mean_seconds, "
+    + ", ".join(f"max(CASE WHEN l_linenumber = {r} THEN {x} END) AS {c}_{r}" for r in range(1, 8) for c, x in (
+        ("response", "l_partkey || '-' || l_returnflag"), ("extracted_answer", "l_returnflag"), ("score", "l_discount"), ("score_reason", "'tax ' || l_tax"), ("exceed_length", "CAST(l_quantity > 40 AS VARCHAR)"),
+        ("content_filter", "CAST(l_quantity < 3 AS VARCHAR)"), ("error", "CASE WHEN l_discount = 0 THEN 'empty' END")))
+    + " FROM lineitem GROUP BY 1) SELECT o_orderkey AS question_id, o_orderstatus AS answer, w.* EXCLUDE (question_id) REPLACE (coalesce(average, -1) AS average, coalesce(best_of_n, -1) AS best_of_n, coalesce(mean_cost, -1) AS mean_cost, coalesce(mean_seconds, -1) AS mean_seconds, "
+    + ", ".join(f"coalesce(score_{r}, -1) AS score_{r}" for r in range(1, 8))
+    + "), v.a AS majority_vote_answer, CASE WHEN v.a IS NULL THEN -1 ELSE CAST(coalesce(v.a = CASE WHEN o_orderstatus = 'O' THEN 'N' ELSE o_orderstatus END, false) AS INT) END AS majority_vote_score"
+    + " FROM orders LEFT JOIN w ON o_orderkey = question_id LEFT JOIN (SELECT k, a FROM v) v ON o_orderkey = v.k",
     "api_cost": """
 SELECT l_orderkey, l_linenumber, round((l_quantity * 1000 * i * 7.123457::DOUBLE + floor(l_extendedprice) * o * 7.123457::DOUBLE) / 1e6, 6) AS cost
 FROM lineitem JOIN (VALUES ('A', 0.5::DOUBLE, 1.5::DOUBLE), ('N', 2.0, 8.0), ('R', 1.0, 4.0)) p(m, i, o) ON l_returnflag = m""",

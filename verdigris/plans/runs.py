@@ -85,6 +85,12 @@ def stable_polls(spark, sf_dir) -> DataFrame:
     return state.stable_polls(polls, ["user_id"], ["ts", "event_id"], "answer", 3).select("event_id", "stable", "complete")
 
 
+def poll_outcomes(spark, sf_dir) -> DataFrame:
+    """Events as polls: the answer has 0 to 3 characters, every fifth poll is still running."""
+    polls = log(spark, sf_dir).select("user_id", "ts", "event_id", F.substring(F.lit("xyz"), 1, F.pmod("k", F.lit(4)).cast("int")).alias("answer"), (F.pmod("event_id", F.lit(5)) == 0).alias("running"))
+    return state.poll_outcomes(polls, ["user_id"], ["ts", "event_id"], "answer", "running", 2)
+
+
 def latest_verdict(spark, sf_dir) -> DataFrame:
     verdicts = log(spark, sf_dir).select(F.col("k").alias("cache_key"), "ts", "event_id", "value")
     return ledger.latest(verdicts, ["cache_key"], ["ts", "event_id"]).select("cache_key", "event_id", "value")
@@ -170,7 +176,7 @@ def bootstrap_ci(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    metric_report, case_counters, event_sequence, event_log_append, recovered_cases, illegal_transitions, stable_polls, latest_verdict, cache_hit, cache_miss_antijoin,
+    metric_report, case_counters, event_sequence, event_log_append, recovered_cases, illegal_transitions, stable_polls, poll_outcomes, latest_verdict, cache_hit, cache_miss_antijoin,
     coalesce_update, resume_triage, safe_reset, run_rollup, seeded_selection, broken_references, task_case_attempt, bootstrap_ci, file_positions,
 )}
 
@@ -212,6 +218,12 @@ SELECT event_id, user_id, nullif(event_type, 'click') AS event_type,
     "illegal_transitions": f"""
 WITH {SQL_EVENTS}, s AS (SELECT event_id, user_id, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state, state AS to_state FROM e)
 SELECT * FROM s WHERE from_state IS NOT NULL AND (from_state, to_state) NOT IN (VALUES {_edges})""",
+    "poll_outcomes": f"""
+WITH {SQL_EVENTS}, a AS (SELECT event_id, user_id, ts, substr('xyz', 1, k % 4) AS answer, event_id % 5 = 0 AS running, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e),
+b AS (SELECT *, lag(answer) OVER (PARTITION BY user_id ORDER BY n) AS before FROM a),
+d AS (SELECT user_id, min(n) AS n FROM b WHERE answer <> '' AND NOT running AND answer = before GROUP BY user_id),
+s AS (SELECT b.*, d.n AS done FROM b LEFT JOIN d ON b.user_id = d.user_id WHERE d.n IS NULL OR b.n <= d.n)
+SELECT user_id, bool_or(done IS NOT NULL) AS complete, coalesce(max(CASE WHEN n = done THEN answer END), arg_min(answer, struct_pack(x := -length(answer), y := n)) FILTER (answer <> '')) AS answer, count(*) AS polls FROM s GROUP BY user_id""",
     "stable_polls": f"""
 WITH {SQL_EVENTS}, a AS (SELECT event_id, user_id, ts, k % 2 AS answer FROM e),
 b AS (SELECT *, CASE WHEN answer = lag(answer) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS c FROM a),

@@ -326,7 +326,7 @@ WITH a AS (SELECT conv_id, turn, first_value(CASE WHEN role = 'assistant' THEN '
   OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS attributed FROM conversations)
 SELECT * FROM a WHERE attributed IS NOT NULL""",
     "judged_attributions": """
-WITH t AS (SELECT conv_id || '/' || turn AS key, turn % 3 AS n, regexp_replace(text, '\s+', ' ', 'g') AS text FROM conversations WHERE text <> ''),
+WITH t AS (SELECT conv_id || '/' || turn AS key, turn % 3 AS n, regexp_replace(text, '\\s+', ' ', 'g') AS text FROM conversations WHERE text <> ''),
 c AS (SELECT *, CASE n WHEN 0 THEN 'It says: ' || text ELSE substr(text, 1, 12) || ' and no more' END AS content FROM t)
 SELECT key, CAST(n < 2 AS INT) AS link_works, CASE WHEN n < 2 THEN CAST(contains(content, substr(text, 1, 12)) AS INT) ELSE -1 END AS relevant,
   CASE WHEN n < 2 THEN CAST(contains(content, text) AS INT) ELSE -1 END AS supported FROM c""",
