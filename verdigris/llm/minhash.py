@@ -39,7 +39,7 @@ from .simhash import MOST_POINTS, SET_COLUMNS, STEP, packed, prefix_pairs, set_n
 
 #: The similarity of linked documents, as a fraction, and the words of a shingle.
 LEAST, SHINGLE = (17, 20), 3
-MINIMA, TREES, LEVELS, SMALL = 128, 12, 6, 48
+MINIMA, TREES, LEVELS, SMALL = 128, 12, 4, 48
 #: Of MINIMA coordinates, how many may differ in their two bits: six standard deviations over the mean at 0.85.
 OUT = 36
 SKETCH_COLUMNS = [f"b{i}" for i in range(MINIMA // 32)]
