@@ -4,6 +4,7 @@ import functools
 import hashlib
 import math
 import numbers
+import os
 import random
 import re
 from collections import Counter
@@ -16,7 +17,7 @@ import xxhash
 
 import corpus_pipeline
 from verdigris.llm import chat, common, components, lm, queries, simhash, spotsigs, substring, urls, warc
-from verdigris.storage import materialize
+from verdigris.storage import materialize, shared_dir
 from verdigris.tables import NAMES
 
 
@@ -462,7 +463,10 @@ def test_pipeline(spark, table_dir):
     texts = {r.doc_id: r.text for r in kept[2].collect()}
     assert passage in texts[23] and passage not in texts[24] and texts[3] == clean[3]
     assert {r.doc_id for r in kept[3].collect()} == set(texts)
-    assert corpus_pipeline.run(spark, sf_dir).count() == kept[3].count()
+    there = set(os.listdir(shared_dir(spark)))
+    result = corpus_pipeline.run(spark, sf_dir)
+    assert result.count() == kept[3].count()
+    assert set(os.listdir(shared_dir(spark))) - there == {os.path.basename(result._verdigris_path)}  # nothing else is left behind
 
 
 def test_pipeline_edges(spark, table_dir, edges):

@@ -207,6 +207,7 @@ def test_chosen_path_join_equals_brute_force(spark, make, seed):
 def test_large_nodes_branch(spark, make, monkeypatch):
     """With nodes of 3 points at most everything shared goes down the levels, and what is left on the last one to the prefix join."""
     monkeypatch.setattr(minhash, "SMALL", 3)
+    monkeypatch.setattr(minhash, "MOST_WALKERS", 30)
     rng = random.Random(7)
     base = text(rng, 120)
     docs = list(enumerate([" ".join(edited(rng, base, rng.randrange(2, 9))) for _ in range(60)])) + [(i + 60, t) for i, t in near_groups(8)]

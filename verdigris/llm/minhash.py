@@ -35,13 +35,15 @@ from pyspark.sql import types as T
 from ..storage import discard, materialize
 from .common import ROLL, WordHashes, bounded_batches, mix, rolling
 from .components import components
-from .simhash import MOST_POINTS, SET_COLUMNS, STEP, packed, prefix_pairs, set_name, verified, whole_keys
+from .simhash import MOST_POINTS, SET_COLUMNS, STEP, packed, prefix_pairs, set_name, unpacked, verified, whole_keys
 
 #: The similarity of linked documents, as a fraction, and the words of a shingle.
 LEAST, SHINGLE = (17, 20), 3
 MINIMA, TREES, LEVELS, SMALL = 128, 12, 4, 48
 #: Of MINIMA coordinates, how many may differ in their two bits: six standard deviations over the mean at 0.85.
 OUT = 36
+#: Points with their nodes that are broadcast at most (about 200 bytes each); more are joined by a shuffle.
+MOST_WALKERS = 1 << 17
 SKETCH_COLUMNS = [f"b{i}" for i in range(MINIMA // 32)]
 EVEN = 0x5555555555555555
 ROOTS = mix(np.arange(1, TREES + 1, dtype=np.uint64) * STEP)
@@ -54,7 +56,7 @@ def shingles(data: bytes | None, hashes: WordHashes, n: int = SHINGLE) -> np.nda
 
 
 def minima(x: np.ndarray) -> np.ndarray:
-    """MINIMA min-hashes of a set, of 32 bits each."""
+    """MINIMA min-hashes, of 32 bits each, of a set as it is written (unpacked())."""
     ways, x = mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * ROLL)[:, None], mix(x)
     parts = [((x[i : i + 2048] ^ ways) * (ways | np.uint64(1))).min(1) for i in range(0, len(x), 2048)]
     return (mix(np.min(parts, axis=0)) >> np.uint64(32)).astype(np.uint32)
@@ -93,42 +95,43 @@ def branches(nodes: np.ndarray, least: np.ndarray, similarity: tuple[int, int] =
 
 
 def set_points(docs: DataFrame, doc_id: str, text: str, n: int = SHINGLE) -> DataFrame:
-    """(row, doc_id, n_shingles, id0, id1, sketch, keys: the nodes of the first level, minima, shingles) of each row of docs."""
+    """(row, doc_id, n_shingles, id0, id1, sketch, keys: the nodes of the first level, shingles) of each row of docs."""
     longs = ["row", "doc_id", "n_shingles", *SET_COLUMNS, *SKETCH_COLUMNS]
-    schema = T.StructType([*[T.StructField(c, T.LongType()) for c in longs], T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("minima", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
+    schema = T.StructType([*[T.StructField(c, T.LongType()) for c in longs], T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())])
 
     def run(batches):
         hashes = WordHashes()
         with np.errstate(over="ignore"):
             for batch in batches:
-                rows, keys, least, sets = [], [], [], []
+                rows, keys, sets = [], [], []
                 for x in batch.column(2):
                     s = shingles(x.as_py(), hashes, n)
-                    m = minima(s) if len(s) else np.zeros(MINIMA, np.uint32)
+                    sets.append(packed(s))
+                    m = minima(unpacked(sets[-1])) if len(s) else np.zeros(MINIMA, np.uint32)
                     rows.append((len(s), *set_name(s), *sketched(m)))
                     keys.append(branches(ROOTS, np.broadcast_to(m, (TREES, MINIMA)))[1].view(np.int64) if len(s) else [])
-                    least.append(m.astype("<u4").tobytes())
-                    sets.append(packed(s))
                 columns = list(zip(*rows, strict=True)) or [()] * (len(longs) - 2)
-                arrays = [batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns], pa.array(keys, pa.list_(pa.int64())), pa.array(least, pa.binary()), pa.array(sets, pa.binary())]
+                arrays = [batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns], pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
-def children(large: DataFrame, minima_of: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """(key, node, component) one level below, from rows (key, node, component) and (node, minima)."""
+def children(large: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(key, node, component) one level below, from rows (key, node, component) and the sets (node, shingles), whose min-hashes are taken anew."""
 
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                if batch.num_rows:
-                    least = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u4").reshape(-1, MINIMA)
-                    at, key = branches(batch.column(0).to_numpy().view(np.uint64), least, similarity)
-                    at = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(1).take(at), batch.column(2).take(at)], names=["key", "node", "component"])
-
-    joined = large.select("key", "node", "component").join(minima_of, "node").select("key", "node", "component", "minima")
+                found = []
+                for node, component, keys, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    below = branches(np.array(keys, np.int64).view(np.uint64), np.broadcast_to(minima(unpacked(data)), (len(keys), MINIMA)), similarity)[1].view(np.int64)
+                    found.append(np.stack([below, np.full(len(below), node), np.full(len(below), component)]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], names=["key", "node", "component"])
+
+    one = large.groupBy("node", "component").agg(F.collect_list("key").alias("keys"))  # a few keys for each tree
+    joined = sets.join(F.broadcast(one) if one.count() <= MOST_WALKERS else one, "node").select("node", "component", "keys", "shingles")
     return joined.mapInArrow(run, "key long, node long, component long")
 
 
@@ -165,7 +168,7 @@ def similar_sets(marked: DataFrame, similarity: tuple[int, int] = LEAST) -> Data
     named = materialize(some.groupBy(*SET_COLUMNS).agg(F.min("row").alias("node")), "sets")
     first_of = some.join(named.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
     points = materialize(first_of.select("node", "n_shingles", *SKETCH_COLUMNS, "keys"), "set-points")
-    sets, minima_of = (some.select(F.col("row").alias("node"), c) for c in ("shingles", "minima"))
+    sets = some.select(F.col("row").alias("node"), "shingles")
     check = lambda pairs: verified(pairs, points, sets, similarity, SKETCH_COLUMNS, near_sketches)
 
     dealt = points.select("node", F.explode("keys").alias("key"))
@@ -190,7 +193,7 @@ def similar_sets(marked: DataFrame, similarity: tuple[int, int] = LEAST) -> Data
             rest = prefix_pairs(many.select("node", "component").distinct(), sets, similarity)
             used.append(rest)
             break
-        level = children(many, minima_of, similarity)
+        level = children(many, sets, similarity)
     brought = [x for x in used if x.columns == ["u", "v"]]
     every = brought[0]
     for x in brought[1:]:
