@@ -51,7 +51,7 @@ ROOT = -1
 #: Bytes of a word beyond which it is encoded alone.
 LONG = 48
 #: Bytes of memory that the known chunks of one Python worker may take.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 96 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -354,10 +354,11 @@ class Chunks(dict):
         self.size += len(packed) + sum(map(len, plain)) + self.ENTRY * len(plain)
 
     def of(self, texts: list[bytes | None]) -> list[bytes]:
-        """Packed ids of each text."""
-        split = [(x or b"").split() for x in texts]
-        here = set().union(*split)
-        new = list(here.difference(self))
+        """Packed ids of each text. Chunks are numbered for all texts together, and looked up once each; the ids follow by number."""
+        split = pc.ascii_split_whitespace(pa.array([x or b"" for x in texts], pa.binary()).view(pa.string()))
+        numbered = split.values.dictionary_encode()
+        here, which = numbered.dictionary.view(pa.binary()).to_pylist(), numbered.indices.to_numpy()
+        new = [x for x in here if x not in self and x]
         if new:
             if self.size > self.most:
                 again = [(x, self[x]) for x in here if x in self]
@@ -366,7 +367,13 @@ class Chunks(dict):
                 for chunk, ids in again:
                     self.put(chunk, ids)
             self.learn(new)
-        return [b"".join(map(self.__getitem__, x)) for x in split]
+        packed = [self[x] if x else b"" for x in here]  # white space at an end leaves an empty chunk there
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        counts, starts = sizes[which], (np.cumsum(sizes) - sizes)[which]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = np.frombuffer(b"".join(packed), "<u4")[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], counts)].tobytes()
+        edges = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
