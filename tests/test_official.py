@@ -30,7 +30,7 @@ while len(head := sys.stdin.buffer.read(4)) == 4:
         sys.exit(3)
     if asked["response"] == "hang":
         time.sleep(60)
-    verdict = {"schema_version": "verdigris.deepresearch_official_verdict.v1", "upstream_commit": asked["required_upstream_commit"], "quality_score": 7.5, "quality_dimensions": {"depth": 8},
+    verdict = {"schema_version": "verdigris.official_report_verdict.v1", "upstream_commit": asked["required_upstream_commit"], "quality_score": 7.5, "quality_dimensions": {"depth": 8},
                "fact_ratio": None if asked["response"] == "no facts" else 0.5, "right_count": 1, "wrong_count": 1, "unknown_count": 0, "raw": {}}
     if asked["response"] == "odd":
         verdict["quality_score"] = 11

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..session import importable_by_workers
 from .records import RECORDS, with_faults
 
-VERDICT = RECORDS["deepresearch_official_verdict"]
+VERDICT = RECORDS["official_report_verdict"]
 STDERR_LINES = 20
 
 

@@ -372,8 +372,8 @@ RECORDS: dict[str, Record] = {
         "schema_version": version("long_form_judge_verdict"), **dict.fromkeys(("coverage", "insight", "instruction_following", "clarity"), SHARE),
         "factual_claims": ListOf(Record({"claim": NAME, "verdict": one_of("supported", "unsupported", "uncertain"), "rationale": NAME})), "confidence": SHARE, "rationale": NAME,
     }),
-    "deepresearch_official_verdict": Record({
-        "schema_version": version("deepresearch_official_verdict"), "upstream_commit": Text(7), "quality_score": Number(0, 10), "quality_dimensions": MapOf(Number(0, 10)), "fact_ratio": Number(0, 1, nullable=True),
+    "official_report_verdict": Record({
+        "schema_version": version("official_report_verdict"), "upstream_commit": Text(7), "quality_score": Number(0, 10), "quality_dimensions": MapOf(Number(0, 10)), "fact_ratio": Number(0, 1, nullable=True),
         **dict.fromkeys(("right_count", "wrong_count", "unknown_count"), COUNT), "raw": MapOf(),
     }),
     "judge_job": Record({
