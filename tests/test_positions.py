@@ -36,6 +36,29 @@ def test_numbers_over_splits(spark, tmp_path):
         assert found(spark, tmp_path) == expected(files)
 
 
+def test_small_splits_share_tasks(spark, tmp_path):
+    files = {f"{i:03d}.txt": "".join(f"line {j} of file {i}\n" + "\n" * (j % 2) for j in range(9)) for i in range(120)}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    context, group = spark.sparkContext, f"small-splits-{tmp_path.name}"
+    with setting(spark, **CUT):
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 300
+        context.setJobGroup(group, group)
+        try:
+            rows = positions.numbered_lines(spark, str(tmp_path)).collect()
+        finally:
+            context._jsc.clearJobGroup()
+    assert sorted((r.ordinal, r.file.rsplit("/", 1)[1], r.line_no, r.line) for r in rows) == expected(files)
+    status = context.statusTracker()
+    stages = {k for job in status.getJobIdsForGroup(group) for k in status.getJobInfo(job).stageIds}
+    sizes = [info.numTasks for k in stages if (info := status.getStageInfo(k))]
+    assert sizes and max(sizes) <= max(120, 2 * context.defaultParallelism)  # a listing of files has a task for each
+
+
+def test_sizes_of_settings():
+    assert [positions._bytes(x) for x in ("64", "1k", "2KB", "128MB", "134217728b", " 3g ")] == [64, 1024, 2048, 128 << 20, 128 << 20, 3 << 30]
+
+
 def task(i, **more):
     base = {"task_id": f"t{i}", "benchmark_id": "b", "split": "s", "input": {"prompt": "p"}, "constraints": {"timeout_seconds": 9}}
     return json.dumps({**base, **more})

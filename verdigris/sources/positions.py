@@ -2,14 +2,34 @@
 
 Spark reads a large file in splits, and no split knows how many lines come before it. So lines are counted by split (one small row
 each), the counts are added up in the order of the splits, and a line's number is its place in its split and the lines before.
-Nothing but the counts is shuffled, and a line never leaves its task for its number.
+Nothing but the counts is shuffled, and a line never leaves its task for its number. Small splits share a task, one after another, since
+each task sends the driver a few KB, however little it reads.
 """
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SPLIT = ["file", "_start", "_length"]
+#: MB of splits that share a task, and how many of them at most: each costs an opened file.
+TASK_MB, TASK_SPLITS = 32, 256
+
+
+def _bytes(size: str) -> int:
+    """Bytes of a size as settings have it: 64, 1k, 128MB, 134217728b."""
+    number, unit = re.fullmatch(r"(\d+)([bkmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) << 10 * "bkmgtp".index(unit)
+
+
+def _few_tasks(lines: DataFrame) -> DataFrame:
+    """lines in fewer tasks where the splits are small, each split whole in one of them; no fewer tasks than the cluster runs at once."""
+    spark = lines.sparkSession
+    splits = lines.rdd.getNumPartitions()
+    together = min(TASK_SPLITS, (TASK_MB << 20) // max(1, _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-splits // max(1, together)))
+    return lines.coalesce(tasks) if tasks < splits else lines
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -19,7 +39,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     between the two may cut them otherwise), the job fails rather than give wrong numbers.
     """
     meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.col("_metadata.file_block_length").alias("_length")]
-    lines = spark.read.text(path).select(F.col("value").alias("line"), *meta, F.monotonically_increasing_id().alias("_at"))
+    lines = _few_tasks(spark.read.text(path).select(F.col("value").alias("line"), *meta)).withColumn("_at", F.monotonically_increasing_id())
     filled = lines.where(F.trim("line") != "").withColumn("_row", F.monotonically_increasing_id())
     some = filled.groupBy(*SPLIT).agg(F.count(F.lit(1)).alias("_rows"), F.min("_row").alias("_first_row"))
     counts = lines.groupBy(*SPLIT).agg(F.count(F.lit(1)).alias("_lines"), F.min("_at").alias("_first_at")).join(some, SPLIT, "left").na.fill(0, ["_rows"])
