@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from verdigris import catalogue
+from verdigris.storage import setting
 from verdigris.tables import NAMES
 
 
@@ -45,3 +46,10 @@ def test_runs(spark, sf, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_no_rows_are_dealt_by_the_keys_of_a_fixed_list(spark, sf):
+    with setting(spark, spark__sql__autoBroadcastJoinThreshold="-1"):  # as for large tables: only what is marked is broadcast
+        plans = {name: catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString() for name in ("api_cost", "attribution_rates")}
+    assert "BroadcastHashJoin" in plans["api_cost"] and "hashpartitioning" not in plans["api_cost"]
+    assert "BroadcastHashJoin" in plans["attribution_rates"] and "hashpartitioning(url" not in plans["attribution_rates"]

@@ -184,7 +184,7 @@ def markdown_attribution(spark, sf_dir) -> DataFrame:
 def attribution_rates(spark, sf_dir) -> DataFrame:
     parsed = attribution.attributions(_reports(spark, sf_dir), "report", "markdown")
     fetched = spark.createDataFrame([("https://a.example/x", 1), ("https://b.example/y", 0)], "url string, link_works int")
-    return attribution.rates(attribution.pairs(parsed, fetched, support=F.when(F.length("text") > 40, 1).otherwise(0)))
+    return attribution.rates(attribution.pairs(parsed, F.broadcast(fetched), support=F.when(F.length("text") > 40, 1).otherwise(0)))
 
 
 def judged_attributions(spark, sf_dir) -> DataFrame:
