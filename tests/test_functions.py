@@ -3,10 +3,14 @@
 import base64
 import hashlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from verdigris import catalogue
 from verdigris.functions import cipher, text, urls, verdicts
+from verdigris.session import ARROW_BYTES
+from verdigris.storage import setting
 
 
 def one(spark, value, build, kind="string"):
@@ -96,3 +100,15 @@ def test_ciphers(spark):
     cell = base64.b64encode(bytes(a ^ key[i % 32] for i, a in enumerate("héllo".encode()))).decode()
     frame = spark.createDataFrame([(cell, "pw"), (None, "pw"), ("not base64!", "pw")], "c string, p string")
     assert [r.y for r in frame.select(cipher.decrypt_cell(F.col("c"), F.col("p")).alias("y")).collect()][:2] == ["héllo", None]
+
+
+@pytest.mark.parametrize("name", ["answer_normalize_match", "path_segments", "page_states", "short_fact_grades"])
+def test_texts_reach_python_in_small_batches(spark, sf, name):
+    @F.pandas_udf("long")
+    def together(x):
+        return pd.Series([int(x.str.len().sum())] * len(x))
+
+    with setting(spark, spark__sql__execution__arrow__maxBytesPerBatch="1g"):
+        catalogue.QUERIES[name](spark, sf)
+        long = spark.range(0, 300, 1, 1).select(F.repeat(F.concat(F.lit("x"), F.col("id").cast("string")), F.lit(20_000)).alias("x"))
+        assert long.select(together("x").alias("n")).agg(F.max("n")).first()[0] < 2 * ARROW_BYTES

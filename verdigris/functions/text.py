@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import importable_by_workers
+from ..session import bounded_batches
 from .urls import let
 
 #: White space as ECMAScript's \s has it, written so that Java's and RE2's patterns agree.
@@ -36,7 +36,7 @@ def _nfkc(x: pd.Series) -> pd.Series:
 def nfkc(x: Column, spark=None) -> Column:
     """Compatibility composition; pass the session where the workers may not have this package on their path."""
     if spark is not None:
-        importable_by_workers(spark)
+        bounded_batches(spark)
     return _nfkc(x)
 
 
@@ -45,7 +45,7 @@ def js_trim(x: Column) -> Column:
 
 
 def normalize_answer(x: Column, compose=nfkc) -> Column:
-    """NFKC, no white space, one closing mark dropped, lower case. Workers need this package (session.importable_by_workers)."""
+    """NFKC, no white space, one closing mark dropped, lower case. Workers need this package (session.bounded_batches)."""
     bare = F.translate(compose(x), BLANKS, "")
     return let(bare, lambda b: F.lower(F.when(F.right(b, F.lit(1)).isin(CLOSING), F.substring(b, 1, F.length(b) - 1)).otherwise(b)))
 

@@ -2,15 +2,13 @@
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import importable_by_workers
+from ..session import ARROW_BYTES, bounded_batches  # noqa: F401
 
 #: What separates words, as a class for Java and DuckDB patterns; bytes.split() uses the same six bytes.
 NON_WORD = r"[\x20\x09-\x0D]+"
-#: Rows reach Python in Arrow batches of about this size, however long the texts are.
-ARROW_BYTES = 4 << 20
 #: MB of text that one task should see where an operator chooses the number of its partitions.
 TASK_MB = 24
 #: Partitions of one shuffle at most: the driver keeps a record of each. From about 400 GB on, tasks take more than TASK_MB,
@@ -18,12 +16,6 @@ TASK_MB = 24
 MOST_PARTS = 1 << 14
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Limit Arrow batches by bytes for the session: a batch of long texts must not grow with their length."""
-    importable_by_workers(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-
-
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """Bytes of all texts, by one native aggregate."""
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import importable_by_workers
+from ..session import bounded_batches
 
 #: Citation markup, in the order of precedence.
 REFERENCE = r"^\[([^\]]+)\]:\s*(<[^>\s]+>|\S+)"
@@ -88,7 +88,7 @@ def marks(text: str) -> list[tuple[str, int, list[str], str | None]]:
 
 def mark_rows(bodies: DataFrame) -> DataFrame:
     """MARK_SCHEMA rows of (key, body)."""
-    importable_by_workers(bodies.sparkSession)
+    bounded_batches(bodies.sparkSession)
     names = [x.split()[0] for x in MARK_SCHEMA.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string()]
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import importable_by_workers
+from ..session import bounded_batches
 
 PREFIX = 64
 #: Bytes of strings, and characters of their beginnings (a state of the automaton each), in one part about.
@@ -70,7 +70,7 @@ def contained(texts: DataFrame, strings: DataFrame, text: str, item: str, patter
     Null and empty patterns stand nowhere, and nothing stands in a null text. Repeated rows on either side give repeated results.
     """
     spark = texts.sparkSession
-    importable_by_workers(spark)
+    bounded_batches(spark)
     some = strings.select(F.col(item).alias("item"), F.col(pattern).cast("string").alias("pattern")).where(F.length("pattern") > 0)
     schema = T.StructType([*[T.StructField(k, texts.schema[k].dataType) for k in keys], T.StructField(item, strings.schema[item].dataType)])
     out = spark.createDataFrame([], schema)

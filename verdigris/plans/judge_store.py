@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..operators import ledger
 from ..operators.grading import Judge
-from ..session import importable_by_workers
+from ..session import bounded_batches
 from ..storage import exists, exclusive
 
 CLAIMS = "cache_key string, batch string, state string, at timestamp"
@@ -31,7 +31,7 @@ def calling(ask: Callable[[dict], str | None]) -> Judge:
     """A judge that calls ask(row) in a task's first attempt; a later attempt can't know what the first has sent, and gives no text."""
 
     def judge(rows: DataFrame) -> DataFrame:
-        importable_by_workers(rows.sparkSession)
+        bounded_batches(rows.sparkSession)
 
         def run(frames):
             context = TaskContext.get()
