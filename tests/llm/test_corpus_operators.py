@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from verdigris.llm import chat, common, components, lm, queries, simhash, spotsigs, substring, urls, warc
@@ -501,3 +502,41 @@ def test_many_buckets_in_one_partition(spark, make, monkeypatch):
     assert {r.doc_id: r.n_removed for r in substring.repeats(make(docs)).collect()} == whole
     assert {r.doc_id: round(r.logprob, 6) for r in lm.scores(make(docs)).collect()} == scored
     assert {i: whole[i] for i, _ in docs} == {i: brute_substrings(docs)[i][1] for i, _ in docs}
+
+
+def test_sets_of_unlike_texts_are_not_moved(make, monkeypatch):
+    moved, write = [], simhash.materialize
+
+    def watched(df, label, *more):
+        out = write(df, label, *more)
+        if label == "near":
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", watched)
+    r = random.Random(11)
+    passage = [f"shared{i}" for i in range(24)]
+    words = [[f"w{r.randrange(10**6)}" for _ in range(120)] for _ in range(150)]
+    docs = [(i, " ".join(["the", *" the ".join(passage).split(), *x])) for i, x in enumerate(words)]
+    docs += [(1000 + i, f"{docs[i][1]} the end of copy") for i in range(8)]
+    got = {x.doc_id: x.component_id for x in spotsigs.near_pairs(make(docs)).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in docs}
+    assert 8 <= sum(moved) <= 16
+
+
+@pytest.mark.parametrize("least", [(4, 5), (1, 2)])
+def test_bitmaps_rule_out_no_alike_sets(spark, least):
+    r, (p, q) = np.random.default_rng(3), least
+    pairs = []
+    for n in (*range(1, 40), 300, 3000):
+        for kept in (1.0, 0.95, 0.9, 0.8, 0.5, 0.0):
+            base = r.choice(1 << 20, 2 * n, replace=False).astype(np.uint64) << np.uint64(32)
+            common = round(n * kept)
+            pairs.append((base[:n], np.concatenate([base[:common], base[n : 2 * n - common]])))
+    pairs.append((np.empty(0, np.uint64), np.empty(0, np.uint64)))
+    rows = [(i, len(a), len(b), *map(int, spotsigs.bitmap(a)), *map(int, spotsigs.bitmap(b))) for i, (a, b) in enumerate(pairs)]
+    side = lambda c: (lambda s: F.col(f"{s}_{c}"))
+    names = ["i", "n_u", "n_v", *[f"{b}_{c}" for c in "uv" for b in spotsigs.BITMAP_COLUMNS]]
+    kept = {x.i for x in spark.createDataFrame(rows, names).where(spotsigs.may_be_alike(least)(side("u"), side("v"))).collect()}
+    alike = {i for i, (a, b) in enumerate(pairs) if simhash.alike(np.sort(a), np.sort(b), least)}
+    assert alike <= kept and len(kept) < len(pairs)

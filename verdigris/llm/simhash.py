@@ -491,20 +491,28 @@ def by_length(posts: DataFrame, least: tuple[int, int]) -> DataFrame:
     return posts.withColumn("key", F.explode(F.array(F.xxhash64("key", part), F.xxhash64("key", part + 1))))
 
 
-def prefix_pairs(members: DataFrame, sets: DataFrame, least: tuple[int, int] = SIMILAR, parted: bool = False) -> DataFrame:
+def prefix_pairs(members: DataFrame, sets: DataFrame, least: tuple[int, int] = SIMILAR) -> DataFrame:
     """(u, v), u > v: every pair of members (node, component) of two components whose sets (node, shingles) can be alike; written.
 
     Two sets of similarity 0.8 share at least 4/9 of the sum of their sizes, and no more than what stands from
     their first common shingle on, in whatever order. In an order with rare shingles first, a passage or a base text that
     many members share stands last: those that have more of their own than 0.8 allows meet no one. Shingles of more than
-    MOST_POSTS sets are dealt in chunks, so no task holds one whole; sets far apart in size don't meet. parted: shingles are split by set length first.
+    MOST_POSTS sets are dealt in chunks, so no task holds one whole; sets far apart in size don't meet.
     """
     mine = materialize(sets.join(F.broadcast(members) if members.count() <= MOST_SENT else members, "node").select("node", "component", "shingles"), "members")
     posts = materialize(prefixes(mine, levels(mine), least), "prefixes")
+    out = post_pairs(posts, least)
+    discard(mine)
+    discard(posts)
+    return out
+
+
+def post_pairs(posts: DataFrame, least: tuple[int, int], parted: bool = False) -> DataFrame:
+    """(u, v), u > v, of prefix_pairs() from rows of prefixes(); written. parted: shingles are split by set length first."""
     mixed = posts.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     keyed = posts.join(mixed, "token", "left_semi").withColumnRenamed("token", "key")
     shared = chunked(by_length(keyed, least) if parted else keyed, MOST_POSTS)
-    parts, rows_at_once = int(mine.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_POINTS
+    parts, rows_at_once = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_POINTS
 
     def run(batches):
         for table in whole_keys(batches, rows_at_once):
@@ -516,10 +524,7 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, least: tuple[int, int] = S
                 u, v = np.unique(np.concatenate(found, axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    out = materialize(shared.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct(), "prefix-pairs")
-    discard(mine)
-    discard(posts)
-    return out
+    return materialize(shared.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct(), "prefix-pairs")
 
 
 def sketch_links(points: DataFrame) -> DataFrame:

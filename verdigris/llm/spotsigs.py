@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..storage import discard, materialize
 from .common import WordHashes, bounded_batches, mix, parts_for, text_bytes
 from .components import components
-from .simhash import SET_COLUMNS, SLOTS, packed, prefix_pairs, prefixes, set_name, verified
+from .simhash import MOST_SENT, SET_COLUMNS, levels, packed, post_pairs, prefixes, set_name, verified
 
 CHAIN, HASHED, FEW = 2, 4, 8
 #: Common words of English, French, German and Spanish.
@@ -41,6 +41,8 @@ ANCHORS = frozenset(
 ANCHOR_BYTES = frozenset(x.encode() for x in ANCHORS)
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 EMPTY = np.empty(0, np.uint32)
+#: 256 bits of a set, as columns: each signature turns one of them over.
+BITMAP_COLUMNS = [f"b{i}" for i in range(4)]
 
 
 def signatures(data: bytes | None, hashes: WordHashes) -> np.ndarray:
@@ -84,6 +86,25 @@ def alike(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return found if found >= least else 0.0
 
 
+def bitmap(x: np.ndarray) -> np.ndarray:
+    """256 bits of a set, each the parity of its signatures that fall on it."""
+    with np.errstate(over="ignore"):
+        at = (mix(x) % np.uint64(256)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=256) & 1).astype(np.uint8)).view(np.int64)
+
+
+def may_be_alike(least: tuple[int, int]):
+    """Whether two sets' bitmaps allow the likeness `least`, for verified(): a bit in which they differ needs a signature that only one set has,
+    and alike sets have (q - p) / (p + q) of the sum of their sizes of those at most. So what it drops is never alike."""
+    p, q = least
+
+    def test(u, v):
+        apart = sum((F.bit_count(u(b).bitwiseXOR(v(b))) for b in BITMAP_COLUMNS), F.lit(0))
+        return (p + q) * apart <= (q - p) * (u("n") + v("n"))
+
+    return test
+
+
 def encoded(x: np.ndarray) -> str:
     return base64.b64encode(x.astype("<u4").tobytes()).decode()
 
@@ -157,10 +178,10 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def near_pairs(docs: DataFrame, least: tuple[int, int] = (4, 5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id) of documents whose fingerprints reach the likeness `least` (a fraction), in connected classes.
 
-    Equal fingerprints are one point. Sets of likeness t share one of their first len - ceil(t * len) + 1 signatures in any order. A first round compares
-    each set with the first one under each of these signatures, which makes one class of most groups of near copies; a second joins the sets of different classes by
-    signature and partition of set length (simhash.prefix_pairs: rows carry no sets, hot signatures are split), pruned by length and
-    place, and compares what is left.
+    Equal fingerprints are one point. Sets of likeness t share one of their first len - ceil(t * len) + 1 signatures in an order with rare ones first.
+    A first round compares each set with the first one under each of these signatures, where their lengths and places allow it: that makes one class of most groups
+    of near copies. A second joins the sets of different classes by signature and partition of set length (simhash.post_pairs: rows carry no sets, hot signatures are
+    split), pruned by length and place. Of both, pairs go on only if their bitmaps allow the likeness (may_be_alike: exact, no link is lost), and then their sets are compared.
 
     Null, empty and blank texts have an empty fingerprint and are alike. Rows with a null id get their class's smallest id and never name one: a class of null
     ids alone has none. Repeated rows have equal results. Extra columns are ignored. An empty table gives an empty result.
@@ -173,26 +194,32 @@ def near_pairs(docs: DataFrame, least: tuple[int, int] = (4, 5), doc_id: str = "
             for batch in batches:
                 sets = [signatures(x, hashes).astype(np.uint64) << np.uint64(32) for x in batch.column(2).to_pylist()]
                 names = np.array([set_name(x) for x in sets], np.int64).reshape(-1, 2)
-                columns = [batch.column(0), batch.column(1), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(x) for x in sets], pa.int64()), pa.array([packed(x) for x in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", *SET_COLUMNS, "n_shingles", "shingles"])
+                bits = np.array([bitmap(x) for x in sets], np.int64).reshape(-1, 4)
+                columns = [batch.column(0), batch.column(1), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(x) for x in sets], pa.int64()), pa.array([packed(x) for x in sets], pa.binary()), *(pa.array(bits[:, i]) for i in range(4))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", *SET_COLUMNS, "n_shingles", "shingles", *BITMAP_COLUMNS])
 
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary"))
-    marked = materialize(base.mapInArrow(sketch, "row long, doc_id long, id0 long, id1 long, n_shingles long, shingles binary"), "spots")
+    p, q = least
+    schema = "row long, doc_id long, id0 long, id1 long, n_shingles long, shingles binary, " + ", ".join(f"{c} long" for c in BITMAP_COLUMNS)
+    marked = materialize(base.mapInArrow(sketch, schema), "spots")
     named = materialize(marked.groupBy(*SET_COLUMNS).agg(F.min("row").alias("node")), "spot-points")
     firsts = marked.withColumnRenamed("row", "node").join(named.select("node"), "node", "left_semi")
-    points, sets = firsts.select("node", "n_shingles"), marked.select(F.col("row").alias("node"), "shingles")
-    check = lambda pairs: verified(pairs, points, sets, least, [], lambda u, v: F.lit(True))
-    alone = points.select("node", F.col("node").alias("component"))
-    posts = materialize(prefixes(firsts.select("node", "shingles").join(alone, "node"), np.zeros(SLOTS, np.uint8), least), "spot-posts")
-    lows = posts.groupBy("token").agg(F.min("node").alias("v"), F.max("node").alias("_hi")).where("v < _hi")
-    tried = materialize(posts.join(lows, "token").where("node > v").select(F.col("node").alias("u"), "v").distinct(), "spot-tried")
+    points, sets = firsts.select("node", "n_shingles", *BITMAP_COLUMNS), marked.select(F.col("row").alias("node"), "shingles")
+    check = lambda pairs: verified(pairs, points, sets, least, BITMAP_COLUMNS, may_be_alike(least))
+    posts = materialize(prefixes(firsts.select("node", F.col("node").alias("component"), "shingles"), levels(marked), least), "spot-posts")
+    place = F.struct("node", "n", "at")
+    lows = posts.groupBy("token").agg(F.min(place).alias("low"), F.max("node").alias("_hi")).where("low.node < _hi").select("token", "low.node", "low.n", "low.at").toDF("token", "v", "_n", "_at")
+    held = materialize(posts.drop("component").join(lows, "token"), "spot-held")  # what no other set begins with is gone
+    fits = (q * F.least("n", "_n") >= p * F.greatest("n", "_n")) & ((p + q) * F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at")) >= p * (F.col("n") + F.col("_n")))
+    tried = materialize(held.where((F.col("node") > F.col("v")) & fits).select(F.col("node").alias("u"), "v").distinct(), "spot-tried")
     first = check(tried)
-    members = points.join(components(first), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    paired = prefix_pairs(members, sets, least, parted=True)
+    linked = materialize(components(first), "spot-linked")
+    known = held.select("token", "node", "n", "at").join(F.broadcast(linked) if linked.count() <= MOST_SENT else linked, "node", "left")
+    paired = post_pairs(known.withColumn("component", F.coalesce("component", "node")), least, parted=True)
     second = check(paired.join(tried, ["u", "v"], "left_anti"))
     classes = named.join(components(first.unionByName(second)), "node", "left").select(*SET_COLUMNS, F.coalesce("component", "node").alias("component"))
     rows = materialize(marked.select("row", "doc_id", *SET_COLUMNS).join(classes, SET_COLUMNS).select("doc_id", "component"), "spot-classes")
-    for used in (marked, named, posts, tried, first, paired, second):
+    for used in (marked, named, posts, held, tried, first, linked, paired, second):
         discard(used)
     return rows.join(rows.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "component_id")
 
